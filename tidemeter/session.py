@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so later stages survive executor loss without a recompute."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    Ends the lineage reliably: later stages survive executor loss without recomputing what came before,
+    and Spark plans them with the true size of the table.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tidemeter-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def at_most(df: DataFrame, max_rows: int) -> bool:
