@@ -54,13 +54,13 @@ def _kept(spark: SparkSession, sf: str, name: str, build: Callable[[], object]):
     return _KEPT[key]
 
 
-def r6(df: DataFrame, *cols: str) -> DataFrame:
+def r9(df: DataFrame, *cols: str) -> DataFrame:
     """Round derived doubles, whose last bits depend on the order of summation."""
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: F.round(c, 9) for c in cols})
 
 
 def _rounded(cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols.split())
+    return ", ".join(f"round({c}, 9) AS {c.split('.')[-1]}" for c in cols.split())
 
 
 # -- usage and prices ------------------------------------------------------------------------------
@@ -746,7 +746,7 @@ def coverage_status(spark, sf):
 @query("weekly_samples", sql(f"SELECT account_id, tool, t, week, as_of, w, {_rounded('pp err')} FROM samples", "samples"))
 def weekly_samples(spark, sf):
     w, st, _ = _windows(spark, sf)
-    return r6(_samples(spark, sf, w, st), "pp", "err")
+    return r9(_samples(spark, sf, w, st), "pp", "err")
 
 
 def _samples(spark, sf, w, st):
@@ -755,11 +755,11 @@ def _samples(spark, sf, w, st):
     return E.weekly_samples(_matched(spark, sf), pts, w, st, PARAMS)
 
 
-@query("window_splits", sql(f"SELECT {_out(_rounded('code code_low code_high') + ', round(dw, 6) AS weekly_delta, round(dn, 6) AS noncode_delta, t0, t1')} FROM split", "split"))
+@query("window_splits", sql(f"SELECT {_out(_rounded('code code_low code_high') + ', round(dw, 9) AS weekly_delta, round(dn, 9) AS noncode_delta, t0, t1')} FROM split", "split"))
 def window_splits(spark, sf):
     w, st, _ = _windows(spark, sf)
     s = E.split_windows(w, _samples(spark, sf, w, st), st, PARAMS)
-    return r6(s.select(*CYCLE, "split.code", "split.code_low", "split.code_high", "split.weekly_delta", "split.noncode_delta",
+    return r9(s.select(*CYCLE, "split.code", "split.code_low", "split.code_high", "split.weekly_delta", "split.noncode_delta",
                        F.col("split.from").alias("t0"), F.col("split.to").alias("t1")), "code", "code_low", "code_high", "weekly_delta", "noncode_delta")
 
 
@@ -791,21 +791,21 @@ def _judged(spark, sf):
     return _kept(spark, sf, "judged", build)
 
 
-@query("local_rates", sql(f"SELECT {_out('round(lrate, 6) AS local_rate')} FROM lrate", "lrate"))
+@query("local_rates", sql(f"SELECT {_out('round(lrate, 9) AS local_rate')} FROM lrate", "lrate"))
 def local_rates(spark, sf):
     _, st, spend = _windows(spark, sf)
     local = spend.where(F.col("step_no") > 0).groupBy(*CYCLE, "step_no").agg(F.sum("value").alias("local"))
-    return r6(R.local_rate(st.join(local, [*CYCLE, "step_no"])), "local_rate")
+    return r9(R.local_rate(st.join(local, [*CYCLE, "step_no"])), "local_rate")
 
 
-@query("external_steps", sql(f"SELECT {_out('step_no, dpct, round(expected, 6) AS expected, round(external, 6) AS external, round(usd, 6) AS local_usd')} FROM ext", "ext"))
+@query("external_steps", sql(f"SELECT {_out('step_no, dpct, round(expected, 9) AS expected, round(external, 9) AS external, round(usd, 9) AS local_usd')} FROM ext", "ext"))
 def external_steps(spark, sf):
-    return r6(_judged(spark, sf)[1].select(*CYCLE, "step_no", "dpct", "expected", "external", "local_usd"), "expected", "external", "local_usd")
+    return r9(_judged(spark, sf)[1].select(*CYCLE, "step_no", "dpct", "expected", "external", "local_usd"), "expected", "external", "local_usd")
 
 
-@query("external_windows", sql(f"SELECT {_out('round(ext_pct, 6) AS external_pct, contaminated, late AS late_external')} FROM winx", "winx"))
+@query("external_windows", sql(f"SELECT {_out('round(ext_pct, 9) AS external_pct, contaminated, late AS late_external')} FROM winx", "winx"))
 def external_windows(spark, sf):
-    return r6(_judged(spark, sf)[0].select(*CYCLE, "external_pct", "contaminated", "late_external"), "external_pct")
+    return r9(_judged(spark, sf)[0].select(*CYCLE, "external_pct", "contaminated", "late_external"), "external_pct")
 
 
 @query("window_quality", sql(f"SELECT {_out('''quality, array_to_string(codes, ',') AS codes, why IS NULL AS claimed''')} FROM quality", "quality"))
@@ -818,14 +818,14 @@ def window_quality(spark, sf):
  CASE WHEN ok THEN CASE WHEN used >= 20 THEN 'high' WHEN used >= 5 THEN 'medium' ELSE 'low' END END AS confidence
  FROM (SELECT *, quality = 'conditional' AND used >= 1 AND cost_at > 0 AS ok FROM quality))""", "quality"))
 def window_capacity(spark, sf):
-    return r6(_judged(spark, sf)[0].select(*CYCLE, "cap", "cap_low", "cap_high", "confidence"), "cap", "cap_low", "cap_high")
+    return r9(_judged(spark, sf)[0].select(*CYCLE, "cap", "cap_low", "cap_high", "confidence"), "cap", "cap_low", "cap_high")
 
 
 @query("window_estimates", sql(f"SELECT {_out(_rounded('total cap cap_low cap_high conflict') + ', why_e AS est_why')} FROM est", "est"))
 def window_estimates(spark, sf):
     w = _judged(spark, sf)[0]
     e = w.select(*CYCLE, "estimate.total", "estimate.cap", "estimate.cap_low", "estimate.cap_high", F.col("estimate.conflict_pct").alias("conflict"), "est_why")
-    return r6(e, "total", "cap", "cap_low", "cap_high", "conflict")
+    return r9(e, "total", "cap", "cap_low", "cap_high", "conflict")
 
 
 @query("range_too_wide", sql(f"""SELECT {_out('''coalesce(cap_high > cap_low * 1.5, false) OR coalesce(tool = 'timed' AND win = 'five_hour' AND dw < 5, false) AS too_wide''')} FROM est
@@ -850,18 +850,18 @@ _ONE = f"""SELECT {GROUP_COLS}, sum(x * y) / sum(x * x) AS rate, count(*) AS n F
  USING (account_id, tool, scope, win, reset_min)) GROUP BY {GROUP_COLS} HAVING count(*) > 1"""
 
 
-@query("single_rate_fit", sql(f'SELECT account_id, tool, scope, win AS "window", plan_key, round(rate, 6) AS rate, n AS fit_windows FROM ({_ONE})', "win", "vec"))
+@query("single_rate_fit", sql(f'SELECT account_id, tool, scope, win AS "window", plan_key, round(rate, 9) AS rate, n AS fit_windows FROM ({_ONE})', "win", "vec"))
 def single_rate_fit(spark, sf):
     f = R.fit_rates(_one_regressor(spark, sf))
-    return f.select(*GROUP, F.round(F.col("rates")[0]["rate"], 6).alias("rate"), "fit_windows")
+    return f.select(*GROUP, F.round(F.col("rates")[0]["rate"], 9).alias("rate"), "fit_windows")
 
 
-@query("expected_rises", sql(f"""SELECT w.account_id, w.tool, w.scope, w.win AS "window", w.reset_min, round(v.x * f.rate, 6) AS expected FROM win w
+@query("expected_rises", sql(f"""SELECT w.account_id, w.tool, w.scope, w.win AS "window", w.reset_min, round(v.x * f.rate, 9) AS expected FROM win w
  JOIN (SELECT account_id, tool, scope, win, reset_min, sum(val) AS x FROM vec WHERE rate_key LIKE 'usd:%' GROUP BY ALL) v USING (account_id, tool, scope, win, reset_min)
  JOIN ({_ONE}) f ON f.account_id = w.account_id AND f.tool = w.tool AND f.scope = w.scope AND f.win = w.win AND f.plan_key = w.plan_key""", "win", "vec"))
 def expected_rises(spark, sf):
     v = _one_regressor(spark, sf)
-    return r6(R.explain_vector(v, R.fit_rates(v), CYCLE).select(*CYCLE, "expected"), "expected")
+    return r9(R.explain_vector(v, R.fit_rates(v), CYCLE).select(*CYCLE, "expected"), "expected")
 
 
 @query("model_rates")
@@ -903,24 +903,24 @@ def trend_roles(spark, sf):
     return _verdicts(spark, sf)[0].select(*CYCLE, "in_trend", "role")
 
 
-@query("trend_spread", sql('SELECT account_id, tool, scope, win AS "window", plan_key, round(spread, 6) AS spread FROM spread', "spread"))
+@query("trend_spread", sql('SELECT account_id, tool, scope, win AS "window", plan_key, round(spread, 9) AS spread FROM spread', "spread"))
 def trend_spread(spark, sf):
     base = _verdicts(spark, sf)[0].where(F.col("role") == "baseline")
-    return r6(T.robust_spread(base, GROUP, "value", PARAMS.default_spread), "spread")
+    return r9(T.robust_spread(base, GROUP, "value", PARAMS.default_spread), "spread")
 
 
-@query("model_shift", sql('SELECT account_id, tool, scope, win AS "window", plan_key, round(ov, 6) AS model_overlap, before AS model_before, after AS model_after FROM overlap', "overlap"))
+@query("model_shift", sql('SELECT account_id, tool, scope, win AS "window", plan_key, round(ov, 9) AS model_overlap, before AS model_before, after AS model_after FROM overlap', "overlap"))
 def model_shift(spark, sf):
     w = _verdicts(spark, sf)[0]
     vec = W.window_vector(_windows(spark, sf)[2])
-    return r6(T.model_overlap(w.where(F.col("role").isNotNull()).select(*CYCLE, "plan_key", "role"), vec, PARAMS), "model_overlap")
+    return r9(T.model_overlap(w.where(F.col("role").isNotNull()).select(*CYCLE, "plan_key", "role"), vec, PARAMS), "model_overlap")
 
 
 @query("change_verdicts", sql("""SELECT account_id, tool, scope, win AS "window", plan_key, rn::BIGINT AS recent_n, bn::BIGINT AS baseline_n, cross_gap, bfrom AS baseline_from, bto AS baseline_to,
- round(rmed, 6) AS recent_median, round(bmed, 6) AS baseline_median, round(rmed / bmed, 6) AS ratio, CASE WHEN rmed IS NOT NULL AND bmed IS NOT NULL THEN round(thr, 6) END AS threshold, status FROM verdict""", "verdict"))
+ round(rmed, 9) AS recent_median, round(bmed, 9) AS baseline_median, round(rmed / bmed, 9) AS ratio, CASE WHEN rmed IS NOT NULL AND bmed IS NOT NULL THEN round(thr, 9) END AS threshold, status FROM verdict""", "verdict"))
 def change_verdicts(spark, sf):
     v = _verdicts(spark, sf)[1].select(*GROUP, "recent_n", "baseline_n", "cross_gap", "baseline_from", "baseline_to", "recent_median", "baseline_median", "ratio", "threshold", "status")
-    return r6(v, "recent_median", "baseline_median", "ratio", "threshold")
+    return r9(v, "recent_median", "baseline_median", "ratio", "threshold")
 
 
 @query("eligible_groups", sql(f"""SELECT account_id, tool, scope, win AS "window", plan_key, v.status IN ('stable', 'tighter', 'looser') AS eligible,
@@ -944,9 +944,9 @@ def group_bounds(spark, sf):
     return T.group_rows(w, T.eligibility(w, v, PARAMS), _no_fits(spark), PARAMS).select(*GROUP, "last_seen", "latest_end", "windows_n", "estimated_n")
 
 
-@query("trend_points", sql(f"SELECT {_out('key, round(cap, 6) AS value, in_trend, role, excluded')} FROM roles WHERE cap IS NOT NULL AND (e >= {NOW} - 60 * 86400000000 OR role = 'baseline')", "roles"))
+@query("trend_points", sql(f"SELECT {_out('key, round(cap, 9) AS value, in_trend, role, excluded')} FROM roles WHERE cap IS NOT NULL AND (e >= {NOW} - 60 * 86400000000 OR role = 'baseline')", "roles"))
 def trend_points(spark, sf):
-    return r6(T.trend_rows(_verdicts(spark, sf)[0], PARAMS).select(*CYCLE, "key", "value", "in_trend", "role", "excluded"), "value")
+    return r9(T.trend_rows(_verdicts(spark, sf)[0], PARAMS).select(*CYCLE, "key", "value", "in_trend", "role", "excluded"), "value")
 
 
 @query("trend_in_view", sql(f"""SELECT account_id, tool, scope, win AS "window", reset_min FROM (
@@ -957,14 +957,14 @@ def trend_in_view(spark, sf):
     return views.trend_in_view(T.trend_rows(_verdicts(spark, sf)[0], PARAMS)).select(*CYCLE)
 
 
-@query("folded_trend_axis", sql(f"""SELECT {_out('round(pause / 86400e6, 6) AS pause_days, round(last_seen - coalesce(sum(pause - width) OVER (PARTITION BY account_id, tool, scope, win, plan_key ORDER BY last_seen), 0), 0) AS folded')} FROM (
+@query("folded_trend_axis", sql(f"""SELECT {_out('round(pause / 86400e6, 9) AS pause_days, round(last_seen - coalesce(sum(pause - width) OVER (PARTITION BY account_id, tool, scope, win, plan_key ORDER BY last_seen), 0), 0) AS folded')} FROM (
  SELECT *, greatest(lim / 3.0, (max(last_seen) OVER g - min(last_seen) OVER g - coalesce(sum(pause) OVER g, 0)) * 0.06) AS width FROM (
   SELECT *, CASE WHEN gap > lim THEN gap END AS pause FROM (SELECT *, 6 * 3600000000 AS lim, last_seen - lag(last_seen) OVER (PARTITION BY {GROUP_COLS} ORDER BY last_seen) AS gap
    FROM roles WHERE cap IS NOT NULL AND (e >= {NOW} - 60 * 86400000000 OR role = 'baseline')))
  WINDOW g AS (PARTITION BY {GROUP_COLS}))""", "roles"))
 def folded_trend_axis(spark, sf):
     t = views.fold_time(T.trend_rows(_verdicts(spark, sf)[0], PARAMS), 6 * M.HOUR, 6 * M.HOUR)
-    return t.select(*CYCLE, F.round("pause_days", 6).alias("pause_days"), F.round("folded", 0).alias("folded"))
+    return t.select(*CYCLE, F.round("pause_days", 9).alias("pause_days"), F.round("folded", 0).alias("folded"))
 
 
 # -- events, alerts, views -------------------------------------------------------------------------
@@ -1018,17 +1018,17 @@ def current_windows(spark, sf):
     return views.current_windows(_windows(spark, sf)[0]).select(*CYCLE, "plan_key")
 
 
-@query("pace_forecasts", sql(f"""SELECT {_out('''CASE WHEN ok THEN round(used / el, 6) END AS projected, CASE WHEN ok THEN round(s + (n - s) * (100 / used), 0)::BIGINT END AS exhausted_at,
+@query("pace_forecasts", sql(f"""SELECT {_out('''CASE WHEN ok THEN round(used / el, 9) END AS projected, CASE WHEN ok THEN round(s + (n - s) * (100 / used), 0)::BIGINT END AS exhausted_at,
  CASE WHEN ok THEN s + (n - s) * (100 / used) >= e END AS will_last''')} FROM (SELECT *, used >= 2 AND el >= 0.1 AS ok FROM (
  SELECT *, least(1, greatest(0, (n - s) / nullif(e - s, 0))) AS el FROM (SELECT *, 1705276800000000 AS n FROM win)))""", "win"))
 def pace_forecasts(spark, sf):
     w = views.pace(_windows(spark, sf)[0], 1_705_276_800 * SEC)
-    return w.select(*CYCLE, F.round("projected", 6).alias("projected"), "exhausted_at", "will_last")
+    return w.select(*CYCLE, F.round("projected", 9).alias("projected"), "exhausted_at", "will_last")
 
 
-@query("pending_spend", sql(f"SELECT {_out('round(greatest(0, cost_far - cost_at), 6) AS pending_usd')} FROM win", "win"))
+@query("pending_spend", sql(f"SELECT {_out('round(greatest(0, cost_far - cost_at), 9) AS pending_usd')} FROM win", "win"))
 def pending_spend(spark, sf):
-    return r6(views.pending_spend(_windows(spark, sf)[0]).select(*CYCLE, "pending_usd"), "pending_usd")
+    return r9(views.pending_spend(_windows(spark, sf)[0]).select(*CYCLE, "pending_usd"), "pending_usd")
 
 
 @query("latest_windows", sql(f"""SELECT {_out('e AS "end"')} FROM win ORDER BY e DESC, account_id, tool, scope, win, reset_min LIMIT 150""", "win"))

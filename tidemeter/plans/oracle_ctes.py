@@ -71,12 +71,12 @@ SELECT * EXCLUDE (p_rd, p_w5, p_w1, f_rd, f_w5, is_fast, r_in, r_out),
   + outp * r_out AS pico
 FROM rated""")
 _cte("snap", "ev", """
-SELECT account_id, tool, scope, 'five_hour' AS win, us AS ts, resets AS resets_at, 18000 AS ws, plan,
+SELECT account_id, tool, scope, 'five_hour' AS win, us AS ts, resets AS resets_at, CAST(18000 AS BIGINT) AS ws, plan,
   CAST(least(100, greatest(0, raw)) AS DOUBLE) AS pct
 FROM (SELECT *, reset5 AS resets, (us - start5) * 100 // 18000000000 + k % 7
       - CASE WHEN event_id % 13 = 0 THEN 6 ELSE 0 END AS raw FROM ev)
 UNION ALL
-SELECT account_id, tool, scope, 'seven_day', us, resets, 604800, plan, CAST(least(100, greatest(0, raw)) AS DOUBLE)
+SELECT account_id, tool, scope, 'seven_day', us, resets, CAST(604800 AS BIGINT), plan, CAST(least(100, greatest(0, raw)) AS DOUBLE)
 FROM (SELECT *, reset7 AS resets, (us - start7) * 100 // 604800000000 + k % 7
       - CASE WHEN event_id % 13 = 0 THEN 6 ELSE 0 END AS raw FROM ev)""")
 _cte("lnk", "ev", """
@@ -243,7 +243,7 @@ FROM win w LEFT JOIN (SELECT e.account_id, e.tool, e.scope, e.win, e.reset_min,
     max(external > 0 AND c.last_seen - e.ts <= 600000000) AS late
   FROM ext e JOIN cyc c USING ({CYC}) GROUP BY ALL) x USING ({CYC})""")
 _cte("known", "winx lbrk fivenon gapk claimw", f"""
-SELECT w.*, b.as_of IS NOT NULL AS has_b, b.last_as_of, b.chat, b.fresh, b.noncode, 100 - b.chat - b.fresh AS code,
+SELECT w.*, b.as_of IS NOT NULL AS has_b, b.last_as_of, b.chat, b.fresh, b.noncode, 100 - b.chat - b.fresh AS code_b,
   b.chat + 0.5 AS known_hi, b.fresh + CASE WHEN b.fresh > 0 THEN 0.5 ELSE 0 END AS unknown_hi,
   n.flagged, n.ambiguous, n.located, g.kinds, c.why
 FROM winx w LEFT JOIN lbrk b USING ({CYC}) LEFT JOIN fivenon n USING ({CYC}) LEFT JOIN gapk g USING ({CYC}) LEFT JOIN claimw c USING ({CYC})""")
@@ -265,7 +265,7 @@ SELECT {CYC}, ord, code, lvl FROM (
   FROM (SELECT *, tool = 'timed' AND win = 'seven_day' AS wk, tool = 'timed' AND win = 'five_hour' AS fh FROM known)) WHERE code IS NOT NULL""")
 _cte("quality", "known reason", f"""
 SELECT k.*, coalesce(r.lvl, 5) AS lvl, ['incomplete', 'source_unknown', 'aligning', 'waiting', 'unconfirmed', 'conditional'][coalesce(r.lvl, 5) + 1] AS quality,
-  list_concat(coalesce(r.codes, []), CASE WHEN k.why IS NULL AND coalesce(r.lvl, 5) <= 1 THEN ['claim_conflict'] ELSE [] END) AS codes
+  list_concat(coalesce(r.codes, CAST([] AS VARCHAR[])), CASE WHEN k.why IS NULL AND coalesce(r.lvl, 5) <= 1 THEN ['claim_conflict'] ELSE CAST([] AS VARCHAR[]) END) AS codes
 FROM known k LEFT JOIN (SELECT {CYC}, min(lvl) AS lvl, list(code ORDER BY ord) AS codes FROM reason GROUP BY {CYC}) r USING ({CYC})""")
 _cte("samples", "wbrk points", f"""
 SELECT m.account_id, m.tool, m.t, m.wk_start AS week, m.as_of, p.pct AS w, m.noncode / 100 * p.pct AS pp,
@@ -299,9 +299,9 @@ FROM (SELECT *, CASE WHEN s0.week = s1.week THEN s1.w - s0.w ELSE ee.w - s0.w +
     CASE WHEN s0.week = s1.week THEN 1.0 ELSE 1.5 END AS ew,
     s0.err + s1.err + CASE WHEN s0.week = s1.week THEN 0 ELSE ee.err END AS en FROM split2) WHERE dw >= 3""")
 _cte("est0", "quality split", f"""
-SELECT q.*, x.dw, x.dn, CASE WHEN tool = 'linked' THEN 100.0 WHEN win = 'seven_day' AND has_b THEN q.code WHEN win = 'five_hour' THEN x.code END AS c,
-  CASE WHEN tool = 'linked' THEN 100.0 WHEN win = 'seven_day' AND has_b THEN greatest(0, q.code - 0.5) WHEN win = 'five_hour' THEN x.code_low END AS c_low,
-  CASE WHEN tool = 'linked' THEN 100.0 WHEN win = 'seven_day' AND has_b THEN least(100, q.code + 0.5) WHEN win = 'five_hour' THEN x.code_high END AS c_high,
+SELECT q.*, x.dw, x.dn, CASE WHEN tool = 'linked' THEN 100.0 WHEN win = 'seven_day' AND has_b THEN q.code_b WHEN win = 'five_hour' THEN x.code END AS c,
+  CASE WHEN tool = 'linked' THEN 100.0 WHEN win = 'seven_day' AND has_b THEN greatest(0, q.code_b - 0.5) WHEN win = 'five_hour' THEN x.code_low END AS c_low,
+  CASE WHEN tool = 'linked' THEN 100.0 WHEN win = 'seven_day' AND has_b THEN least(100, q.code_b + 0.5) WHEN win = 'five_hour' THEN x.code_high END AS c_high,
   list_filter(codes, lambda z: z IN ('breakdown_invalid', 'breakdown_stale', 'collect_gap', 'aligning') OR (tool = 'linked' AND z = 'suspect_unrecorded'))[1] AS blocker
 FROM quality q LEFT JOIN split x USING ({CYC})""")
 _cte("est", "est0", """
