@@ -729,8 +729,8 @@ def claim_checks(spark, sf):
 
 
 @query("claim_spans", sql("""SELECT account_id, tool, us AS start, nxt AS "end" FROM (SELECT *, lead(us) OVER (PARTITION BY account_id, tool ORDER BY us) AS nxt FROM (
- SELECT *, lag(cents > 40000) OVER (PARTITION BY account_id, tool ORDER BY us) AS p FROM ev WHERE event_type = 'purchase' AND cents > 30000)
- WHERE p IS DISTINCT FROM (cents > 40000)) WHERE cents > 40000""", "ev"))
+ SELECT *, lag(cents > 10000) OVER (PARTITION BY account_id, tool ORDER BY us) AS p FROM ev WHERE event_type = 'purchase' AND cents > 5000)
+ WHERE p IS DISTINCT FROM (cents > 10000)) WHERE cents > 10000""", "ev"))
 def claim_spans(spark, sf):
     return V.claim_spans(D0.switches(spark, sf)).select("account_id", "tool", "start", "end")
 

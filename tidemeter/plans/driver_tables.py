@@ -73,15 +73,20 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One five-hour and one weekly reading per event; the percent follows elapsed time, with dips and jumps."""
-    def reading(window: str, start: str, reset: str, span: int) -> Column:
-        pct = (F.col("us") - F.col(start)) * 100 / F.lit(span)
-        noisy = F.floor(pct).cast("bigint") + F.col("k") % 7 - F.when(F.col("event_id") % 13 == 0, 6).otherwise(0)
+    """One five-hour and one weekly reading per event; the percent follows elapsed time, with dips and jumps.
+
+    From the 28th on account 1 burns its five-hour quota half again as fast.
+    """
+    def reading(window: str, start: str, reset: str, span: int, rate: Column, noise: int) -> Column:
+        pct = (F.col("us") - F.col(start)) * rate / F.lit(span)
+        noisy = F.floor(pct).cast("bigint") + F.col("k") % noise - F.when(F.col("event_id") % 13 == 0, 6).otherwise(0)
         return F.struct(F.lit(window).alias("window"), F.least(F.lit(100), F.greatest(F.lit(0), noisy)).cast("double").alias("used_percent"),
                         F.col(reset).alias("resets_at"), F.lit(span // SEC).cast("bigint").alias("window_seconds"))
     return events(spark, sf_dir).select(
         "account_id", "tool", "scope", F.col("us").alias("ts"), F.col("plan").alias("plan_type"), F.lit("log").alias("source"),
-        F.inline(F.array(reading("five_hour", "start5", "reset5", FIVE), reading("seven_day", "start7", "reset7", WEEK))),
+        F.inline(F.array(
+            reading("five_hour", "start5", "reset5", FIVE, F.when((F.col("account_id") == 1) & (F.col("day") >= 28), 45).otherwise(30), 3),
+            reading("seven_day", "start7", "reset7", WEEK, F.lit(100), 7))),
     ).select(*M.SNAPSHOT.fieldNames())
 
 
@@ -124,10 +129,10 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage switches from purchases: above 400 dollars on, above 300 off."""
-    e = events(spark, sf_dir).where((F.col("event_type") == "purchase") & (F.col("cents") > 30_000))
+    """Coverage switches from purchases: above 100 dollars on, above 50 off."""
+    e = events(spark, sf_dir).where((F.col("event_type") == "purchase") & (F.col("cents") > 5_000))
     return e.select("account_id", "tool", F.col("us").alias("ts"),
-                    F.concat(F.lit("L"), F.col("account_id").cast("string"), F.lit("a")).alias("login"), (F.col("cents") > 40_000).alias("on"))
+                    F.concat(F.lit("L"), F.col("account_id").cast("string"), F.lit("a")).alias("login"), (F.col("cents") > 10_000).alias("on"))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ FROM rated""")
 _cte("snap", "ev", """
 SELECT account_id, tool, scope, 'five_hour' AS win, us AS ts, resets AS resets_at, CAST(18000 AS BIGINT) AS ws, plan,
   CAST(least(100, greatest(0, raw)) AS DOUBLE) AS pct
-FROM (SELECT *, reset5 AS resets, (us - start5) * 100 // 18000000000 + k % 7
+FROM (SELECT *, reset5 AS resets, (us - start5) * CASE WHEN account_id = 1 AND day >= 28 THEN 45 ELSE 30 END // 18000000000 + k % 3
       - CASE WHEN event_id % 13 = 0 THEN 6 ELSE 0 END AS raw FROM ev)
 UNION ALL
 SELECT account_id, tool, scope, 'seven_day', us, resets, CAST(604800 AS BIGINT), plan, CAST(least(100, greatest(0, raw)) AS DOUBLE)
