@@ -1,0 +1,151 @@
+import json
+
+from pyspark.sql import functions as F
+
+from tidemeter import model as M
+from tidemeter.model import HOUR, SEC, Params
+from tidemeter.operators import windows as W
+from tidemeter.sources import sinks
+from tidemeter.sources.tail import JsonlTail
+from tidemeter.streaming import jobs, state
+
+FILES = "/root/testdata/sf0.001"
+
+
+def stream_of(spark, tmp_path, name, batches, schema):
+    """A file stream that gives each list of rows as one micro-batch."""
+    folder = str(tmp_path / name)
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), folder
+
+
+def run(df, mode, name, tmp_path):
+    q = (df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp-{name}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def snap(ts, pct, reset, account=1):
+    return (account, "timed", "all", "five_hour", ts * SEC, float(pct), reset * SEC, 18000, "plus", "t")
+
+
+def test_tail_reads_appended_complete_lines_once(spark, tmp_path):
+    spark.dataSource.register(JsonlTail)
+    logs, out, cp = tmp_path / "logs", tmp_path / "out", str(tmp_path / "cp")
+    logs.mkdir()
+
+    def pump():
+        s = spark.readStream.format("jsonl_tail").option("path", str(logs)).option("sliceBytes", 7).load()
+        q = s.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r.value for r in spark.read.schema(s.schema).parquet(str(out)).collect())
+
+    a = logs / "a.jsonl"
+    a.write_text("one\ntwo two two two\nhal")
+    assert pump() == ["one", "two two two two"]
+    with a.open("a") as f:
+        f.write("f\n")
+    (logs / "sub").mkdir()
+    (logs / "sub" / "b.jsonl").write_text("bee\n")
+    assert pump() == ["bee", "half", "one", "two two two two"]
+    assert pump() == ["bee", "half", "one", "two two two two"]
+    a.write_text("x\n")                                   # shrank: read again from the start
+    assert pump() == ["bee", "half", "one", "two two two two", "x"]
+
+
+def test_tail_batch_slices_keep_every_line(spark, tmp_path):
+    spark.dataSource.register(JsonlTail)
+    want = [f"{i}-" + "z" * (i % 23) for i in range(400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(want) + "\n")
+    got = spark.read.format("jsonl_tail").option("path", str(tmp_path)).option("sliceBytes", 64).load().orderBy("file", "seq").collect()
+    assert [r.value for r in got] == want and len({r.block for r in got}) > 10
+
+
+def test_hourly_rollup_equals_batch(spark, tmp_path):
+    from tidemeter.plans import driver_tables as D
+    u = D.priced(spark, FILES).withColumn("cost_pico", F.col("cost_pico").cast("bigint"))
+    folder = str(tmp_path / "u")
+    u.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 300).parquet(folder)
+    s = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = run(jobs.rollup(s, delay="60 days"), "complete", "rollup_all", tmp_path)
+    want = jobs.rollup(u, delay="60 days")
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_rollup_appends_closed_windows_only(spark, tmp_path):
+    row = lambda t: ("i", 1, "timed", t, "m", True, None, 1, 0, 0, 0, 1, 0, None, 5)
+    s, _ = stream_of(spark, tmp_path, "u2", [[row(0), row(10 * SEC)], [row(3 * HOUR)], [row(6 * HOUR)]], M.USAGE)
+    got = {r.bucket: r.requests for r in run(jobs.rollup(s), "append", "rollup_closed", tmp_path).collect()}
+    assert got[0] == 2 and 6 * HOUR not in got
+
+
+def test_live_windows_match_batch(spark, tmp_path):
+    batches = [[snap(100, 5, 18000), snap(200, 9, 18001)], [snap(300, 7, 17999), snap(400, 12, 18000)], [snap(20000, 3, 36100), snap(20100, 4, 36100)]]
+    s, folder = stream_of(spark, tmp_path, "s", batches, M.SNAPSHOT)
+    rows = run(state.live_windows(s), "update", "live", tmp_path).collect()
+    live = {}
+    for r in rows:                                    # the last update of each cycle
+        live[r.reset_max] = r if r.reset_max not in live or r.last_seen > live[r.reset_max].last_seen else live[r.reset_max]
+    p = Params(now=10**15)
+    d = W.cycle_digest(spark.read.parquet(folder), p)
+    batch = {c.reset_max: c for c in W.cycles(d, p).collect()}
+    steps = {}
+    for st in W.steps(d).collect():
+        steps[st.reset_min] = max(st.step_no, steps.get(st.reset_min, 0))
+    for end in (18001 * SEC, 36100 * SEC):
+        a, b = live[end], batch[end]
+        assert (a.reset_min, a.first_seen, a.last_seen, a.used_percent, a.steps) == (
+            b.reset_min, b.first_seen, b.last_seen, b.peak_percent, steps[b.reset_min])
+
+
+def test_visible_changes(spark, tmp_path):
+    s, _ = stream_of(spark, tmp_path, "c", [[snap(1, 5, 600), snap(2, 5, 601)], [snap(3, 5, 600)], [snap(4, 6, 600), snap(5, 6, 720)]], M.SNAPSHOT)
+    assert sorted(r.ts // SEC for r in run(state.visible_changes(s), "append", "changes", tmp_path).collect()) == [1, 4, 5]
+
+
+def test_alert_cooldown(spark, tmp_path):
+    row = lambda t, d="tighter": (1, "linked", "w", d, t, 0.6, "x", 4)
+    s, _ = stream_of(spark, tmp_path, "al", [[row(0)], [row(1000 * SEC), row(5, "looser")], [row(25 * HOUR)]], M.ALERT)
+    got = sorted((r.direction, r.ts) for r in run(state.cooled_alerts(s), "append", "cool", tmp_path).collect())
+    assert got == [("looser", 5), ("tighter", 0), ("tighter", 25 * HOUR)]
+
+
+def test_repeats_within_watermark(spark, tmp_path):
+    row = lambda i, t: (i, 1, "timed", t, "m", True, None, 1, 0, 0, 0, 1, 0, None, 5)
+    s, _ = stream_of(spark, tmp_path, "d", [[row("a", 0)], [row("a", 5), row("b", 6)]], M.USAGE)
+    assert run(jobs.drop_repeats(s, ["id"], "1 hour"), "append", "dd", tmp_path).count() == 2
+
+
+def test_ingest_is_idempotent(spark, tmp_path):
+    rows = [[("x", 1)], [("x", 2), ("y", 3)]]
+    s, folder = stream_of(spark, tmp_path, "raw", rows, "id string, v long")
+    for i in range(2):                                # the second run reads everything again
+        jobs.ingest(s, lambda b: b, ["id"], str(tmp_path / "t"), str(tmp_path / f"cp{i}"), {"availableNow": True}).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_late_rows_give_the_same_windows(spark, tmp_path):
+    p = Params(now=10**15)
+    early, late = [snap(100, 5, 18000), snap(400, 12, 18000)], [snap(200, 9, 18001), snap(150, 2, 18000, account=2)]
+    out, table = str(tmp_path / "w"), str(tmp_path / "snaps")
+    empty_u, empty_l = spark.createDataFrame([], M.USAGE), spark.createDataFrame([], M.LINK)
+    s, _ = stream_of(spark, tmp_path, "in", [early, late], M.SNAPSHOT)
+
+    def store_then_tables():
+        return spark.read.schema(M.SNAPSHOT).parquet(str(tmp_path / "in")), empty_u, empty_l
+    jobs.maintain_windows(s, store_then_tables, p, out, str(tmp_path / "cpw"), {"availableNow": True}).awaitTermination()
+    want = W.build_windows(spark.createDataFrame(early + late, M.SNAPSHOT), empty_u, empty_l, p)[0]
+    cols = ["account_id", "reset_min", "used_percent", "first_seen", "last_seen"]
+    assert sorted(spark.read.parquet(out).select(*cols).collect()) == sorted(want.select(*cols).collect())
+    assert table and sinks.stored(want, str(tmp_path / "nowhere")) is None
+
+
+def test_replace_partitions_keeps_others(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = lambda rows: spark.createDataFrame(rows, "v long, account_id long")
+    sinks.replace_partitions(df([(1, 1), (2, 2)]), path, ["account_id"])
+    sinks.replace_partitions(df([(9, 2)]), path, ["account_id"])
+    assert sorted((r.v, r.account_id) for r in spark.read.parquet(path).collect()) == [(1, 1), (9, 2)]
+    assert json.dumps({}) == "{}"
