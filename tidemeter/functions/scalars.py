@@ -35,7 +35,9 @@ def parse_iso(text: Column | str) -> Column:
     shaped = F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?\s*$"), zoned)
     # A bare hour is not a timestamp literal for the cast: complete it.
     full = F.regexp_replace(shaped, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})([+-])", "$1:00$2")
-    return F.unix_micros(full.try_cast("timestamp"))
+    # The usual form casts as it is; only the others need reshaping.
+    usual = c.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")
+    return F.unix_micros(F.when(usual, c.try_cast("timestamp")).otherwise(full.try_cast("timestamp")))
 
 
 def epoch_us(seconds: Column | str) -> Column:

@@ -292,7 +292,7 @@ def _iso(us: str = "us"):
 
 def _lines_a(spark, sf) -> DataFrame:
     """Timed events as layout-A lines: a partial and a final copy of each message; error events are cut short."""
-    e = D0.events(spark, sf).where(F.col("tool") == "timed")
+    e = D0.spread(D0.events(spark, sf)).where(F.col("tool") == "timed")
     i = F.col("event_id")
 
     def line(output, stop):
@@ -329,7 +329,7 @@ def unparsed_line_gaps(spark, sf):
 def _lines_b(spark, sf, totals: bool) -> DataFrame:
     """Linked events as layout-B lines, one file per account and day: the model, then the counters (single use,
     or only the running total)."""
-    e = D0.events(spark, sf).where(F.col("tool") == "linked")
+    e = D0.spread(D0.events(spark, sf)).where(F.col("tool") == "linked")
     i = F.col("event_id")
     turn = F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(F.col("model")).alias("payload")))
     cached, write = F.col("cents"), i % 7 * 10
@@ -447,7 +447,7 @@ def withdrawn_read_gaps(spark, sf):
 # -- responses -------------------------------------------------------------------------------------
 
 def _responses(spark, sf, kind: str) -> DataFrame:
-    e = D0.events(spark, sf)
+    e = D0.spread(D0.events(spark, sf))
     iso = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pct = (F.col("k") * 1.0)
     if kind == "a":
@@ -509,7 +509,7 @@ def response_archive(spark, sf):
 
 
 def _share_bodies(spark, sf) -> DataFrame:
-    s = D0.share_readings(spark, sf)
+    s = D0.spread(D0.share_readings(spark, sf))
     stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     body = F.struct(F.struct(stamp("as_of").alias("as_of"), stamp("window_start").alias("window_started_at"), F.col("rows")).alias(responses.SHARES_KEY))
     return s.select("account_id", "tool", F.col("as_of").alias("ts"), F.to_json(body).alias("body"))

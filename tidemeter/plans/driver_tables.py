@@ -30,6 +30,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than cores before costly per-row work; a scan of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prices(spark: SparkSession) -> DataFrame:
     rows = []
     for head, kinds in (("claude", 4), ("gpt", 3)):

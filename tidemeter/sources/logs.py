@@ -18,6 +18,7 @@ from tidemeter.operators.dedup import ARRIVAL, best_per_message, first_wins, mer
 from tidemeter.operators.pricing import price_usage
 from tidemeter.operators.rules import drop_deleted
 from tidemeter.operators.temporal import blocked_scan
+from tidemeter.session import cut
 
 RETENTION = 30 * DAY
 _D, _S = T.DoubleType(), T.StringType()
@@ -124,11 +125,12 @@ def usage_from_layout_a(lines: DataFrame, prices: DataFrame) -> DataFrame:
 
 # -- layout B: a session file with cumulative counters --------------------------------------------
 
-def fold_layout_b(lines: DataFrame, default_scope: str = "codex") -> DataFrame:
+def fold_layout_b(lines: DataFrame, default_scope: str = "codex", keep=lambda df: df) -> DataFrame:
     """Token-count lines with what earlier lines of the file carry over.
 
     Model, plan and limit links hold until replaced, the session id of the first meta line sticks, and
-    counters keep their high-water mark.  All of it is a blocked scan over (file, split).
+    counters keep their high-water mark.  All of it is a blocked scan over (file, split).  ``keep`` may
+    cut lineage after parsing, since the scan reads the parsed lines twice.
     """
     # Only three kinds of lines matter; the substring test spares the others the JSON parser.
     seen = lines.where(F.col("value").contains('"token_count"') | F.col("value").contains('"turn_context"')
@@ -136,7 +138,7 @@ def fold_layout_b(lines: DataFrame, default_scope: str = "codex") -> DataFrame:
     d = seen.withColumn("d", F.from_json("value", LAYOUT_B)).withColumn("p", F.col("d.payload"))
     kind = F.when(F.col("d.type") == "session_meta", "meta").when(F.col("d.type") == "turn_context", "turn").when(
         (F.col("d.type") == "event_msg") & (F.col("p.type") == "token_count"), "count")
-    rows = d.withColumn("kind", kind).withColumn("ts", parse_iso("d.timestamp")).where(
+    rows = d.withColumn("kind", kind).withColumn("stamp", F.col("d.timestamp")).withColumn("ts", parse_iso("d.timestamp")).where(
         (F.col("kind") != "count") | F.col("ts").isNotNull())
     snaps = F.when(F.col("kind") == "count", limit_readings("p.rate_limits", default_scope))
     rows = rows.withColumn("snaps", F.coalesce(snaps, F.array().cast(_READINGS)))
@@ -152,7 +154,8 @@ def fold_layout_b(lines: DataFrame, default_scope: str = "codex") -> DataFrame:
             .withColumn("last", F.when(F.col("kind") == "count", counts("p.info.last_token_usage"))))
     for i, c in enumerate(COUNTERS):
         rows = rows.withColumn(f"high{i}", F.col("total")[i])
-    run = blocked_scan(rows.drop("value", "p"), ["account_id", "file"], "block", ["seq"], last=["links", "plan", "model"],
+    slim = keep(rows.drop("value", "p", "d"))
+    run = blocked_scan(slim, ["account_id", "file"], "block", ["seq"], last=["links", "plan", "model"],
                        first=["session"], high=[f"high{i}" for i in range(len(COUNTERS))])
     return run.where(F.col("kind") == "count")
 
@@ -183,7 +186,7 @@ def requests_of(folded: DataFrame, tool: str = "linked", prefix: str = "codex:")
     inp, write, output, reasoning = (F.col("delta")[i] for i in (0, 2, 3, 4))
     cached = F.least(F.col("delta")[1], inp)
     as_list = lambda a: F.coalesce(F.concat(F.lit("["), F.array_join(F.col(a).cast("array<string>"), ", "), F.lit("]")), F.lit("null"))
-    stamp = F.concat(F.lit('"'), F.col("d.timestamp"), F.lit('"'))
+    stamp = F.concat(F.lit('"'), F.col("stamp"), F.lit('"'))
     signature = F.concat(F.lit("["), F.when(F.col("total").isNotNull(), as_list("total")).otherwise(stamp),
                          F.lit(", "), as_list("last"), F.lit("]"))
     model = F.coalesce("model__last", F.lit("unknown"))
@@ -207,7 +210,7 @@ def snapshots_of(folded: DataFrame, tool: str = "linked", source: str = "log") -
 def tables_from_layout_b(lines: DataFrame, prices: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
     """usage, links and snapshots of layout B.  Replayed copies of a request share its id; a copy may still add
     links of other limits.  Rows of a deleted plan up to its deletion stay out."""
-    folded = fold_layout_b(lines)
+    folded = cut(fold_layout_b(lines, keep=cut))
     req, snaps = requests_of(folded), snapshots_of(folded)
     if rules is not None:
         req, snaps = drop_deleted(req, rules), drop_deleted(snaps, rules)

@@ -21,30 +21,33 @@ def _schema(**f: T.DataType) -> T.StructType:
 
 
 _KEYS = dict(account_id=_L, tool=_S, scope=_S, window=_S)
-LIVE = _schema(**_KEYS, reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D, steps=_L)
-_LIVE_STATE = _schema(reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D, steps=_L)
+LIVE = _schema(**_KEYS, reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D)
+_LIVE_STATE = _schema(reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D)
 
 
 def live_windows(snapshots: DataFrame, jitter: int = 900 * SEC) -> DataFrame:
-    """The cycle in progress of every limit: reset range, monotone percent and number of rises so far.
+    """The cycle in progress of every limit: reset range, sights and monotone percent so far.
 
     A reset within the jitter of the current range belongs to the same cycle, a later one starts a new
-    one, an earlier one is stale and left to the batch rebuild.  One row per limit and batch (update mode).
+    one, an earlier one is stale and left to the batch rebuild.  One row per limit and batch (update
+    mode).  Frames are folded one at a time, in any order, so a busy limit is never held whole.
     """
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = list(state.get) if state.exists else None
-        # Only a short batch of one limit is in memory; what came before is the state.
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
-            if cur is None or row.resets_at > cur[1] + jitter:
-                cur = [row.resets_at, row.resets_at, row.ts, row.ts, 0.0, 0]
-            elif row.resets_at < cur[0] - jitter:
+        cur = state.get if state.exists else None
+        for f in frames:
+            resets = f["resets_at"].sort_values()
+            newest = resets[resets.diff().gt(jitter).cumsum().eq(resets.diff().gt(jitter).sum())]
+            lo, hi = int(newest.iloc[0]), int(newest.iloc[-1])
+            if cur is not None and hi < cur[0] - jitter:
                 continue
-            cur[0], cur[1] = min(cur[0], row.resets_at), max(cur[1], row.resets_at)
-            cur[2], cur[3] = min(cur[2], row.ts), max(cur[3], row.ts)
-            if row.used_percent > cur[4]:
-                cur[4], cur[5] = float(row.used_percent), cur[5] + 1
+            own = f[f["resets_at"] >= lo]
+            seen = (lo, hi, int(own["ts"].min()), int(own["ts"].max()), max(0.0, float(own["used_percent"].max())))
+            if cur is None or lo > cur[1] + jitter:
+                cur = seen
+            else:
+                cur = (min(cur[0], seen[0]), max(cur[1], seen[1]), min(cur[2], seen[2]), max(cur[3], seen[3]), max(cur[4], seen[4]))
         if cur is not None:
-            state.update(tuple(cur))
+            state.update(cur)
             yield pd.DataFrame([[*key, *cur]], columns=LIVE.names)
 
     rows = snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull()).select(
@@ -56,7 +59,11 @@ CHANGE = _schema(**_KEYS, ts=_L, used_percent=_D, reset=_L)
 
 
 def visible_changes(snapshots: DataFrame) -> DataFrame:
-    """Snapshots after which a limit's percent or reset minute differs from before."""
+    """Snapshots after which a limit's percent or reset minute differs from before.
+
+    Needs time order, so one limit's rows of one micro-batch are sorted together: size batches with the
+    source's rate limit.  Across any amount of history use ``responses.poll_changes``.
+    """
     def differ(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
         out = []
