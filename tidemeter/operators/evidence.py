@@ -203,30 +203,36 @@ def claim_spans(switches: DataFrame) -> DataFrame:
             .select("account_id", "tool", "login", F.col("ts").alias("start"), "end"))
 
 
-def coverage_status(logins: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per account and tool: current login, whether an open claim covers it or another login, and the history."""
+def _with_current(logins: DataFrame, claims: DataFrame, how: str) -> DataFrame:
     current = logins.groupBy("account_id", "tool").agg(F.max_by("login", "ts").alias("current"))
-    both = claims.join(current, ["account_id", "tool"], "full")
+    return claims.join(current, ["account_id", "tool"], how)
+
+
+def coverage_status(logins: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per account and tool: is the login known, and does an open claim cover it or another login."""
     open_claim = F.col("end").isNull() & F.col("start").isNotNull()
-    return both.groupBy("account_id", "tool").agg(
+    both = _with_current(logins, claims, "full").groupBy("account_id", "tool").agg(
         F.max(F.col("current").isNotNull()).alias("account_known"),
-        F.min(F.when(open_claim, F.struct("start", "login", "current"))).alias("open"),
-        F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct(
-            "start", "end", F.col("login").eqNullSafe(F.col("current")).alias("current_account"))))).alias("history")).select(
-        "account_id", "tool", "account_known",
-        (F.col("open").isNotNull() & F.col("open.login").eqNullSafe(F.col("open.current"))).alias("on"),
-        (F.col("open").isNotNull() & ~F.col("open.login").eqNullSafe(F.col("open.current"))).alias("other_account"),
-        F.col("open.start").alias("since"), "history")
+        F.min(F.when(open_claim, F.struct("start", "login", "current"))).alias("open"), F.count("start").alias("claims"))
+    own = F.col("open.login").eqNullSafe(F.col("open.current"))
+    return both.select("account_id", "tool", "account_known", (F.col("open").isNotNull() & own).alias("on"),
+                       (F.col("open").isNotNull() & ~own).alias("other_account"), F.col("open.start").alias("since"), "claims")
+
+
+def claim_history(logins: DataFrame, claims: DataFrame) -> DataFrame:
+    """Every claim, marked if it belongs to the current login."""
+    return _with_current(logins, claims, "left").select(
+        "account_id", "tool", "start", "end", F.col("login").eqNullSafe(F.col("current")).alias("current_account"))
 
 
 # -- quality --------------------------------------------------------------------------------------
 
 def gather(windows: DataFrame, step_rows: DataFrame, breakdowns: DataFrame, gaps: DataFrame, logins: DataFrame,
-           claims: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+           claims: DataFrame, p: Params, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(evidence per window that no rate fit changes, share tables matched to weeks)."""
     w = windows.withColumn("until", F.least("end", "last_seen"))
     timed = w.where(F.col("tool") == "timed")
-    matched = week_breakdowns(timed, source_shares(breakdowns.where(F.col("tool") == "timed")), p)
+    matched = keep(week_breakdowns(timed, source_shares(breakdowns.where(F.col("tool") == "timed")), p))
     spans = noncode_intervals(matched, windows, step_rows)
     short = noncode_in_windows(timed.where(F.col("window") == "five_hour"), spans)
     out = (w.select(*CYCLE, "until").join(gap_kinds(w, gaps), CYCLE, "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemeter.model import DAY
+from tidemeter.model import DAY, HOUR
 
 
 def bucket_of(at: Column, width: int) -> Column:
@@ -66,14 +66,17 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l_lo: s
         *[F.col(f"a.{c}").alias(c) for c in left.columns], *[F.col(f"b.{c}").alias(c) for c in extra])
 
 
-def merge_spans(spans: DataFrame, keys: Sequence[str], lo: str = "start", hi: str = "end") -> DataFrame:
-    """Union of touching or overlapping closed spans per key."""
-    w = Window.partitionBy(*keys).orderBy(lo, hi)
-    prev = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (spans.select(*keys, lo, hi)
-            .withColumn("__new", F.when(prev >= F.col(lo), 0).otherwise(1))
-            .withColumn("__isle", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*keys, "__isle").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__isle"))
+def merge_spans(spans: DataFrame, keys: Sequence[str], lo: str = "start", hi: str = "end", slice_span: int = HOUR) -> DataFrame:
+    """Union of touching or overlapping closed spans per key.
+
+    Two blocked scans: how far earlier spans reach, and the number of breaks so far; a key with a huge
+    number of spans is no single task's work.
+    """
+    one = spans.select(*keys, lo, hi).distinct().withColumn("__slice", bucket_of(F.col(lo), slice_span))
+    reach = blocked_scan(one, keys, "__slice", [lo, hi], high=[hi])
+    breaks = reach.withColumn("__new", F.when(F.col(f"{hi}__high") >= F.col(lo), 0).otherwise(1)).drop(f"{hi}__high")
+    isles = blocked_scan(breaks, keys, "__slice", [lo, hi], total=["__new"])
+    return isles.groupBy(*keys, "__new__total").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__new__total")
 
 
 def blocked_scan(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str],
@@ -85,7 +88,8 @@ def blocked_scan(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
     time).  Per block the summaries are partially aggregated; a short scan over blocks gives what each
     block inherits; a scan inside the block finishes the job.  Adds, per column ``c``:
     ``c__last`` / ``c__first`` (last / first non-null up to and including the row),
-    ``c__high`` (largest value strictly before the row) and ``c__total`` (sum up to and including it).
+    ``c__high`` (largest value strictly before the row) and ``c__total`` (sum up to and including it, 0 if
+    there is none).
     """
     pos = F.struct(*order)
     ends = []
@@ -113,10 +117,11 @@ def blocked_scan(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
         *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"__{c}_l")).alias(f"{c}__last") for c in last],
         *[F.coalesce(F.col(f"__{c}_f"), F.first(c, ignorenulls=True).over(upto)).alias(f"{c}__first") for c in first],
         *[F.greatest(F.max(c).over(prior), F.col(f"__{c}_h")).alias(f"{c}__high") for c in high],
-        *[(F.sum(c).over(upto) + F.coalesce(F.col(f"__{c}_t"), F.lit(0))).alias(f"{c}__total") for c in total])
+        *[(F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.coalesce(F.col(f"__{c}_t"), F.lit(0))).alias(f"{c}__total")
+          for c in total])
 
 
-def equal_runs(df: DataFrame, keys: Sequence[str], at: str, same: Column, span: int = DAY) -> DataFrame:
+def equal_runs(df: DataFrame, keys: Sequence[str], at: str, same: Column, span: int = HOUR) -> DataFrame:
     """Number runs of consecutive rows (by ``at``) per key for which ``same`` holds against the row before.
 
     ``same`` may use the row's columns and ``prev.<column>``.  Works slice of time by slice of time, so

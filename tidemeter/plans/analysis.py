@@ -70,7 +70,7 @@ def analyze(inputs: Inputs, p: Params) -> Result:
     step_rows = cut(step_rows)
     vectors = W.window_vector(spend).join(windows.select(*CYCLE, "plan_key"), CYCLE)
     evidence, matched = V.gather(windows, step_rows, inputs.table("breakdowns"), inputs.table("gaps"),
-                                 inputs.table("logins"), inputs.table("claims"), p)
+                                 inputs.table("logins"), inputs.table("claims"), p, keep=cut)
     weekly = windows.where((F.col("window") == "seven_day") & (F.col("scope") == "all") & (F.col("tool") == "timed"))
     weekly_snaps = inputs.snapshots.where(
         (F.col("window") == "seven_day") & (F.col("scope") == "all") & (F.col("tool") == "timed"))

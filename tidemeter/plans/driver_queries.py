@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from tidemeter import model as M
 from tidemeter.functions import scalars as S
@@ -24,8 +26,9 @@ from tidemeter.plans import driver_tables as D0
 from tidemeter.plans.analysis import Result, analyze
 from tidemeter.plans.driver_tables import NOW, PARAMS
 from tidemeter.plans.oracle_ctes import GROUP_COLS, sql
-from tidemeter.session import cut
-from tidemeter.sources import catalog, logs, responses
+from tidemeter.session import checkpoint_dir, cut
+from tidemeter.sources import logs, responses
+from tidemeter.streaming import jobs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -736,11 +739,16 @@ def claim_spans(spark, sf):
 
 
 @query("coverage_status", sql("""SELECT l.account_id, l.tool, true AS account_known, c.cs IS NOT NULL AND c.ce IS NULL AND c.login = l.cur AS on,
- c.cs IS NOT NULL AND c.ce IS NULL AND c.login <> l.cur AS other_account, CASE WHEN c.ce IS NULL THEN c.cs END AS since, CASE WHEN c.cs IS NULL THEN 0 ELSE 1 END AS spans
+ c.cs IS NOT NULL AND c.ce IS NULL AND c.login <> l.cur AS other_account, CASE WHEN c.ce IS NULL THEN c.cs END AS since, CASE WHEN c.cs IS NULL THEN 0 ELSE 1 END AS claims
  FROM (SELECT account_id, tool, arg_max(login, ts) AS cur FROM logins GROUP BY ALL) l LEFT JOIN claims c USING (account_id, tool)""", "logins", "claims"))
 def coverage_status(spark, sf):
-    s = V.coverage_status(D0.logins(spark, sf), D0.claims(spark, sf))
-    return s.withColumn("spans", F.size("history")).drop("history")
+    return V.coverage_status(D0.logins(spark, sf), D0.claims(spark, sf))
+
+
+@query("claim_history", sql("""SELECT c.account_id, c.tool, cs AS start, ce AS "end", c.login = l.cur AS current_account FROM claims c
+ JOIN (SELECT account_id, tool, arg_max(login, ts) AS cur FROM logins GROUP BY ALL) l USING (account_id, tool)""", "claims", "logins"))
+def claim_history(spark, sf):
+    return V.claim_history(D0.logins(spark, sf), D0.claims(spark, sf))
 
 
 @query("weekly_samples", sql(f"SELECT account_id, tool, t, week, as_of, w, {_rounded('pp err')} FROM samples", "samples"))
@@ -1144,3 +1152,57 @@ def shown_rates(spark, sf):
 @query("banner_groups")
 def banner_groups(spark, sf):
     return views.banner_groups(_analysis(spark, sf).groups, NOW).select(*GROUP, "status", "ratio", "declared")
+
+
+# -- streams ---------------------------------------------------------------------------------------
+
+def _stream(spark, sf, name: str, build: Callable[[], DataFrame], job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Run a streaming job over a table, written as files and read back a few at a time, to its end."""
+    src = cut(build())
+    files = src.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(files)
+    table = f"{name}_{uuid.uuid4().hex[:8]}"
+    out = f"{checkpoint_dir(spark)}/stream-{table}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # A batch that is run again overwrites what it wrote before.
+        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/rows/b={batch_id}")
+    df = job(stream)
+    q = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = T_.StructType([*df.schema, T_.StructField("batch", T_.LongType())])
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
+
+
+@query("streamed_hourly_rollup", sql("""SELECT us - us % 3600000000 AS bucket, account_id, tool, count(*) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
+ FROM (SELECT ts AS us, account_id, tool, outp AS output_tokens FROM usage) GROUP BY 1, 2, 3""", "usage"))
+def streamed_hourly_rollup(spark, sf):
+    """Update mode: the last update of each bucket is its total."""
+    rows = _stream(spark, sf, "rollup", lambda: D0.priced(spark, sf), lambda s: jobs.rollup(s, delay="60 days"), "update")
+    last = rows.groupBy("bucket", "account_id", "tool").agg(F.max_by(F.struct("requests", "output_tokens"), "batch").alias("r"))
+    return last.select("bucket", "account_id", "tool", "r.*")
+
+
+@query("streamed_first_requests", sql("SELECT id, ts, model FROM usage", "usage"))
+def streamed_first_requests(spark, sf):
+    """Every request sent twice; one copy of each comes out."""
+    twice = lambda: D0.priced(spark, sf).select("id", "ts", "model").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    rows = _stream(spark, sf, "first", twice, lambda s: jobs.drop_repeats(s, ["id"], "60 days"), "append")
+    return rows.select("id", "ts", "model")
+
+
+@query("streamed_live_windows", sql("""SELECT account_id, tool, scope, win AS "window", reset_min, reset_max, first_seen, last_seen, peak AS used_percent FROM cyc
+ QUALIFY row_number() OVER (PARTITION BY account_id, tool, scope, win ORDER BY reset_min DESC) = 1""", "cyc"))
+def streamed_live_windows(spark, sf):
+    """After all batches the state of each limit is its newest cycle."""
+    rows = _stream(spark, sf, "live", lambda: D0.snapshots(spark, sf), state.live_windows, "update")
+    cols = [c for c in state.LIVE.names if c not in LIMIT]
+    return rows.groupBy(*LIMIT).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*LIMIT, "r.*")
+
+
+@query("streamed_window_refresh", sql(f"SELECT {_out('used AS used_percent, cost_at AS cost_at_snapshot')} FROM win WHERE account_id = 1", "win"))
+def streamed_window_refresh(spark, sf):
+    """Late rows of one account: its windows rebuilt from the stored tables."""
+    late = D0.snapshots(spark, sf).where((F.col("account_id") == 1) & (F.col("window") == "five_hour"))
+    fresh = jobs.recompute_touched(jobs.touched_accounts(late), D0.snapshots(spark, sf), D0.priced(spark, sf), D0.links(spark, sf), PARAMS)
+    return fresh.select(*CYCLE, "used_percent", "cost_at_snapshot")
