@@ -80,7 +80,7 @@ def analyze(inputs: Inputs, p: Params) -> Result:
     known = cut(windows.join(evidence, CYCLE, "left").join(split, CYCLE, "left"))
 
     def judged(fits: DataFrame) -> tuple[DataFrame, DataFrame]:
-        flagged, shown = R.flag_external(known, step_rows, spend, fits, p)
+        flagged, shown = R.flag_external(known, step_rows, spend, fits, p, keep=cut)
         return V.assess(flagged, p), shown
 
     def vector_of(rows: DataFrame, basis: str) -> DataFrame:
