@@ -65,15 +65,28 @@ def window_seconds(name: Column | str) -> Column:
     return out
 
 
-def lookup_candidates(model: Column | str) -> Column:
-    """Normalised names to look a price up by, exact first; repeats are kept in place."""
+def base_name(model: Column | str) -> Column:
+    """Model name as prices are keyed: lower case, without context mark, provider path, variant or spaces."""
     c = F.col(model) if isinstance(model, str) else model
     m = F.regexp_replace(F.lower(F.trim(c)), r"\[1m\]", "")
     m = F.element_at(F.split(m, "/"), -1)
     m = F.replace(F.element_at(F.split(m, ":"), 1), F.lit("@"), F.lit("-"))
-    undated = F.regexp_replace(m, r"-(\d{8}|\d{4}-\d{2}-\d{2})$", "")
-    plain = F.regexp_replace(undated, r"-(minimal|low|medium|high|xhigh|max)$", "")
-    return F.array(m, undated, plain)
+    # Most names are in that form already and skip the work.
+    return F.when(c.rlike("^[a-z0-9._-]+$"), c).otherwise(m)
+
+
+def undated(name: Column) -> Column:
+    return F.regexp_replace(name, r"-(\d{8}|\d{4}-\d{2}-\d{2})$", "")
+
+
+def without_effort(name: Column) -> Column:
+    return F.regexp_replace(name, r"-(minimal|low|medium|high|xhigh|max)$", "")
+
+
+def lookup_candidates(model: Column | str) -> Column:
+    """Normalised names to look a price up by, exact first; repeats are kept in place."""
+    m = base_name(model)
+    return F.array(m, undated(m), without_effort(undated(m)))
 
 
 def is_on_plan(tool: Column | str, model: Column | str, prefixes: dict[str, list[str]] = PLAN_PREFIXES) -> Column:

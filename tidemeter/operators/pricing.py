@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemeter.functions.scalars import lookup_candidates
+from tidemeter.functions.scalars import base_name, undated, without_effort
 from tidemeter.model import PRICE_FIELDS
 from tidemeter.session import at_most
 
@@ -48,13 +48,17 @@ def catalog_version(prices: DataFrame) -> DataFrame:
 def lookup(df: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """Add ``price_key`` and ``price`` of the first lookup candidate that the catalogue has.
 
-    One pass over the rows: the (counted, broadcast) catalogue is probed once per candidate.
+    One pass over the rows, one probe of the (counted, broadcast) catalogue per candidate; the looser
+    names are only worked out for rows that the stricter ones left without a price.
     """
     fits = at_most(prices, CATALOG_BROADCAST_ROWS)
-    out = df.withColumn("__names", lookup_candidates(model))
-    for i in range(3):
+    out = df.withColumn("__name", base_name(model))
+    missed = lambda *ps: reduce(lambda a, b: a & b, [F.col(p).isNull() for p in ps])
+    names = [F.col("__name"), F.when(missed("__p0"), undated(F.col("__name"))),
+             F.when(missed("__p0", "__p1"), without_effort(undated(F.col("__name"))))]
+    for i, name in enumerate(names):
         side = prices.select(F.col("model").alias(f"__k{i}"), F.struct(*prices.columns).alias(f"__p{i}"))
-        out = out.join(F.broadcast(side) if fits else side, F.col("__names")[i] == F.col(f"__k{i}"), "left")
+        out = out.join(F.broadcast(side) if fits else side, name == F.col(f"__k{i}"), "left")
     return out.select(*df.columns, F.coalesce("__k0", "__k1", "__k2").alias("price_key"),
                       F.coalesce("__p0", "__p1", "__p2").alias("price"))
 

@@ -613,14 +613,14 @@ def percent_steps(spark, sf):
 
 @query("attributed_requests", sql(f"SELECT {_out('id, step_no')} FROM att", "att"))
 def attributed_requests(spark, sf):
-    d = W.cycle_digest(D0.snapshots(spark, sf), PARAMS)
+    d = cut(W.cycle_digest(D0.snapshots(spark, sf), PARAMS))
     segs = W.segments(W.cycles(d, PARAMS), W.steps(d))
     return W.attribute(D0.priced(spark, sf), D0.links(spark, sf), segs, PARAMS).select(*CYCLE, "id", "step_no")
 
 
 @query("segment_spend", sql(f"SELECT {_out('step_no, rate_key, val AS value, unpriced AS unpriced_requests')} FROM spend", "spend"))
 def segment_spend(spark, sf):
-    d = W.cycle_digest(D0.snapshots(spark, sf), PARAMS)
+    d = cut(W.cycle_digest(D0.snapshots(spark, sf), PARAMS))
     segs = W.segments(W.cycles(d, PARAMS), W.steps(d))
     s = W.segment_spend(W.attribute(D0.priced(spark, sf), D0.links(spark, sf), segs, PARAMS))
     return s.select(*CYCLE, "step_no", "rate_key", "value", "unpriced_requests")
@@ -634,7 +634,7 @@ def window_vectors(spark, sf):
 @query("built_windows", sql(f"""SELECT {_out('''s AS start, e AS "end", plan_key, used AS used_percent, cost_at AS cost_at_snapshot, cost_far AS cost_so_far,
  unpriced AS unpriced_requests, active, unseg_pct AS unsegmented_pct''')} FROM win""", "win"))
 def built_windows(spark, sf):
-    w, _, _ = W.build_windows(D0.snapshots(spark, sf), D0.priced(spark, sf), D0.links(spark, sf), PARAMS)
+    w, _, _ = W.build_windows(D0.snapshots(spark, sf), D0.priced(spark, sf), D0.links(spark, sf), PARAMS, keep=cut)
     return w.select(*CYCLE, "start", "end", "plan_key", "used_percent", "cost_at_snapshot", "cost_so_far", "unpriced_requests", "active", "unsegmented_pct")
 
 
