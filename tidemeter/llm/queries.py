@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import byte_bpe
+from tidemeter.llm import byte_bpe, decontaminate, html_text, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,63 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
+@query
+def op1_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(read(spark, sf, "pages"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality.judged(read(spark, sf, "documents"))
+    failed = quality.base_failed()
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+                        (~failed & F.col("kept")).alias("kept"), "p_good", *[c for c in found.columns if c.startswith("vote_")])
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+#: (verdict, host and path)
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Hosts whose pages make up the list of this query.
+LISTED_HOSTS = "cheap-pills|casino-win|free-bets|adult-x|spam-farm|ads-track"
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages")
+    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_filter.judge(pages, URL_RULES, listed)
+
+
+oracle("op8_url_filter", f"""
+WITH p AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+    list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_.*|ref=.*)', 's'))) AS query
+  FROM pages),
+n AS (
+  SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www\\.|m\\.)+', '')
+    || regexp_replace(path, '(\\.html|/)$', '', 's') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS name
+  FROM p),
+listed AS (SELECT DISTINCT name FROM n WHERE regexp_matches(host, '{LISTED_HOSTS}')),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{t}', '{t[:t.index('/')]}', '{t[t.index('/'):]}')" for v, t in URL_RULES)}) AS r(verdict, rule, rule_host, rule_path)),
+fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rules.verdict, length(rule)) AS said
+  FROM n JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT n.page_id, host, path, rule, coalesce(said, CASE WHEN l.name IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.name IS NOT NULL AS listed
+FROM n LEFT JOIN fits USING (page_id) LEFT JOIN listed l ON n.name = l.name""")
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.benchmark_hits(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
