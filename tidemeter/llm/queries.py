@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import byte_bpe, decontaminate, html_text, quality, substring_dedup, url_filter
+from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, quality, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf, "documents"), size=20)
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf, "documents"), size=4, num=85, den=100)
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = quality.judged(read(spark, sf, "documents"))
