@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, quality, substring_dedup, url_filter
+from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, quality, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.benchmark_hits(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf, "documents"), size=50)

@@ -18,7 +18,6 @@ first.  Texts shorter than a window lose nothing.  Other columns, whatever their
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemeter.llm.repeats import bodies, signed, without_repeats
 from tidemeter.llm.words import Words, anchors, mix, slices, texts_of
 
-_NONE = np.iinfo(np.int64).min
-
 
 class Levels:
     """Lengths of the search: short windows, their doubles, and the windows asked for."""
@@ -42,10 +40,6 @@ class Levels:
         self.reach = size - self.short + 1
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _counts(keys: np.ndarray) -> np.ndarray:
     _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
     return n[which]
@@ -76,150 +70,16 @@ def _short_windows(levels: Levels) -> Callable:
                 key = np.where(known, mix(own.view(np.uint64) ^ mix(at.astype(np.uint64))), h)
                 place = at - begins
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(key), pa.array(right.view(np.int64), mask=~right_fits), pa.array(left.view(np.int64), mask=~left_fits), pa.array(own),
+                    [signed(key), pa.array(right.view(np.int64), mask=~right_fits), pa.array(left.view(np.int64), mask=~left_fits), pa.array(own),
                      pa.array(place * 4 + again_right * 2 + again_left)], ["key", "right", "left", "uid", "place"])
     return run
 
 
-def _long_windows(levels: Levels) -> Callable:
-    """Second pass: the long windows around repeated short ones; what repeats inside the slice is settled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            data, off = texts_of(batch.column(2))
-            places = batch.column(3)
-            marks, mark_off = places.values.to_numpy(zero_copy_only=False), places.offsets.to_numpy()
-            for i, j in slices(off):
-                words = Words(data, off, i, j)
-                starts, owner, at, h = anchors(words, levels.short, levels.reach)
-                if not len(starts):
-                    continue
-                flags = np.zeros(len(words), dtype=np.int64)
-                for r in range(j - i):
-                    m = marks[mark_off[i + r]:mark_off[i + r + 1]]
-                    where = words.first[r] + (m >> 2)
-                    where, m = where[where < words.first[r + 1]], m[where < words.first[r + 1]]
-                    np.bitwise_or.at(flags, where, 4 | (m & 3))
-                shift, flag = owner - starts, flags[owner]
-                ok = (flag & 4) > 0
-                ok &= (shift + levels.double > levels.size) | ((flag & 2) > 0)
-                ok &= (shift < levels.double - levels.short) | ((flag & 1) > 0)
-                starts, owner = starts[ok], owner[ok]
-                if not len(starts):
-                    continue
-                full = words.span_hash(starts, levels.size)
-                row = words.row[starts]
-                order = np.lexsort((starts, uid[i + row], doc[i + row], full))
-                lead = np.ones(len(order), dtype=bool)
-                lead[1:] = full[order][1:] != full[order][:-1]
-                twin = np.zeros(len(order), dtype=bool)  # the same document as the leader, given twice
-                head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-                twin[order] = (uid[i + row[head]] == uid[i + row[order]]) & (doc[i + row[head]] == doc[i + row[order]]) & (
-                    (starts - words.first[row])[head] == (starts - words.first[row])[order])
-                open_ = np.zeros(len(order), dtype=bool)
-                open_[order] = lead
-                open_ |= twin
-                groups = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                base = np.repeat(starts[groups], np.diff(np.concatenate([groups, [len(owner)]])))
-                bit = np.left_shift(np.uint64(1), (starts - base).astype(np.uint64))
-                asked = np.bitwise_or.reduceat(np.where(open_, bit, np.uint64(0)), groups)
-                gone = np.bitwise_or.reduceat(np.where(open_, np.uint64(0), bit), groups)
-                n_open = np.add.reduceat(open_.astype(np.int64), groups)
-                g_row = row[groups]
-                own = uid[i + g_row]
-                anchor_hash = words.span_hash(owner[groups], levels.short)
-                key = np.where(n_open > 0, anchor_hash, mix(own.view(np.uint64) ^ mix(starts[groups].astype(np.uint64))))
-                ends = np.concatenate([[0], np.cumsum(n_open)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(key), pa.array(own), pa.array(doc[i + g_row]), pa.array(starts[groups] - words.first[g_row]), _signed(asked), _signed(gone),
-                     pa.ListArray.from_arrays(pa.array(ends), _signed(full[open_]))], ["key", "uid", "doc", "start", "asked", "gone", "hashes"])
-    return run
-
-
-def _covered(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Which windows of the rows, whole groups by key, start later than an equal one."""
-    t = pa.Table.from_batches(pieces).combine_chunks()
-    col = {n: t.column(n).combine_chunks() if t.num_rows else t.column(n) for n in t.schema.names}
-    key, uid, doc, start = (col[n].to_numpy(zero_copy_only=False) for n in ("key", "uid", "doc", "start"))
-    asked, gone = (col[n].to_numpy(zero_copy_only=False).view(np.uint64).copy() for n in ("asked", "gone"))
-    hashes = col["hashes"]
-    n_open = np.diff(hashes.offsets.to_numpy())
-    full = hashes.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(key)), n_open)
-    # bit numbers of the open windows, in order
-    bits = np.unpackbits(asked.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(asked) else np.zeros((0, 64), np.uint8)
-    place = np.nonzero(bits)[1]
-    at = start[row] + place
-    order = np.lexsort((at, uid[row], doc[row], full, key[row]))
-    r, f = row[order], full[order]
-    lead = np.ones(len(order), dtype=bool)
-    lead[1:] = (f[1:] != f[:-1]) | (key[r][1:] != key[r][:-1])
-    head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
-    first = np.zeros(len(order), dtype=bool)
-    first[order] = (doc[row[head]] == doc[r]) & (uid[row[head]] == uid[r]) & (at[head] == at[order])
-    np.bitwise_or.at(gone, row[~first], np.left_shift(np.uint64(1), place[~first].astype(np.uint64)))
-    some = gone != 0
-    return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(doc[some]), pa.array(start[some]), _signed(gone[some])],
-                                      ["uid", "doc", "start", "gone"])
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Third pass, over rows sorted by key: whole groups at a time."""
-    held: list[pa.RecordBatch] = []
-    size, last = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        if size >= 20_000 and (key[0] != last or key[-1] != last):
-            cut = 0 if key[0] != last else int(np.searchsorted(key != last, True))
-            yield _covered([*held, batch.slice(0, cut)])
-            held, size, batch = [], 0, batch.slice(cut)
-        held.append(batch)
-        size += batch.num_rows
-        last = key[-1]
-    if held:
-        yield _covered(held)
-
-
-def _kept(levels: Levels, texts: bool) -> Callable:
-    """Last pass: what is left of every text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies, order, gone = batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            n_words, n_removed, digests, kept_texts = [], [], [], []
-            for r in range(batch.num_rows):
-                words = (bodies[r].as_py() or "").encode("utf-8").split()  # exactly the separators of ``SPACES``
-                kept = words
-                if gone[r]:
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    for g in gone[r]:
-                        if g["doc"] == order[r]:
-                            bits = g["gone"] & 0xFFFFFFFFFFFFFFFF
-                            while bits:
-                                low = bits & -bits
-                                a = g["start"] + low.bit_length() - 1
-                                edge[a] += 1
-                                edge[a + levels.size] -= 1
-                                bits ^= low
-                    out = np.cumsum(edge[:-1]) > 0
-                    kept = [w for w, x in zip(words, out.tolist()) if not x]
-                left = b" ".join(kept)
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                digests.append(hashlib.sha256(left).hexdigest())
-                if texts:
-                    kept_texts.append(left.decode("utf-8"))
-            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept_texts, pa.string())] * texts, ["k0", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts)
-    return run
-
-
 def dedup(docs: DataFrame, *, size: int = 20, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """``key`` (an integer), ``n_words``, ``n_removed`` and ``kept_sha256`` (kept words joined by one space) of every
     document; with ``texts`` also ``kept_text``."""
     levels = Levels(size)
-    body = docs.select(docs[key].alias("k0"), docs[text].alias("body")).withColumn("uid", F.xxhash64("k0", "body"))
+    body = bodies(docs, key, text)
     short = body.select("uid", "body").mapInArrow(_short_windows(levels), "key long, `right` long, `left` long, uid long, place long")
 
     def times(side: str):
@@ -228,12 +88,9 @@ def dedup(docs: DataFrame, *, size: int = 20, key: str = "doc_id", text: str = "
     repeated = (short.repartition("key").select("uid", "place", times("right").alias("on_right"), times("left").alias("on_left"))
                 .select("uid", F.expr("place | if(on_right, 2, 0) | if(on_left, 1, 0)").alias("place"))
                 .filter("(place & 3) != 0").groupBy("uid").agg(F.collect_list("place").alias("places")))
-    order = F.coalesce(F.col("k0").cast("long"), F.lit(int(_NONE)))
-    long_ = (body.join(repeated, "uid").select("uid", order.alias("doc"), "body", "places")
-             .mapInArrow(_long_windows(levels), "key long, uid long, doc long, start long, asked long, gone long, hashes array<long>"))
-    settled = long_.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "uid long, doc long, start long, gone long")
-    gone = settled.groupBy("uid").agg(F.collect_list(F.struct("doc", "start", "gone")).alias("gone"))
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"k0 {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return (body.join(gone, "uid", "left").select("k0", "body", order.alias("doc"), "gone")
-            .mapInArrow(_kept(levels, texts), schema).withColumnRenamed("k0", key))
+
+    def worth(shift: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """Every double inside the window is repeated."""
+        return ((shift + levels.double > levels.size) | ((flag & 2) > 0)) & ((shift < levels.double - levels.short) | ((flag & 1) > 0))
+
+    return without_repeats(body, repeated, size, levels.short, levels.reach, worth, texts=texts, links=False, key=key)
