@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, substring_dedup, suffix_dedup, url_filter
+from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, substring_dedup, suffix_dedup, token_shards, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf, "documents"), size=20)
 
 
+@query
+def op3_token_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return token_shards.materialised(read(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, seed=20260101)
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(read(spark, sf, "documents"))
