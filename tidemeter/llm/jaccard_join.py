@@ -2,12 +2,12 @@
 
 A document's shingles are put in one order for all: common ones last, then by hash.  Sets that reach the
 similarity share a token in their first few (the prefix).  Documents with the same prefix and the same set size
-form one group, and the join runs over groups: for every prefix token, groups of fitting size are compared by a
-parity bitmap of their prefixes, an upper bound of the overlap.  What passes ties groups together; each tied set
-is expanded to its members, and these are verified on their whole shingle sets.
+form one group, and the join runs over groups: those that share a prefix token and fit in size are expanded to
+their members, which are compared by parity bitmaps of their whole sets, an upper bound of the overlap.  What passes
+ties documents together; within each tied set the whole shingle sets are verified.
 
-No step lists the pairs of a bucket.  A bucket is searched for a spanning forest: each member is compared with
-those not yet reached, once.  Buckets and tied sets beyond a size are dealt into blocks, and every pair of blocks
+Only buckets of a few documents list their pairs.  A larger bucket or tied set is searched for a spanning forest: each
+member is compared with those not yet reached, once.  Beyond a size it is dealt into blocks, and every pair of blocks
 is a task of its own, so a hot token or a group of copies never sits in one task.  Equal sets count once.
 
 The order by frequency is found by a pass over all documents that keeps the tokens frequent within a slice of text; the
@@ -35,8 +35,8 @@ from tidemeter.session import at_most, cut
 ORDERED_TOKENS = 1 << 16
 #: A token counts as common from so many documents.
 COMMON = 32
-#: Groups in one block of a token's bucket.
-BLOCK = 2048
+#: Documents up to which a token's bucket lists its pairs, and in one block of a larger one.
+FEW, BLOCK = 8, 2048
 #: Documents and shingles in one block of a tied set.
 MEMBERS, SHINGLES = 1024, 1_000_000
 #: Ids that may be broadcast instead of shuffling the texts to them: 16 MB.
@@ -117,7 +117,7 @@ def _signatures(size: int, num: int, den: int, common) -> Callable:
                 bits = []
                 for r in range(j - i):
                     width = _bitmap_bits(int(n[r])) if n[r] else 64
-                    odd = np.bincount((mix(token[cut_[r]:cut_[r + 1]]) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    odd = np.bincount((mix(h[first[r]:first[r + 1]]) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                     bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(n), pa.array(a), pa.array(b), pa.array(pa_), pa.array(pb),
@@ -157,11 +157,10 @@ def _whole_groups(work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch
 
 
 class _Bound:
-    """Whether two groups' prefixes can share enough: sizes and parity bitmaps of a table of groups."""
+    """Whether two sets can share enough: sizes and parity bitmaps of a table of documents."""
 
     def __init__(self, n: np.ndarray, bits: list[bytes], num: int, den: int):
         self.n, self.num, self.den = n, num, den
-        self.p = prefix_size(n, num, den)
         self.width = np.array([len(b) * 8 for b in bits])
         self.rows: dict[int, np.ndarray] = {}
         self.maps: dict[int, np.ndarray] = {}
@@ -184,7 +183,7 @@ class _Bound:
         """For pairs of rows; a false answer is certain."""
         nx, ny = self.n[x], self.n[y]
         ok = (np.minimum(nx, ny) * self.den >= self.num * np.maximum(nx, ny))
-        need = -(-self.num * (nx + ny) // (self.num + self.den)) - np.maximum(nx - self.p[x], ny - self.p[y])
+        most = nx + ny - 2 * -(-self.num * (nx + ny) // (self.num + self.den))  # tokens in one set only
         where = np.flatnonzero(ok)
         wx, wy = self.width[x[where]], self.width[y[where]]
         for a, b in {(int(a), int(b)) for a, b in zip(*np.unique(np.stack([wx, wy]), axis=1))} if len(where) else ():
@@ -193,7 +192,7 @@ class _Bound:
             for lo in range(0, len(part), 8192):
                 q = part[lo:lo + 8192]
                 differ = np.bitwise_count(self._at(x[q], a, to) ^ self._at(y[q], b, to)).sum(axis=1, dtype=np.int64)
-                ok[q] = (self.p[x[q]] + self.p[y[q]] - differ) // 2 >= need[q]
+                ok[q] = differ <= most[q]
         return ok
 
 
@@ -222,30 +221,55 @@ def _forest(n: int, side: np.ndarray | None, reach: Callable[[int, np.ndarray],
     return left, right
 
 
-def _tie_groups(num: int, den: int) -> Callable:
-    """Forest edges between groups that share a prefix token and pass the bound."""
+def _met(num: int, den: int) -> Callable:
+    """From rows sorted by token: pairs of groups in small buckets; the rows of large ones."""
     def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, salt, gid, n = (t.column(c).to_numpy() for c in ("i", "j", "salt", "gid", "n"))
+        token, gid, n, members, size = (t.column(c).to_numpy() for c in ("token", "gid", "n", "members", "size"))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(token))))
+        few = size <= FEW
+        same = np.flatnonzero(few & (members > 1))
+        left, right = [gid[same]], [gid[same]]
+        for step in range(1, FEW):
+            if step < len(group):
+                x = np.flatnonzero((group[:-step] == group[step:]) & few[:-step])
+                x = x[np.minimum(n[x], n[x + step]) * den >= num * np.maximum(n[x], n[x + step])]
+                left.append(np.minimum(gid[x], gid[x + step]))
+                right.append(np.maximum(gid[x], gid[x + step]))
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        many = np.flatnonzero(~few)
+        none = np.zeros(pairs.shape[1], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], gid[many]])), pa.array(np.concatenate([pairs[1], gid[many]])),
+                                          pa.array(np.concatenate([none, token[many]])), pa.array(np.concatenate([none, size[many]]))],
+                                         ["a", "b", "token", "size"])
+    return _whole_groups(work, 1)
+
+
+def _tie_pairs(num: int, den: int) -> Callable:
+    """Pairs of documents that pass the bound."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            k = batch.num_rows
+            both = _Bound(np.concatenate([col["xn"].to_numpy(), col["yn"].to_numpy()]), col["xbits"].to_pylist() + col["ybits"].to_pylist(), num, den)
+            ok = pa.array(both.passes(np.arange(k), np.arange(k, 2 * k)))
+            yield pa.RecordBatch.from_arrays([col["xrep"].filter(ok), col["yrep"].filter(ok)], ["a", "b"])
+    return run
+
+
+def _tie_buckets(num: int, den: int) -> Callable:
+    """Forest edges between the documents of a bucket that pass the bound."""
+    def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, salt, rep, n = (t.column(c).to_numpy() for c in ("i", "j", "salt", "rep", "n"))
         bound = _Bound(n, t.column("bits").to_pylist(), num, den)
-        ends = np.append(starts[1:], len(gid))
-        small = ends - starts <= 8
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for step in range(1, 8):
-            x = np.flatnonzero((group[:-step] == group[step:]) & small[group[:-step]]) if step < len(group) else np.zeros(0, np.int64)
-            x = x[(i[x] == j[x]) | (salt[x] != salt[x + step])]
-            if len(x):
-                ok = bound.passes(x, x + step)
-                found.append((x[ok], x[ok] + step))
-        for k in np.flatnonzero(~small):
-            base, size = int(starts[k]), int(ends[k] - starts[k])
-            a, b = _forest(size, None if i[base] == j[base] else salt[base:base + size],
-                           lambda x, rest: bound.passes(np.full(len(rest), base + x), base + rest))
-            found.append((base + np.array(a, dtype=np.int64), base + np.array(b, dtype=np.int64)))
-        if found:
-            a, b = (gid[np.concatenate([f[k] for f in found])] for k in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        left, right = [], []
+        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(rep)).tolist()):
+            a, b = _forest(hi - lo, None if i[lo] == j[lo] else salt[lo:hi],
+                           lambda x, rest: bound.passes(np.full(len(rest), lo + x), lo + rest))
+            left += [lo + x for x in a]
+            right += [lo + x for x in b]
+        a, b = rep[left], rep[right]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
     return _whole_groups(work, 3)
 
 
@@ -306,16 +330,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     # equal sets count once, equal prefixes with equal size are one group
     classes = cut(some.groupBy("n", "a", "b", "pa", "pb").agg(F.min("id").alias("rep")))
     groups = classes.groupBy("n", "pa", "pb").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    members = cut(classes.join(groups, ["n", "pa", "pb"]).select("rep", "gid", "n", "members", "a", "b"))
-    heads = cut(some.join(members.filter("rep = gid").select(F.col("gid").alias("id"), "a", "b"), ["id", "a", "b"], "left_semi")
-                .select(F.col("id").alias("gid"), "n", "prefix", "bits"))
-    shared = (heads.select("gid", "n", F.explode("prefix").alias("token")).repartition("token")
-              .withColumn("in_bucket", F.expr("count(1) OVER (PARTITION BY token)")).filter("in_bucket > 1"))
-    dealt = _blocks(shared, F.expr(f"CAST(ceil(in_bucket / {BLOCK}) AS BIGINT)"), "gid")
-    ties = (dealt.join(heads.select("gid", "bits"), "gid").select("token", "i", "j", "salt", "gid", "n", "bits")
-            .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tie_groups(num, den), "a long, b long"))
-    tied = components(ties)
-    sets = members.join(tied.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    members = cut(some.join(classes.join(groups, ["n", "pa", "pb"]).select(F.col("rep").alias("id"), "a", "b", "gid", "members"), ["id", "a", "b"])
+                  .dropDuplicates(["id", "a", "b"]).select(F.col("id").alias("rep"), "gid", "members", "n", "prefix", "bits"))
+    tokens = members.filter("rep = gid").select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    shared = (tokens.withColumns({"groups": F.expr("count(1) OVER (PARTITION BY token)"), "size": F.expr("sum(members) OVER (PARTITION BY token)")})
+              .filter("groups > 1 OR (size > 1 AND pos = 0)"))
+    met = cut(shared.select("token", "gid", "n", "members", "size").sortWithinPartitions("token").mapInArrow(_met(num, den), "a long, b long, token long, size long"))
+    slim = members.select("gid", "rep", "n", "bits")
+    x, y = (slim.select(*[F.col(c).alias(f"{side}{c}") for c in slim.columns]) for side in "xy")
+    pairs = (met.filter("size = 0").select("a", "b").distinct().join(x, F.col("a") == F.col("xgid")).join(y, F.col("b") == F.col("ygid"))
+             .filter("a <> b OR xrep < yrep").select("xrep", "xn", "xbits", "yrep", "yn", "ybits"))
+    large = _blocks(met.filter("size > 0").select("token", "size", F.col("a").alias("gid")).join(slim, "gid"), F.expr(f"CAST(ceil(size / {BLOCK}) AS BIGINT)"), "rep")
+    large = large.select("token", "i", "j", "salt", "rep", "n", "bits").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    tied = components(pairs.mapInArrow(_tie_pairs(num, den), "a long, b long").union(large.mapInArrow(_tie_buckets(num, den), "a long, b long")))
+    sets = members.select("rep", "n").join(tied.withColumnRenamed("node", "rep"), "rep")
     weight = sets.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1")
     asked = cut(_blocks(sets.join(weight, "root"), F.expr(f"CAST(greatest(ceil(size / {MEMBERS}), ceil(weight / {SHINGLES})) AS BIGINT)"), "rep")
                 .select("root", "i", "j", "salt", "rep"))
