@@ -10,7 +10,7 @@ the parts one after the other.  Documents are never shuffled.
 
 Words lower-case A-Z and split at every ASCII byte that is no letter or digit.  Null and empty texts have no
 words.  An item without words matches nothing.  Repeated document rows are judged each; items that share an id
-count once.  An empty benchmark leaves every document clean.
+count once; one without an id hits words but is not listed.  An empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _parts(items: DataFrame, item_key: str, item_text: str, window: int) -> Iterator[SuffixAutomaton]:
-    slim = items.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("body"))
+    slim = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("body"))
     size = slim.agg(F.sum(F.length("body"))).first()[0] or 0
     n = max(1, math.ceil(size / (2 * PART_WORDS)))  # at least two characters to a word and its separator
     for k in range(n):
@@ -215,7 +215,7 @@ def _found(docs: DataFrame, items: DataFrame, window: int, text: str, item_key:
                         base = int(words.first[r])
                         spans.append(_merged([(int(a) - base, int(b) - base) for a, b in found.get(r, ())]
                                              + [(s["from"], s["to"]) for s in before[i + r]]))
-                        items.append(sorted({names[k] for k in which.get(r, ())} | set(before_items[i + r])))
+                        items.append(sorted(({names[k] for k in which.get(r, ())} | set(before_items[i + r])) - {""}))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in range(len(held) + 1)], pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())),
                      pa.array([[{"from": a, "to": b} for a, b in s] for s in spans], span_type)],

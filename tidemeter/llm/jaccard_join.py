@@ -91,6 +91,13 @@ def _bitmap_bits(n: int) -> int:
     return 1 << min(16, max(9, (n - 1).bit_length()))
 
 
+def _sum_hash(tokens: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each row's token set; row r has the tokens from ``first[r]`` to ``first[r + 1]``."""
+    sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+    np.cumsum(mix(tokens ^ np.uint64(seed)), out=sums[1:])
+    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+
+
 def _signatures(size: int, num: int, den: int, common) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, levels = common.value
@@ -106,14 +113,12 @@ def _signatures(size: int, num: int, den: int, common) -> Callable:
                 order = np.lexsort((h, level, row))
                 h = h[order]
                 first = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(s)))]) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                a, b = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
+                a, b = (_sum_hash(h, first, s) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
                 p = np.where(n > 0, prefix_size(n, num, den), 0)
                 inside = np.arange(len(h)) - first[row] < p[row]
                 token, owner = h[inside], row[inside]
-                sums = [np.concatenate([[0], np.cumsum(mix(token ^ np.uint64(s)))]) for s in (0x2545F4914F6CDD1D, 0x27BB2EE687B0B0FD)]
                 cut_ = np.concatenate([[0], np.cumsum(p)])
-                pa_, pb = ((s[cut_[1:]] - s[cut_[:-1]]).view(np.int64) for s in sums)
+                pa_, pb = (_sum_hash(token, cut_, s) for s in (0x2545F4914F6CDD1D, 0x27BB2EE687B0B0FD))
                 bits = []
                 for r in range(j - i):
                     width = _bitmap_bits(int(n[r])) if n[r] else 64
@@ -365,3 +370,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
         return F.when(F.col(c) != int(_NULL_KEY), F.col(c)).cast(kind)
 
     return named.select(real("id").alias(key), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of every component the rows whose key is the component's smallest, in their own columns; null keys stay unless linked.
+
+    Rows that repeat under one key are one document and stay or go together.
+    """
+    found = near_duplicates(docs, size=size, num=num, den=den, key=key, text=text)
+    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct()
+    return docs.join(gone, docs[key].eqNullSafe(gone["__key"]), "left_anti")

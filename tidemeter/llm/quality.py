@@ -74,20 +74,26 @@ def _slice_features(data: np.ndarray, off: np.ndarray, i: int, j: int, stops: np
             _per_row(_UPPER[body], words.off), _per_row(_LETTER[body] & ((body & 0xC0) != 0x80), words.off)]
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts over each whole text: ``key`` and ``FEATURES``.  A narrow map without a shuffle."""
+def _with_features(docs: DataFrame, text: str) -> DataFrame:
+    """All columns as ``k0``, ``k1`` ..., whatever their names, and ``FEATURES``; a narrow map."""
+    held = [f"k{i}" for i in range(len(docs.columns))]
+    slim = docs.select(*[docs[c].alias(k) for c, k in zip(docs.columns, held)])
+    at = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops = _stop_hashes()
         for batch in batches:
-            data, off = texts_of(batch.column(1))
+            data, off = texts_of(batch.column(at))
             parts = [_slice_features(data, off, i, j, stops) for i, j in slices(off)]
             cols = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.int64()) for k in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", *FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*held, *FEATURES])
+
+    return slim.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in slim.schema], *[f"{f} long" for f in FEATURES]]))
 
-    kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(docs[key].alias("key"), docs[text].alias("body")).mapInArrow(
-        run, f"key {kind}, " + ", ".join(f"{f} long" for f in FEATURES))
-    return found.withColumnRenamed("key", key)
+
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts over each whole text: ``key`` and ``FEATURES``."""
+    return _with_features(docs.select(docs[key].alias("key"), docs[text].alias("body")), "body").select(F.col("k0").alias(key), *FEATURES)
 
 
 def default_rules() -> dict[str, Column]:
@@ -147,18 +153,33 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, *, good_
     return {tuple(p): float(g) for (p, _), g in zip(patterns, good)}
 
 
+def _verdicts(voted: DataFrame, names: list[str]) -> DataFrame:
+    """The vote patterns that occur, at most 3 ** len(names), each with ``p_good``."""
+    counts = voted.groupBy(*names).count().collect()
+    good = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counts), len(names))
+    return voted.sparkSession.createDataFrame([(*p, g) for p, g in good.items()], ", ".join([*[f"{n} int" for n in names], "p_good double"]))
+
+
 def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
     """``key``, the features, each rule's vote (``vote_<rule>``), ``p_good`` and ``kept`` (p_good >= threshold)."""
     rules = rules if rules is not None else default_rules()
     names = [f"vote_{r}" for r in rules]
     voted = cut(features(docs, key, text).withColumns({f"vote_{r}": c.cast("int") for r, c in rules.items()}))
-    counts = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    good = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counts), len(rules))
-    table = docs.sparkSession.createDataFrame([(*p, g) for p, g in good.items()], ", ".join([*[f"{n} int" for n in names], "p_good double"]))
-    return (voted.join(F.broadcast(table), names, "left")
+    return (voted.join(F.broadcast(_verdicts(voted, names)), names, "left")
             .select(key, *FEATURES, *names, "p_good", (F.col("p_good") >= threshold).alias("kept")))
 
 
+def kept_documents(docs: DataFrame, *, text: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
+    """The documents with p_good >= threshold, in their own columns; texts are not shuffled."""
+    rules = rules if rules is not None else default_rules()
+    names = [f"vote_{r}" for r in rules]
+    votes = {f"vote_{r}": c.cast("int") for r, c in rules.items()}
+    verdicts = _verdicts(features(docs.select(docs[text].alias("body")), "body", "body").select(*[v.alias(n) for n, v in votes.items()]), names)
+    good = F.broadcast(verdicts.filter(F.col("p_good") >= threshold).select(*names))
+    return (_with_features(docs, text).withColumns(votes).join(good, names, "left_semi")
+            .select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)]))
+
+
 def base_failed() -> Column:
     """Too short, or mostly repeated."""
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
