@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -1191,6 +1191,34 @@ def streamed_first_requests(spark, sf):
     return rows.select("id", "ts", "model")
 
 
+def _growing(spark, lines: DataFrame, batches: int) -> DataFrame:
+    """A stream of log lines in which every file grows from batch to batch; files and messages break off anywhere."""
+    home = f"{checkpoint_dir(spark)}/growing-{uuid.uuid4().hex}"
+    place = F.row_number().over(Window.partitionBy("account_id", "file").orderBy("block", "seq"))
+    count = F.count("*").over(Window.partitionBy("account_id", "file"))
+    dealt = cut(lines.withColumn("turn", F.floor((place - 1) * batches / count)))
+    for k in range(batches):  # one after the other: a file source goes by modification time
+        dealt.where(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(home)
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(home)
+
+
+@query("streamed_layout_a", ORACLES["parsed_messages"])
+def streamed_layout_a(spark, sf):
+    """Log lines that arrive bit by bit give the requests of one import of them all."""
+    out = f"{checkpoint_dir(spark)}/messages-{uuid.uuid4().hex}"
+    jobs.ingest_messages(_growing(spark, _lines_a(spark, sf), 4), f"{out}/rows", f"{out}/cp", {"availableNow": True}).awaitTermination()
+    return jobs.message_usage(spark, f"{out}/rows", D0.prices(spark)).drop("tool", "session_id", "reasoning_tokens")
+
+
+@query("streamed_layout_b", ORACLES["folded_requests"])
+def streamed_layout_b(spark, sf):
+    """Session files that grow from batch to batch keep their model, session and counters."""
+    out = f"{checkpoint_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    jobs.ingest_sessions(_growing(spark, _lines_b(spark, sf, False), 4), f"{out}/rows", f"{out}/cp", {"availableNow": True}).awaitTermination()
+    t = jobs.session_tables(spark, f"{out}/rows", D0.prices(spark))["usage"]
+    return t.select("account_id", "ts", "model", "session_id", "input_tokens", "cache_read_tokens", "cache_write_5m_tokens", "output_tokens", "reasoning_tokens")
+
+
 @query("streamed_live_windows", sql("""SELECT account_id, tool, scope, win AS "window", reset_min, reset_max, first_seen, last_seen, peak AS used_percent FROM cyc
  QUALIFY row_number() OVER (PARTITION BY account_id, tool, scope, win ORDER BY reset_min DESC) = 1""", "cyc"))
 def streamed_live_windows(spark, sf):

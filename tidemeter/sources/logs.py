@@ -117,21 +117,21 @@ def _not_empty() -> Column:
         "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")])
 
 
+def usage_of_messages(messages: DataFrame, prices: DataFrame) -> DataFrame:
+    """Deduplicated, priced requests from all copies of layout-A messages."""
+    per_file = best_per_message(messages).where(_not_empty())
+    return merge_messages(price_usage(per_file, prices)).select(*USAGE.fieldNames())
+
+
 def usage_from_layout_a(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Deduplicated, priced requests of layout A."""
-    per_file = best_per_message(parse_layout_a(lines)).where(_not_empty())
-    return merge_messages(price_usage(per_file, prices)).select(*USAGE.fieldNames())
+    return usage_of_messages(parse_layout_a(lines), prices)
 
 
 # -- layout B: a session file with cumulative counters --------------------------------------------
 
-def fold_layout_b(lines: DataFrame, default_scope: str = "codex", keep=lambda df: df) -> DataFrame:
-    """Token-count lines with what earlier lines of the file carry over.
-
-    Model, plan and limit links hold until replaced, the session id of the first meta line sticks, and
-    counters keep their high-water mark.  All of it is a blocked scan over (file, split).  ``keep`` may
-    cut lineage after parsing, since the scan reads the parsed lines twice.
-    """
+def session_rows(lines: DataFrame, default_scope: str = "codex") -> DataFrame:
+    """The lines of session files that matter, parsed: what each says about model, plan, session, limits and counters."""
     # Only three kinds of lines matter; the substring test spares the others the JSON parser.
     seen = lines.where(F.col("value").contains('"token_count"') | F.col("value").contains('"turn_context"')
                        | F.col("value").contains('"session_meta"'))
@@ -154,12 +154,45 @@ def fold_layout_b(lines: DataFrame, default_scope: str = "codex", keep=lambda df
             .withColumn("last", F.when(F.col("kind") == "count", counts("p.info.last_token_usage"))))
     for i, c in enumerate(COUNTERS):
         rows = rows.withColumn(f"high{i}", F.col("total")[i])
-    slim = keep(rows.drop("value", "p", "d"))
-    run = blocked_scan(slim, ["account_id", "file"], "block", ["seq"], last=["links", "plan", "model"],
-                       first=["session"], high=[f"high{i}" for i in range(len(COUNTERS))])
+    return rows.drop("value", "p", "d")
+
+
+_HIGHS = [f"high{i}" for i in range(len(COUNTERS))]
+_CARRIED = {"last": ["links", "plan", "model"], "first": ["session"], "high": _HIGHS}
+
+
+def fold_rows(rows: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Token-count lines with what earlier lines of the file carry over.
+
+    Model, plan and limit links hold until replaced, the session id of the first meta line sticks, and
+    counters keep their high-water mark.  All of it is a blocked scan over (file, split).  ``carried`` holds what
+    lines of an earlier import left (``carry_over``); it stands before the first line of its file.
+    """
+    if carried is not None:
+        before = carried.select("account_id", "file", *sum(_CARRIED.values(), []), F.lit(-1).cast("bigint").alias("block"),
+                                F.lit(-1).cast("bigint").alias("seq"), F.lit("carried").alias("kind"))
+        rows = rows.unionByName(before, allowMissingColumns=True)
+    run = blocked_scan(rows, ["account_id", "file"], "block", ["seq"], **_CARRIED)
     return run.where(F.col("kind") == "count")
 
 
+def carry_over(rows: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """What the lines of each file leave for lines that come later: one row a file."""
+    keys = ["account_id", "file"]
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct("block", "seq"))
+    slim = rows.select(*keys, "block", "seq", *sum(_CARRIED.values(), []))
+    if carried is not None:
+        slim = slim.unionByName(carried.select(*keys, F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("seq"),
+                                               *sum(_CARRIED.values(), [])))
+    return slim.groupBy(*keys).agg(*[F.max_by(c, place(c)).alias(c) for c in _CARRIED["last"]],
+                                   *[F.min_by(c, place(c)).alias(c) for c in _CARRIED["first"]], *[F.max(c).alias(c) for c in _CARRIED["high"]])
+
+
+def fold_layout_b(lines: DataFrame, default_scope: str = "codex", keep=lambda df: df) -> DataFrame:
+    """Folded token-count lines of whole files.  ``keep`` may cut lineage after parsing, since the scan reads the parsed lines twice."""
+    return fold_rows(keep(session_rows(lines, default_scope)))
+
+
 _READINGS = ("array<struct<scope string, window string, used_percent double, resets_at bigint, "
              "window_seconds bigint, plan_type string>>")
 
@@ -207,11 +240,12 @@ def snapshots_of(folded: DataFrame, tool: str = "linked", source: str = "log") -
                     "plan_type", "source", *ARRIVAL)
 
 
-def tables_from_layout_b(lines: DataFrame, prices: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
-    """usage, links and snapshots of layout B.  Replayed copies of a request share its id; a copy may still add
-    links of other limits.  Rows of a deleted plan up to its deletion stay out."""
-    folded = cut(fold_layout_b(lines, keep=cut))
-    req, snaps = requests_of(folded), snapshots_of(folded)
+def tables_of_sessions(req: DataFrame, snaps: DataFrame, prices: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """usage, links and snapshots from all copies of requests and readings.
+
+    Replayed copies of a request share its id; a copy may still add links of other limits.  Rows of a deleted
+    plan up to its deletion stay out.
+    """
     if rules is not None:
         req, snaps = drop_deleted(req, rules), drop_deleted(snaps, rules)
     links = req.select(F.col("id").alias("usage_id"), "account_id", "tool", *ARRIVAL, F.inline("links"))
@@ -224,6 +258,12 @@ def tables_from_layout_b(lines: DataFrame, prices: DataFrame, rules: DataFrame |
     }
 
 
+def tables_from_layout_b(lines: DataFrame, prices: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """usage, links and snapshots of layout B."""
+    folded = cut(fold_layout_b(lines, keep=cut))
+    return tables_of_sessions(requests_of(folded), snapshots_of(folded), prices, rules)
+
+
 # -- file bookkeeping -----------------------------------------------------------------------------
 
 def file_listing(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") -> DataFrame:

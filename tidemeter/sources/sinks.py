@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemeter.operators.dedup import first_wins
+
 
 def stored(df: DataFrame, path: str) -> DataFrame | None:
     """The table at ``path``, or None before its first write."""
@@ -17,9 +19,18 @@ def stored(df: DataFrame, path: str) -> DataFrame | None:
         raise
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
-    """Insert-or-ignore: append only rows whose key the table does not have yet (one per key)."""
-    fresh = df.dropDuplicates(keys)
+def stored_batches(spark: SparkSession, path: str, first: int, until: int) -> DataFrame | None:
+    """Rows of the batch folders ``first`` to ``until`` (excluded) below ``path``; only these folders are read."""
+    rows = stored(spark.range(0), path)
+    return None if rows is None else rows.filter((F.col("batch") >= first) & (F.col("batch") < until))
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None, arrival: list[str] | None = None) -> None:
+    """Insert-or-ignore: append only rows whose key the table does not have yet.
+
+    Of rows with one key the first by ``arrival`` is taken; without it the smallest row, so that a run again takes the same.
+    """
+    fresh = first_wins(df, keys, arrival or [c for c in df.columns if c not in keys])
     old = stored(df, path)
     if old is not None:
         fresh = fresh.join(old.select(*keys), keys, "left_anti").select(*df.columns)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemeter.functions.scalars import exact_sum, usd
 from tidemeter.model import Params
 from tidemeter.operators import windows as W
-from tidemeter.sources.sinks import append_new, replace_partitions
+from tidemeter.sources import logs
+from tidemeter.sources.sinks import append_new, replace_partitions, stored_batches
 
 # Quota readings may lag the request log by this much.
 ALIGN_DELAY = "10 minutes"
@@ -35,13 +36,77 @@ def drop_repeats(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return with_event_time(stream, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return (stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+
+
+def _stage(df: DataFrame, path: str, batch_id: int) -> None:
+    """A batch's rows have a folder of their own: a batch that is run again replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def ingest(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str,
            trigger: dict | None = None) -> StreamingQuery:
-    """Parse every batch and append rows of unknown keys to ``path``: replays and re-reads never count twice."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        append_new(parse(batch), path, keys)
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+    """Parse every batch on its own and append rows of unknown keys to ``path``: replays and re-reads never count twice.
+
+    For rows that are complete in themselves; log files that grow go through ``ingest_messages`` and ``ingest_sessions``.
+    """
+    return _start(stream, lambda batch, _: append_new(parse(batch), path, keys), checkpoint, trigger)
+
+
+def ingest_messages(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Stage all copies of layout-A messages of a stream of log lines.
+
+    Nothing is decided while writing, so no batch reads the stored table: ``message_usage`` settles which copy
+    stands, over all batches, exactly as one import of all lines would.
+    """
+    return _start(stream, lambda batch, n: _stage(logs.parse_layout_a(batch), path, n), checkpoint, trigger)
+
+
+def message_usage(spark: SparkSession, path: str, prices: DataFrame) -> DataFrame:
+    """Requests of all staged messages."""
+    return logs.usage_of_messages(spark.read.parquet(path).drop("batch"), prices)
+
+
+#: Batches after which what files carry over is written in full; in between a batch writes the files it met.
+FULL_STATE_EVERY = 50
+
+
+def carried_into(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What files carry into a batch: their newest row of the batches before it, from the last full one on."""
+    past = stored_batches(spark, path, (batch_id - 1) // FULL_STATE_EVERY * FULL_STATE_EVERY, batch_id)
+    if past is None:
+        return None
+    rest = [c for c in past.columns if c not in ("account_id", "file", "batch")]
+    return past.groupBy("account_id", "file").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("account_id", "file", "r.*")
+
+
+def ingest_sessions(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Stage the requests and readings of a stream of layout-B lines; files may grow from batch to batch.
+
+    A file's lines only make sense after those before them, so each batch takes up what the file carried over
+    (model, plan, links, session, counters) and leaves the same for the next.  A batch reads only what batches
+    before it left, so running it again gives the same rows.
+    """
+    def work(batch: DataFrame, batch_id: int) -> None:
+        rows = logs.session_rows(batch).persist()
+        state = carried_into(batch.sparkSession, f"{path}/carried", batch_id)
+        mine = None if state is None else state.join(rows.select("account_id", "file").distinct(), ["account_id", "file"], "left_semi")
+        folded = logs.fold_rows(rows, mine).persist()
+        _stage(logs.requests_of(folded), f"{path}/requests", batch_id)
+        _stage(logs.snapshots_of(folded), f"{path}/snapshots", batch_id)
+        left = logs.carry_over(rows, state if batch_id % FULL_STATE_EVERY == 0 else mine)
+        _stage(left, f"{path}/carried", batch_id)
+        folded.unpersist()
+        rows.unpersist()
+    return _start(stream, work, checkpoint, trigger)
+
+
+def session_tables(spark: SparkSession, path: str, prices: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """usage, links and snapshots of all staged sessions."""
+    req, snaps = (spark.read.parquet(f"{path}/{t}").drop("batch") for t in ("requests", "snapshots"))
+    return logs.tables_of_sessions(req, snaps, prices, rules)
 
 
 def touched_accounts(*batches: DataFrame) -> DataFrame:
@@ -74,7 +139,6 @@ def maintain_windows(stream: DataFrame, tables: Callable[[], tuple[DataFrame, Da
         fresh = recompute_touched(touched_accounts(batch), *tables(), p)
         replace_partitions(fresh.select(*[c for c in fresh.columns if c not in ("account_id", "tool")], "account_id", "tool"),
                            path, ["account_id", "tool"])
-    return (stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+    return _start(stream, refresh, checkpoint, trigger)
 
 
