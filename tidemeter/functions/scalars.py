@@ -17,7 +17,7 @@ def usd(pico: Column | str) -> Column:
 def exact_sum(c: Column | str) -> Column:
     """Order-independent sum of a BIGINT that cannot overflow on a hot key."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c.cast("decimal(18,0)"))
+    return F.sum(c.cast("decimal(20,0)"))
 
 
 def parse_iso(text: Column | str) -> Column:

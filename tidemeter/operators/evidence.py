@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.model import COLLECTED_SOURCES, CYCLE, DAY, KNOWN_SOURCES, QUALITY, SEC, Params
+from tidemeter.operators.dedup import first_wins
 from tidemeter.operators.temporal import equal_runs, interval_join, overlap_join
 from tidemeter.operators.windows import percent_at
 
@@ -17,7 +18,8 @@ _FAR = 1 << 62
 def compact_breakdowns(readings: DataFrame, p: Params) -> DataFrame:
     """Runs of equal share tables of the same week become one row with ``[as_of, last_as_of]``."""
     keys = ["account_id", "tool", "window"]
-    packed = readings.withColumn("rows", F.array_sort("rows")).dropDuplicates([*keys, "as_of"])
+    packed = first_wins(readings.withColumn("rows", F.array_sort("rows")), [*keys, "as_of"],
+                        ["ts"] if "ts" in readings.columns else [F.to_json(F.struct("window_start", "rows", "issues"))])
     same_week = F.col("window_start").eqNullSafe(F.col("prev.window_start")) | (
         F.abs(F.col("window_start") - F.col("prev.window_start")) <= p.reset_jitter)
     run = equal_runs(packed, keys, "as_of", same_week & (F.col("rows") == F.col("prev.rows")), span=7 * DAY)
@@ -146,17 +148,24 @@ def gap_kinds(windows: DataFrame, gaps: DataFrame) -> DataFrame:
 def login_changes(seen: DataFrame) -> DataFrame:
     """Only the moments at which the observed login differs from the one before."""
     known = seen.where(F.col("login").isNotNull() & (F.col("login") != ""))
-    run = equal_runs(known.dropDuplicates(["account_id", "tool", "ts"]), ["account_id", "tool"], "ts",
+    known = known.groupBy("account_id", "tool", "ts").agg(F.min("login").alias("login"))  # of several at one instant the first by name
+    run = equal_runs(known, ["account_id", "tool"], "ts",
                      F.col("login") == F.col("prev.login"))
     return run.groupBy("account_id", "tool", "run").agg(
         F.min("ts").alias("ts"), F.first("login").alias("login")).drop("run")
 
 
+def _horizon(windows: DataFrame, at: str) -> DataFrame:
+    """The latest such moment of any window, for each account and tool."""
+    return windows.groupBy("account_id", "tool").agg(F.max(at).alias("horizon"))
+
+
 def window_logins(windows: DataFrame, logins: DataFrame, p: Params) -> DataFrame:
     """Logins active in each window: those seen inside it and the last one seen before it."""
     w = Window.partitionBy("account_id", "tool").orderBy("ts")
-    spans = logins.select("account_id", "tool", "login", F.col("ts").alias("seen_from"),
-                          (F.coalesce(F.lead("ts").over(w), F.greatest(F.col("ts"), F.lit(p.now)) + DAY) + 1).alias("seen_to"))
+    spans = (logins.join(_horizon(windows, "last_seen"), ["account_id", "tool"], "left").select(
+        "account_id", "tool", "login", F.col("ts").alias("seen_from"),
+        (F.coalesce(F.lead("ts").over(w), F.greatest("ts", "horizon", F.lit(p.now))) + 1).alias("seen_to")))
     own = windows.select(*CYCLE, "start", (F.col("last_seen") + 1).alias("seen_end"))
     hit = overlap_join(own, spans, ["account_id", "tool"], "start", "seen_end", "seen_from", "seen_to")
     return hit.groupBy(*CYCLE).agg(F.count_distinct("login").alias("login_n"), F.min("login").alias("login"))
@@ -172,8 +181,9 @@ def claim_check(windows: DataFrame, claims: DataFrame, logins: DataFrame, p: Par
              .select("account_id", "tool", "login", F.col("start").alias("claim_lo"),
                      F.lead("start").over(w).alias("claim_next"),
                      F.max("to").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("reach")))
-    # Nothing starts after the horizon, so it can close the last span.
-    reach = reach.withColumn("claim_hi", F.coalesce("claim_next", F.greatest(F.col("claim_lo"), F.lit(p.now)) + DAY)).drop("claim_next")
+    # No window of the account starts after the horizon, so it can close the last span.
+    reach = (reach.join(_horizon(windows, "start"), ["account_id", "tool"], "left")
+             .withColumn("claim_hi", F.coalesce("claim_next", F.greatest("claim_lo", "horizon", F.lit(p.now)) + 1)).drop("claim_next", "horizon"))
     own = (windows.select(*CYCLE, "start", "until").join(window_logins(windows, logins, p), CYCLE, "left")
            .join(per_tool, ["account_id", "tool"], "left").join(per_login, ["account_id", "tool", "login"], "left"))
     in_force = interval_join(own.where(F.col("login_n") == 1).select(*CYCLE, "login", "start"), reach,

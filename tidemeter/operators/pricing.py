@@ -41,7 +41,7 @@ def merge_layers(layers: list[DataFrame], aliases: DataFrame | None = None) -> D
 def catalog_version(prices: DataFrame) -> DataFrame:
     """Content hash of the catalogue, whatever its row order: 32-bit slices of the row hashes, summed."""
     rows = prices.select(F.sha2(F.to_json(F.struct("model", *PRICE_FIELDS, "tiers", "fast", "alias_of")), 256).alias("h"))
-    parts = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(18,0)")).cast("string") for i in range(8)]
+    parts = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
     return rows.agg(F.sha1(F.concat_ws("|", F.count("*").cast("string"), *parts)).alias("version"))
 
 

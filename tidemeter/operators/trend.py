@@ -146,7 +146,7 @@ def model_overlap(roles: DataFrame, vectors: DataFrame, p: Params) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("role") == "baseline", F.col("value"))), F.lit(0.0)).alias("b"))
     g = Window.partitionBy(*GROUP)
     shares = (spent.withColumn("rs", F.try_divide("r", F.sum("r").over(g))).withColumn("bs", F.try_divide("b", F.sum("b").over(g))))
-    name = lambda c: F.substring(F.min(F.struct((-F.col(c)).alias("s"), "rate_key"))["rate_key"], 5, 10_000)
+    name = lambda c: F.regexp_replace(F.min(F.struct((-F.col(c)).alias("s"), "rate_key"))["rate_key"], "^usd:", "")
     out = shares.groupBy(*GROUP).agg(
         F.coalesce(F.sum(F.when(F.col("bs") >= p.shared_model_share, F.col("rs"))), F.lit(0.0)).alias("model_overlap"),
         name("bs").alias("model_before"), name("rs").alias("model_after"), F.sum("r").alias("r"), F.sum("b").alias("b"))

@@ -39,7 +39,3 @@ def at_most(df: DataFrame, max_rows: int) -> bool:
     """Whether a bounded count proves ``df`` has at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
 
-
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` when it is proven small; otherwise leave the join to Spark."""
-    return F.broadcast(df) if at_most(df, max_rows) else df

@@ -20,10 +20,9 @@ SHARES_KEY = "seven_day_breakdown"
 
 # -- archive --------------------------------------------------------------------------------------
 
-def _without_identity(node):
-    if isinstance(node, dict):
-        return {k: _without_identity(v) for k, v in node.items() if k not in IDENTITY_KEYS}
-    return [_without_identity(v) for v in node] if isinstance(node, list) else node
+def _plain(pairs: list) -> dict:
+    """An object while it is parsed: identity keys never come to be, at any depth."""
+    return dict(p for p in pairs if p[0] not in IDENTITY_KEYS)
 
 
 @F.pandas_udf(T.StringType())
@@ -31,7 +30,7 @@ def scrub(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical JSON text (sorted keys) without identity keys at any depth; NULL for bad JSON."""
     def clean(text):
         try:
-            return json.dumps(_without_identity(json.loads(text)), sort_keys=True, ensure_ascii=False)
+            return json.dumps(json.loads(text, object_pairs_hook=_plain), sort_keys=True, ensure_ascii=False)
         except (TypeError, ValueError):
             return None
     for batch in bodies:
@@ -67,8 +66,8 @@ def snapshots_layout_a(responses: DataFrame) -> DataFrame:
     for n in names:
         exact, scoped = F.col("key") == n, F.col("key").startswith(n + "_")
         window = F.when(exact | scoped, n).otherwise(window)
-        scope = F.when(exact, "all").when(scoped, F.substring("key", len(n) + 2, 10_000)).otherwise(scope)
-    top = top.select("account_id", "tool", "ts", "plan_type", scope.alias("scope"), window.alias("window"), "pos",
+        scope = F.when(exact, "all").when(scoped, F.regexp_replace("key", f"^{n}_", "")).otherwise(scope)
+    top = top.select("account_id", "tool", "ts", "plan_type", scope.alias("scope"), window.alias("window"), F.struct(F.lit(0).alias("layer"), "pos").alias("pos"),
                      F.col("w.utilization").alias("used_percent"), parse_iso("w.resets_at").alias("resets_at"))
     lim = ("struct<limits:array<struct<kind:string,group:string,percent:double,resets_at:string,"
            "scope:struct<surface:string,model:struct<display_name:string>>>>>")
@@ -79,7 +78,7 @@ def snapshots_layout_a(responses: DataFrame) -> DataFrame:
     name = F.lower(F.trim("l.scope.model.display_name"))
     limits = limits.where(name != "").select(
         "account_id", "tool", "ts", "plan_type", name.alias("scope"), F.lit("seven_day").alias("window"),
-        (F.col("pos") + 1_000_000).alias("pos"), F.col("l.percent").alias("used_percent"), parse_iso("l.resets_at").alias("resets_at"))
+        F.struct(F.lit(1).alias("layer"), "pos").alias("pos"), F.col("l.percent").alias("used_percent"), parse_iso("l.resets_at").alias("resets_at"))
     both = top.where(F.col("window").isNotNull()).unionByName(limits)
     keys = ["account_id", "tool", "scope", "window", "ts"]
     last = both.groupBy(*keys).agg(F.max_by(F.struct("used_percent", "resets_at", "plan_type"), "pos").alias("r"))
@@ -167,15 +166,24 @@ def rebuild_breakdowns(archived: DataFrame, p: Params) -> DataFrame:
 
 # -- field shapes ---------------------------------------------------------------------------------
 
-def _paths(node, at: str) -> Iterator[str]:
-    if isinstance(node, dict) and node:
-        for k, v in node.items():
-            yield from _paths(v, f"{at}.{k}" if at else k)
-    elif isinstance(node, list) and node:
-        yield from _paths(node[0], at + "[]")
-    else:
-        kind = {dict: "{}", list: "[]", type(None): "null"}.get(type(node), type(node).__name__)
-        yield f"{at}:{kind}"
+_EMPTY = {dict: "{}", list: "[]", type(None): "null"}
+
+
+def _paths(value) -> list[str]:
+    """Paths of the leaves of a JSON value, widest first; of a list the first element counts."""
+    found, level = [], [("", value)]
+    while level:
+        below = []
+        for at, node in level:
+            if isinstance(node, dict):
+                steps = [(f"{at}.{k}" if at else k, v) for k, v in node.items()]
+            else:
+                steps = [(f"{at}[]", v) for v in node[:1]] if isinstance(node, list) else []
+            if not steps:
+                found.append(f"{at}:{_EMPTY.get(type(node), type(node).__name__)}")
+            below += steps
+        level = below
+    return found
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -183,7 +191,7 @@ def json_paths(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Key paths of a JSON text with value types; lists show their first element."""
     def read(text):
         try:
-            return list(_paths(json.loads(text), ""))
+            return _paths(json.loads(text))
         except (TypeError, ValueError):
             return None
     for batch in bodies:
