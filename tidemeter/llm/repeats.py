@@ -231,20 +231,21 @@ def kept(size: int, texts: bool, links: bool) -> Callable:
 
 
 def bodies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k0`` the key, ``body`` the text, ``uid`` a hash of both, ``doc`` the key's place in the order (null first)."""
-    return (docs.select(docs[key].alias("k0"), docs[text].alias("body"))
-            .withColumns({"uid": F.xxhash64("k0", "body"), "doc": F.coalesce(F.col("k0").cast("long"), F.lit(int(NULL_KEY)))}))
+    """``k0`` the key, ``body`` the text, ``uid`` a hash of both."""
+    return docs.select(docs[key].alias("k0"), docs[text].alias("body")).withColumn("uid", F.xxhash64("k0", "body"))
 
 
 def without_repeats(body: DataFrame, repeated: DataFrame, size: int, short: int, reach: int, worth: Callable, *, texts: bool, links: bool,
                     key: str) -> DataFrame:
     """The later copies of runs of ``size`` words go.  ``repeated``: ``uid`` and the ``places`` of anchors worth a look."""
+    doc = F.coalesce(F.col("k0").cast("long"), F.lit(int(NULL_KEY))).alias("doc")  # the key's place in the order, null first
+    # Both joins ask for the same three columns of the texts, so Spark shuffles them once.
     hot = body.sparkSession.sparkContext.broadcast(frequent_anchors(body, short, reach))
     more = ", shared long, source long" if links else ""
-    runs = (body.join(repeated, "uid").select("uid", "doc", "body", "places")
+    runs = (body.join(repeated, "uid").select("uid", doc, "body", "places")
             .mapInArrow(runs_around(size, short, reach, worth, hot, links), f"key long, uid long, doc long, start long, asked long, gone long, hashes array<long>{more}"))
     found = runs.repartition("key").sortWithinPartitions("key").mapInArrow(settle(links), f"uid long, doc long, start long, gone long{more}")
     gone = found.groupBy("uid").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "uid"])).alias("gone"))
     schema = f"k0 {body.schema['k0'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
     schema += ", kept_text string" * texts + ", n_repeated long, removed_spans array<struct<from:long,to:long>>, earlier_docs array<long>" * links
-    return body.join(gone, "uid", "left").select("k0", "body", "doc", "gone").mapInArrow(kept(size, texts, links), schema).withColumnRenamed("k0", key)
+    return body.join(gone, "uid", "left").select("k0", "body", doc, "gone").mapInArrow(kept(size, texts, links), schema).withColumnRenamed("k0", key)
