@@ -1,11 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemeter import model as M
 from tidemeter.model import HOUR, SEC, Params
 from tidemeter.operators import windows as W
-from tidemeter.sources import sinks
+from tidemeter.sources import catalog, logs, sinks
 from tidemeter.sources.tail import JsonlTail
 from tidemeter.streaming import jobs, state
 
@@ -144,4 +145,59 @@ def test_replace_partitions_keeps_others(spark, tmp_path):
     sinks.replace_partitions(df([(1, 1), (2, 2)]), path, ["account_id"])
     sinks.replace_partitions(df([(9, 2)]), path, ["account_id"])
     assert sorted((r.v, r.account_id) for r in spark.read.parquet(path).collect()) == [(1, 1), (9, 2)]
-    assert json.dumps({}) == "{}"
+
+
+LINE = "account_id bigint, file string, block bigint, seq bigint, mtime bigint, value string"
+
+
+def growing(spark, tmp_path, name, files, cuts):
+    """All lines as one table, and as a stream in which the files break off at ``cuts``."""
+    rows = [(1, f, k // 4, k, 5, json.dumps(x)) for f, lines in files.items() for k, x in enumerate(lines)]
+    parts = [[r for r in rows if lo <= r[3] < hi] for lo, hi in zip([0, *cuts], [*cuts, 10**6])]
+    return spark.createDataFrame(rows, LINE), stream_of(spark, tmp_path, name, [p for p in parts if p], LINE)[0]
+
+
+def price_table(spark):
+    body = json.dumps({"models": {"gpt-wren": {"input": 2.5, "output": 9}, "claude-finch": {"input": 4, "output": 19}}})
+    return catalog.price_entries(spark.createDataFrame([(body,)], "value string"), "seed")[0]
+
+
+def session_file(session, steps):
+    sums, lines = [0, 0, 0], [{"type": "session_meta", "payload": {"id": session}}, {"type": "turn_context", "payload": {"model": "gpt-wren"}}]
+    for k, step in enumerate(steps):
+        sums = [a + b for a, b in zip(sums, step)]
+        names = ("input_tokens", "cached_input_tokens", "output_tokens")
+        limits = {"limit_id": "codex", "plan_type": "pro", "primary": {"used_percent": 3.5 * k, "window_minutes": 300, "resets_at": 1_900_000_000 + 9_000}} if k % 3 == 0 else None
+        lines.append({"timestamp": f"2030-03-17T17:{k:02d}:00Z", "type": "event_msg", "payload": {
+            "type": "token_count", "info": {"total_token_usage": dict(zip(names, sums))}, **({"rate_limits": limits} if limits else {})}})
+    return lines
+
+
+@pytest.mark.parametrize("cuts", [[3], [1, 2, 4, 7], [5, 6]])
+def test_session_files_may_grow_anywhere(spark, tmp_path, monkeypatch, cuts):
+    monkeypatch.setattr(jobs, "FULL_STATE_EVERY", 2)
+    files = {"a.jsonl": session_file("s-a", [(120, 20, 11), (75, 0, 8), (300, 240, 40), (18, 0, 2), (44, 4, 6)]), "b.jsonl": session_file("s-b", [(9, 0, 1), (35, 5, 7)])}
+    lines, stream = growing(spark, tmp_path, "grow", files, cuts)
+    prices, home = price_table(spark), str(tmp_path / "sessions")
+    want = logs.tables_from_layout_b(lines, prices)
+    jobs.ingest_sessions(stream, home, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+    got = jobs.session_tables(spark, home, prices)
+    for name, table in want.items():
+        columns = sorted(table.columns)
+        assert sorted(map(str, got[name].select(columns).collect())) == sorted(map(str, table.select(columns).collect())), name
+    assert {r.session_id for r in got["usage"].collect()} == {"s-a", "s-b"} and got["usage"].count() == 7
+
+
+@pytest.mark.parametrize("cuts", [[1], [2, 3], [1, 2, 3, 4]])
+def test_messages_may_grow_anywhere(spark, tmp_path, cuts):
+    def copy(name, output, done):
+        return {"type": "assistant", "timestamp": f"2030-03-17T17:{output % 60:02d}:00Z", "sessionId": "n", "message": {
+            "id": name, "model": "claude-finch", "stop_reason": done, "usage": {"input_tokens": 5, "output_tokens": output}}}
+
+    files = {"a.jsonl": [copy("x", 1, None), copy("x", 480, "end"), copy("y", 2, None), copy("x", 700, None), copy("y", 66, "end")], "b.jsonl": [copy("y", 90, None), copy("z", 4, None)]}
+    lines, stream = growing(spark, tmp_path, "grow", files, cuts)
+    prices, home = price_table(spark), str(tmp_path / "messages")
+    jobs.ingest_messages(stream, home, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+    got = {r.id: r for r in jobs.message_usage(spark, home, prices).collect()}
+    assert got == {r.id: r for r in logs.usage_from_layout_a(lines, prices).collect()}
+    assert {i: r.output_tokens for i, r in got.items()} == {"claude:x": 480, "claude:y": 90, "claude:z": 4}

@@ -109,21 +109,24 @@ def test_cycles_do_not_depend_on_arrival_order(spark, rnd):
         assert sorted(steps.get(k, [])) == want
 
 
-def test_nnls_drops_the_most_negative():
+def test_rates_from_sums_of_products():
+    """Where no coefficient is negative it is least squares; otherwise the most negative leaves and the rest is solved again."""
     import numpy as np
 
-    from tidemeter.operators.rates import _solve
-    r = np.random.default_rng(3)
-    for _ in range(50):
-        a, b = r.random((6, 4)) - 0.3, r.random(6)
-        x, keep = np.zeros(4), [0, 1, 2, 3]
-        while keep:
-            s = np.linalg.pinv(a[:, keep]) @ b
-            if min(s) >= 0:
-                x[keep] = s
-                break
-            keep = [k for k in keep if k != keep[int(np.argmin(s))]]
-        assert np.allclose(_solve(a, b), x)
+    from tidemeter.operators.rates import _nonnegative
+
+    def plain(a, b, names):
+        free = np.linalg.lstsq(a[:, names], b, rcond=None)[0] if names else np.zeros(0)
+        if (free >= 0).all():
+            out = np.zeros(a.shape[1])
+            out[names] = free
+            return out
+        return plain(a, b, [n for n in names if n != names[int(np.argmin(free))]])
+
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        a, b = r.normal(0.4, 0.6, (9, 3)), r.random(9)
+        assert np.allclose(_nonnegative(a.T @ a, a.T @ b), plain(a, b, [0, 1, 2]), atol=1e-8)
 
 
 def test_checkpoint_dir_of_the_session_is_used(spark, tmp_path):
