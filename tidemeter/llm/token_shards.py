@@ -17,21 +17,28 @@ Other columns, whatever their names, are left out; an empty table gives no shard
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm.byte_bpe import codec_of, read_ranks
-from tidemeter.session import checkpoint_dir, cut
+from tidemeter.llm.byte_bpe import read_ranks
+from tidemeter.llm.memo import per_process
+from tidemeter.session import at_most, checkpoint_dir, cut
 
 ROUNDS = 6
+#: Bytes of one row group of a shard file.
+ROW_GROUP = 8 << 20
+#: Input splits whose offsets may be broadcast: 16 MB.
+BROADCAST_PARTS = 1_000_000
 
 
 def permutation(n: int, key: int):
@@ -57,21 +64,29 @@ def permutation(n: int, key: int):
     return slots
 
 
+def _encoder(rank_file: bytes, pattern: str) -> tiktoken.Encoding:
+    """This process's encoder; texts are encoded with the installed library, ids are those of ``byte_bpe``."""
+    def build() -> tiktoken.Encoding:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
+        return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return per_process(("encoder", hashlib.sha256(rank_file).digest(), pattern), build)
+
+
 def _sequences(length: int, pad: int, ranks, pattern: str, fits_16: bool):
     """(key, text) to one row for each sequence, numbered inside its task's partition."""
     kind = "<u2" if fits_16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        packer = zstandard.ZstdCompressor(level=1)
-        codec = None
+        packer = zstandard.ZstdCompressor(level=3)
+        encoder = None
         for batch in batches:
-            codec = codec or codec_of(ranks.value, pattern)
+            encoder = encoder or _encoder(ranks.value, pattern)
             for lo in range(0, batch.num_rows, 256):
                 keys, texts = batch.column(0).slice(lo, 256), batch.column(1).slice(lo, 256).to_pylist()
                 row, piece, used, packed = [], [], [], []
                 for r, text in enumerate(texts):
-                    ids = np.frombuffer(codec.encode(text or ""), dtype="<u4")
+                    ids = encoder.encode_to_numpy(text or "", disallowed_special=())
                     for k in range(0, len(ids), length):
                         own = ids[k:k + length]
                         full = np.full(length, pad, dtype=kind)
@@ -98,12 +113,14 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, *, length: int = 10
     kind = docs.schema[key].dataType.simpleString()
     rows = cut(docs.select(docs[key].alias("k0"), docs[text].alias("body")).mapInArrow(
         _sequences(length, pad, ranks, pattern, max(pad, largest) < 1 << 16), f"k0 {kind}, piece long, n_tokens long, part long, place long, record binary"))
-    # One row for each input split: the running sum over them is small whatever the number of sequences.
-    parts = rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.expr("coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
-    return rows.join(parts.select("part", "before"), "part").select("k0", "piece", "n_tokens", F.expr("before + place").alias("number"), "record")
+    # One row for each input split, so small whatever the number of sequences; the sequences themselves stay where they are.
+    parts = cut(rows.groupBy("part").agg(F.count("*").alias("n")).selectExpr(
+        "part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before"))
+    parts = F.broadcast(parts) if at_most(parts, BROADCAST_PARTS) else parts
+    return rows.join(parts, "part").select("k0", "piece", "n_tokens", F.expr("before + place").alias("number"), "record")
 
 
-def write_shards(docs: DataFrame, path: str, rank_path: str, pattern: str, *, seed: int = 1, length: int = 1024, per_shard: int = 256,
+def write_shards(docs: DataFrame, path: str, rank_path: str, pattern: str, *, seed: int = 1, length: int = 1024, per_shard: int = 64,
                  pad: int | None = None, key: str = "doc_id", text: str = "text") -> None:
     """Writes shards under ``path``, with any scheme Spark can write: one row for each shard, in range-partitioned files.
 
@@ -124,7 +141,9 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, pattern: str, *, se
     schema = f"shard long, first_slot long, last_slot long, stride long, `keys` array<{kind}>, pieces array<long>, used array<long>, records binary"
     placed = rows.withColumn("slot", slot("number")).withColumn("shard", F.expr(f"slot div {per_shard}"))
     (placed.repartitionByRange("shard").sortWithinPartitions("slot").select("shard", "slot", "k0", "piece", "n_tokens", "record")
-     .mapInArrow(_pack(per_shard, length * width), schema).write.mode("errorifexists").parquet(path))
+     .mapInArrow(_pack(per_shard, length * width), schema)
+     # small row groups: readers skip to a slot, and writers hold little
+     .write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path))
 
 
 def _pack(per_shard: int, stride: int):
