@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,14 +199,14 @@ def _found(docs: DataFrame, items: DataFrame, window: int, text: str, item_key:
                             "spans": F.array().cast("array<struct<from:long,to:long>>")})
     span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
-    def through(part):
+    def through(part, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = None
             for batch in batches:
                 matcher = matcher or Matcher(part.value)
                 names = part.value.names
                 data, off = texts_of(batch.column(len(held)))
-                counts, items, spans = [], [], []
+                counts, items, spans, texts = [], [], [], []
                 before_items, before = batch.column(len(held) + 2).to_pylist(), batch.column(len(held) + 3).to_pylist()
                 for i, j in slices(off):
                     words = Words(data, off, i, j, MARKS, lower=True)
@@ -215,20 +216,23 @@ def _found(docs: DataFrame, items: DataFrame, window: int, text: str, item_key:
                         base = int(words.first[r])
                         spans.append(_merged([(int(a) - base, int(b) - base) for a, b in found.get(r, ())]
                                              + [(s["from"], s["to"]) for s in before[i + r]]))
+                        if last and clean:
+                            texts.append(_without(words, r, spans[-1]) if spans[-1] else None)
                         items.append(sorted(({names[k] for k in which.get(r, ())} | set(before_items[i + r])) - {""}))
+                body = batch.column(len(held))
+                if last and clean:
+                    body = pc.coalesce(pa.array(texts, pa.string()), body)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in range(len(held) + 1)], pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())),
+                    [*[batch.column(c) for c in range(len(held))], body, pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())),
                      pa.array([[{"from": a, "to": b} for a, b in s] for s in spans], span_type)],
                     [*held, "__text", "n_words", "items", "spans"])
         return run
 
-    for automaton in _parts(items, item_key, item_text, window):
-        out = out.mapInArrow(through(sc.broadcast(automaton)), middle)
+    automata = list(_parts(items, item_key, item_text, window))
+    for k, automaton in enumerate(automata):
+        out = out.mapInArrow(through(sc.broadcast(automaton), k == len(automata) - 1), middle)
     out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"]))
-    if clean:
-        return out.mapInArrow(_without_spans(held), ", ".join([*kinds, "n_words long, n_hit long, items array<string>, "
-                                                               "spans array<struct<from:long,to:long>>, text string"]))
-    return out.drop("__text")
+    return out.withColumnRenamed("__text", "text") if clean else out.drop("__text")
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, key: str = "doc_id", text: str = "text",
@@ -242,23 +246,14 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, key:
     return found.select(F.col("k0").alias(key), "n_words", "n_hit", "items", "spans")
 
 
-def _without_spans(held: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            texts = col["__text"].to_pylist()
-            for r, spans in enumerate(col["spans"].to_pylist()):
-                if spans:
-                    data = texts[r].encode("utf-8")
-                    words = Words(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), 0, 1, MARKS, lower=True)
-                    kept, at = [], 0
-                    for s in spans:
-                        kept.append(data[at:words.start[s["from"]]])
-                        at = words.start[s["to"]] if s["to"] < len(words) else len(data)
-                    texts[r] = b"".join([*kept, data[at:]]).decode("utf-8")
-            names = [*held, "n_words", "n_hit", "items", "spans"]
-            yield pa.RecordBatch.from_arrays([*[col[n] for n in names], pa.array(texts, pa.string())], [*names, "text"])
-    return run
+def _without(words: Words, row: int, spans: list[tuple[int, int]]) -> str:
+    """The text of a row without the words of the spans, and without what stands between them and the next word."""
+    first, end = int(words.first[row]), int(words.off[row + 1])
+    kept, at = [], int(words.off[row])
+    for a, b in spans:
+        kept.append(words.data[at:words.start[first + a]].tobytes())
+        at = int(words.start[first + b]) if b < words.counts[row] else end
+    return b"".join([*kept, words.data[at:end].tobytes()]).decode("utf-8")
 
 
 def items_digest(items) -> F.Column:

@@ -1,4 +1,4 @@
-"""Values that a Python worker keeps from one task to the next."""
+"""Memory of Python workers: what they keep from one task to the next, and how much text they get at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import types
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+from pyspark.sql import SparkSession
+
 T = TypeVar("T")
 _HOME = "_kept_by_this_process"
 
@@ -21,3 +23,13 @@ def per_process(key: Hashable, build: Callable[[], T]) -> T:
     if key not in kept:
         kept[key] = build()
     return kept[key]
+
+
+#: Bytes of one Arrow batch of texts.
+TEXT_BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches of a session that works on texts by bytes; rows differ too much in size for a bound by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH))
+    return spark

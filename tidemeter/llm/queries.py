@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, substring_dedup, suffix_dedup, token_shards, url_filter
+from tidemeter.llm.memo import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +22,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf}/{table}.parquet")
 
 
 def oracle(name: str, sql: str) -> None:

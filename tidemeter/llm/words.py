@@ -14,8 +14,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from tidemeter.llm.memo import per_process
+
 SLICE = 1 << 20
-_BASE, _WINDOW_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _CODES = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -38,17 +40,18 @@ def _codes(lower: bool) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=8)
 def _power_table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 2**64)
-    ups, downs = (np.full(size, x, dtype=np.uint64) for x in (base, inverse))
+    ups, downs = (np.full(size, x, dtype=np.uint64) for x in (base, pow(base, -1, 2**64)))
     ups[0] = downs[0] = 1
     return np.cumprod(ups), np.cumprod(downs)
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
-    up, down = _power_table(int(base), size) if size <= 1 << 23 else _power_table.__wrapped__(int(base), size)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``base`` and of its inverse, modulo 2**64; those for a slice are kept by the process."""
+    size = max(SLICE + 2, n)
+    if size > SLICE + 2:
+        return _power_table(base, n)
+    up, down = per_process(("powers", base, size), lambda: _power_table(base, size))
     return up[:n], down[:n]
 
 
@@ -119,7 +122,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            up, down = _powers(_BASE, len(self.data))
+            up, down = powers(BASE, len(self.data))
             sums = _sums(_codes(self.lower)[self.data], up)
             self._hash = mix((sums[self.end] - sums[self.start]) * down[self.start]) if len(self) else np.zeros(0, dtype=np.uint64)
         return self._hash
@@ -134,7 +137,7 @@ class Words:
 
     def span_hash(self, at: np.ndarray, size) -> np.ndarray:
         """Hashes of the word runs from ``at``, ``size`` words each."""
-        up, down = _powers(_WINDOW_BASE, len(self) + 1)
+        up, down = powers(WINDOW_BASE, len(self) + 1)
         if self._window is None:
             self._window = (_sums(self.hash, up[:len(self)]),)
         sums = self._window[0]
