@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import tidemeter
 from tidemeter.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality
+from tidemeter.llm.memo import small_batches
 from tidemeter.session import checkpoint_dir
 
 # Ship the package's functions by value: workers need not have it installed.
@@ -27,26 +28,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being good, from all rules' votes, is at least one half."""
+    small_batches(spark)
     return quality.kept_documents(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that are at most two edits from an earlier one; ``n_chars`` follows the text."""
-    return _recounted(line_dedup.without_repeated_lines(docs))
+    """Without lines that are at most two edits from an earlier one, and without what has no word left; ``n_chars`` follows the text."""
+    small_batches(spark)
+    return _recounted(line_dedup.without_repeated_lines(docs, drop_emptied=True))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by five-word shingles at a similarity of 0.8 or more, the one of smallest id."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs, size=5, num=80, den=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without benchmark passages of ten words or more, and without documents that are mostly such passages."""
+    small_batches(spark)
     return _recounted(decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, max_coverage=0.5))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of the ids and of their decoding."""
+    small_batches(spark)
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, keep=("lang", "source"))
 
 
