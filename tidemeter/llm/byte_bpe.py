@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from tidemeter.llm.memo import per_process
 
-#: Distinct words whose tokens a task remembers; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 400_000
+#: Distinct stretches whose tokens a Python worker remembers, the first it meets; the others are worked out each time.
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -54,7 +54,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.stretches = _Stretches(self)
 
@@ -73,11 +73,11 @@ class Codec:
         return [self.ranks[p] for p in parts]
 
     def fits(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            if len(self.pairs) < REMEMBERED:
-                self.pairs[left, right] = known
+            if len(self.pairs) < 2 * REMEMBERED:
+                self.pairs[left << 32 | right] = known
         return known
 
     def shorter(self, rank: int) -> int:
@@ -105,7 +105,7 @@ class Codec:
                 if not dead[at + sizes[rank]]:
                     if last < 0:
                         break
-                    known = pairs.get((last, rank))
+                    known = pairs.get(last << 32 | rank)
                     if self.fits(last, rank) if known is None else known:
                         break
                 rank = self.shorter(rank)
@@ -128,7 +128,7 @@ class Codec:
             got = self.words.get(p)
             if got is None:
                 got = np.array(self.piece(p.encode("utf-8")), dtype="<u4").tobytes()
-                if len(self.words) < REMEMBERED // 8 and len(p) <= 64:
+                if len(self.words) < REMEMBERED // 8 and len(p) <= 32:
                     self.words[p] = got
             out.append(got)
         return b"".join(out)
@@ -173,7 +173,7 @@ class _Stretches(dict):
             got = self[found[0][1:]] + codec._pieces(found[1:])
         else:
             got = codec._pieces(found)
-        if len(self) < REMEMBERED and len(stretch) <= 64:
+        if len(self) < REMEMBERED and len(stretch) <= 32:
             self[stretch] = got
         return got
 

@@ -22,21 +22,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemeter.llm.words import SPACES, mix, slices, texts_of
+from tidemeter.llm.words import BASE, SPACES, mix, powers, slices, texts_of
 from tidemeter.session import at_most, cut
 
 EDITS, MIN_CHARS = 2, 20
 #: Lines in one block of a bucket.
-BLOCK = 2048
+BLOCK = 512
 #: Line ids that may be broadcast instead of shuffling all lines to them: 16 MB.
 BROADCAST_IDS = 1_000_000
 NULL_KEY = np.iinfo(np.int64).min
-_BASE = 0x9E3779B97F4A7C15
 _CHECK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -61,12 +60,9 @@ class Lines:
         blank = np.concatenate([[0], np.cumsum((self.points < 128) & SPACES[np.minimum(self.points, 127)])])
         self.blank = blank[self.start + self.size] - blank[self.start] == self.size
         n = len(self.points)
-        up = np.full(n, _BASE, dtype=np.uint64)
-        down = np.full(n + 1, pow(_BASE, -1, 2**64), dtype=np.uint64)
-        up[:1] = down[:1] = 1
-        self.down = np.cumprod(down)
+        up, self.down = powers(BASE, n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * np.cumprod(up), out=self.sums[1:])
+        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
 
     def hash(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix((self.sums[at + size] - self.sums[at]) * self.down[at] + size.astype(np.uint64))
@@ -322,17 +318,28 @@ def line_report(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHA
             .select(F.col("k0").alias(key), "n_lines", F.size(numbers).cast("long").alias("n_removed"), numbers.alias("removed_lines")))
 
 
-def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in their own columns, without the lines that go; what loses no line stays as it is."""
+def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, drop_emptied: bool = False, key: str = "doc_id",
+                           text: str = "text") -> DataFrame:
+    """The documents in their own columns, without the lines that go; what loses no line stays as it is.
+
+    With ``drop_emptied`` a document that loses all its words, as a copy of others does, goes as a whole.
+    """
     gone = _removed(docs, key, text, edits, min_chars)
     names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
     slim = docs.select(*[docs[c].alias(k) for c, k in names.items()], F.xxhash64(docs[key], docs[text]).alias("uid"))
     body = names[text]
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("string")
-    def left(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-        return pd.Series([t if n is None else "\n".join([x for k, x in enumerate(t.split("\n")) if k not in out])
-                          for t, n in zip(texts, numbers) for out in [set() if n is None else set(n.tolist())]], dtype=object)
-
-    return (slim.join(gone, "uid", "left").withColumn(body, left(body, "numbers"))
-            .select(*[F.col(k).alias(c) for c, k in names.items()]))
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if n is None else "\n".join([x for k, x in enumerate(t.split("\n")) if k not in out])
+                     for t, n in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()) for out in [set(n or ())]]
+            cols = [*batch.columns]
+            cols[at] = pc.coalesce(pa.array(texts, pa.string()), cols[at])
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
+
+    rows = slim.join(gone, "uid", "left").select(*names.values(), "numbers")
+    rows = rows.mapInArrow(left, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    if drop_emptied:
+        rows = rows.filter(F.col("numbers").isNull() | F.col(body).rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*[F.col(k).alias(c) for c, k in names.items()])
