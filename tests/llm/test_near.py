@@ -7,7 +7,7 @@ from tests.llm.brute import components, distance, lines_gone, odd_documents, odd
 from tidemeter.llm import graph, jaccard_join, line_dedup
 
 
-@pytest.mark.parametrize("size, num, few, block", [(4, 85, 8, 2048), (5, 80, 2, 3), (1, 50, 2, 4)])
+@pytest.mark.parametrize("size, num, few, block", [(4, 85, 8, 512), (5, 80, 2, 3), (1, 50, 2, 4)])
 def test_components_as_by_brute_force(spark, monkeypatch, size, num, few, block):
     monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -50,7 +50,7 @@ def test_banded_distance(pairs, edits):
     assert not (np.array(true) & ~lines.may_match(x, x + 1, edits)).any()
 
 
-@pytest.mark.parametrize("edits, least, block", [(2, 20, 2048), (1, 4, 3)])
+@pytest.mark.parametrize("edits, least, block", [(2, 20, 512), (1, 4, 3)])
 def test_lines_as_by_brute_force(spark, monkeypatch, edits, least, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     line = prose(70, 12).replace("\n", " ")

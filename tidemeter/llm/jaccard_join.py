@@ -36,7 +36,7 @@ ORDERED_TOKENS = 1 << 16
 #: A token counts as common from so many documents.
 COMMON = 32
 #: Documents up to which a token's bucket lists its pairs, and in one block of a larger one.
-FEW, BLOCK = 8, 2048
+FEW, BLOCK = 8, 512
 #: Documents and shingles in one block of a tied set.
 MEMBERS, SHINGLES = 1024, 1_000_000
 #: Ids that may be broadcast instead of shuffling the texts to them: 16 MB.
