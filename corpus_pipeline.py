@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that are at most two edits from an earlier one, and without what has no word left; ``n_chars`` follows the text."""
+    """Without lines that are at most two edits from an earlier one, and without what has no line of its own left; ``n_chars`` follows the text."""
     small_batches(spark)
     return _recounted(line_dedup.without_repeated_lines(docs, drop_emptied=True))
 

@@ -55,3 +55,12 @@ def test_prose_passes_whole(spark, tmp_path):
     odd_documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "nothing of it at all stands here but these few words more")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 18
+
+
+def test_a_copy_with_a_short_line_goes_whole(spark):
+    text = "Title 1\n" + fair(1) + "\n\nShort end."
+    rows = [(1, text), (2, text), (3, "Short end.\n" + fair(1)), (4, "Own end.\n" + fair(1)), (5, "Title 1\n" + fair(5)), (6, "Title 1\n\n\tShort end."), (7, "Title 1"),
+            (8, None), (9, " \n"), (10, "Not yet"), (11, "Twice\nTwice"), (None, "Title 1")]
+    docs = odd_documents(spark, rows)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    assert got == {None: "Title 1", 1: text, 4: "Own end.", 5: "Title 1\n" + fair(5), 6: "Title 1\n\n\tShort end.", 8: None, 9: " \n", 10: "Not yet", 11: "Twice\nTwice"}

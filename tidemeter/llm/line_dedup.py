@@ -36,6 +36,8 @@ BLOCK = 512
 #: Line ids that may be broadcast instead of shuffling all lines to them: 16 MB.
 BROADCAST_IDS = 1_000_000
 NULL_KEY = np.iinfo(np.int64).min
+#: The characters of ``SPACES``.
+_BLANKS = " \t\n\x0b\x0c\r"
 _CHECK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -83,20 +85,21 @@ def _worth(lines: Lines, min_chars: int) -> np.ndarray:
     return np.flatnonzero((lines.size >= min_chars) & ~lines.blank)
 
 
-def _all_lines(min_chars: int) -> Callable:
-    """(uid, doc, body) to one row for each line worth a look."""
+def _all_lines(min_chars: int, short_too: bool) -> Callable:
+    """(uid, doc, body) to one row for each line worth a look; with ``short_too`` also the shorter ones that have a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, off = texts_of(batch.column(2))
             for i, j in slices(off):
                 lines = Lines(data, off, i, j)
-                k = _worth(lines, min_chars)
+                k = _worth(lines, 0 if short_too else min_chars)
                 h = lines.hash(lines.start[k], lines.size[k])
                 other = mix(((lines.sums[lines.start[k] + lines.size[k]] - lines.sums[lines.start[k]]) * lines.down[lines.start[k]]) ^ _CHECK)
                 row = i + lines.row[k]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(other.view(np.int64)), pa.array(doc[row]), pa.array(uid[row]),
-                                                  pa.array(lines.number[k])], ["line", "check", "doc", "uid", "number"])
+                                                  pa.array(lines.number[k]), pa.array(lines.size[k] < min_chars)],
+                                                 ["line", "check", "doc", "uid", "number", "short"])
     return run
 
 
@@ -282,11 +285,15 @@ def _later_ones(edits: int) -> Callable:
     return run
 
 
-def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int) -> DataFrame:
-    """``uid`` and the ``numbers`` of the lines that go; documents that lose none are left out."""
+def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int, short_too: bool = False) -> DataFrame:
+    """``uid`` and the ``numbers`` of the lines that go; documents that lose none are left out.
+
+    With ``short_too`` also ``again``, the numbers of the lines below the floor that equal an earlier line, and the documents that have only such.
+    """
     body = docs.select(F.coalesce(docs[key].cast("long"), F.lit(int(NULL_KEY))).alias("doc"), docs[text].alias("body"),
                        F.xxhash64(docs[key], docs[text]).alias("uid"))
-    lines = cut(body.select("uid", "doc", "body").mapInArrow(_all_lines(min_chars), "line long, check long, doc long, uid long, number long"))
+    lines = cut(body.select("uid", "doc", "body").mapInArrow(_all_lines(min_chars, short_too),
+                                                                "line long, check long, doc long, uid long, number long, short boolean"))
     place = F.struct("doc", "uid", "number")
     firsts = lines.groupBy("line", "check").agg(F.min(place).alias("first"))
     met = (body.select("body").mapInArrow(_segments(edits, min_chars), "key long, line long, filed boolean").repartition("key")
@@ -306,7 +313,8 @@ def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int) -
              .mapInArrow(_later_ones(edits), "line long").distinct())
     fate = firsts.join(later.withColumn("near", F.lit(True)), "line", "left")
     return (lines.join(fate, ["line", "check"]).filter(F.col("near") | (place != F.col("first")))
-            .groupBy("uid").agg(F.array_sort(F.collect_set("number")).alias("numbers")))
+            .groupBy("uid").agg(*[F.array_sort(F.collect_set(F.when(which, F.col("number")))).alias(name)
+                                  for name, which in [("numbers", ~F.col("short")), ("again", F.col("short"))][:1 + short_too]]))
 
 
 def line_report(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,24 +330,28 @@ def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: in
                            text: str = "text") -> DataFrame:
     """The documents in their own columns, without the lines that go; what loses no line stays as it is.
 
-    With ``drop_emptied`` a document that loses all its words, as a copy of others does, goes as a whole.
+    With ``drop_emptied`` a document goes as a whole if every line of it that has a word goes or, below the floor of ``min_chars``,
+    equals an earlier line of the corpus, as in a copy of others.  Lines below the floor never go alone.
     """
-    gone = _removed(docs, key, text, edits, min_chars)
+    gone = _removed(docs, key, text, edits, min_chars, drop_emptied)
     names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
     slim = docs.select(*[docs[c].alias(k) for c, k in names.items()], F.xxhash64(docs[key], docs[text]).alias("uid"))
-    body = names[text]
     at = docs.columns.index(text)
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if n is None else "\n".join([x for k, x in enumerate(t.split("\n")) if k not in out])
-                     for t, n in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()) for out in [set(n or ())]]
-            cols = [*batch.columns]
+            texts, stays = [], []
+            for t, n, again in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
+                out, known = set(n or ()), set(again or ())
+                lines = [(k, x) for k, x in enumerate(t.split("\n")) if k not in out] if n or again else []
+                texts.append("\n".join([x for _, x in lines]) if n else None)
+                stays.append(not (n or again) or any(k not in known and x.strip(_BLANKS) for k, x in lines))
+            cols = batch.columns[:len(names)]
             cols[at] = pc.coalesce(pa.array(texts, pa.string()), cols[at])
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
+            out = pa.RecordBatch.from_arrays(cols, batch.schema.names[:len(names)])
+            yield out.filter(pa.array(stays, pa.bool_())) if drop_emptied else out
 
-    rows = slim.join(gone, "uid", "left").select(*names.values(), "numbers")
-    rows = rows.mapInArrow(left, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
-    if drop_emptied:
-        rows = rows.filter(F.col("numbers").isNull() | F.col(body).rlike(r"[^\x20\x09-\x0D]"))
+    again = "again" if drop_emptied else F.lit(None).cast("array<long>").alias("again")
+    rows = slim.join(gone, "uid", "left").select(*names.values(), "numbers", again)
+    rows = rows.mapInArrow(left, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:len(names)]))
     return rows.select(*[F.col(k).alias(c) for c, k in names.items()])
