@@ -27,9 +27,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being good, from all rules' votes, is at least one half."""
+    """Documents of 50 words or more, not mostly repeated, whose probability of being good, from all rules' votes, is at least one half."""
     small_batches(spark)
-    return quality.kept_documents(docs)
+    return quality.kept_documents(docs, base=True)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 
 from tests.llm.brute import odd_documents, prose, sha
+from tidemeter.llm import quality
 
 FAIR = "the of and house river in stone wind they went over hill to a garden that was wide".split()
 
@@ -64,3 +65,10 @@ def test_a_copy_with_a_short_line_goes_whole(spark):
     docs = odd_documents(spark, rows)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
     assert got == {None: "Title 1", 1: text, 4: "Own end.", 5: "Title 1\n" + fair(5), 6: "Title 1\n\n\tShort end.", 8: None, 9: " \n", 10: "Not yet", 11: "Twice\nTwice"}
+
+
+def test_the_stage_drops_what_the_operator_drops(spark):
+    rows = [(k, fair(k)) for k in range(20)] + [(50, fair(50, 49)), (51, fair(51, 50)), (52, fair(52, 8) + " " + " ".join([fair(53, 10)] * 8)), (53, None)]
+    docs = odd_documents(spark, rows)
+    got = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {*range(20), 51} == {r.doc_id for r in quality.judged(docs, base=True).collect() if r.kept}

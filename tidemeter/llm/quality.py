@@ -160,26 +160,32 @@ def _verdicts(voted: DataFrame, names: list[str]) -> DataFrame:
     return voted.sparkSession.createDataFrame([(*p, g) for p, g in good.items()], ", ".join([*[f"{n} int" for n in names], "p_good double"]))
 
 
-def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``key``, the features, each rule's vote (``vote_<rule>``), ``p_good`` and ``kept`` (p_good >= threshold)."""
+def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5,
+           base: bool = False) -> DataFrame:
+    """``key``, the features, each rule's vote (``vote_<rule>``), ``p_good`` and ``kept`` (see ``passes``)."""
     rules = rules if rules is not None else default_rules()
     names = [f"vote_{r}" for r in rules]
     voted = cut(features(docs, key, text).withColumns({f"vote_{r}": c.cast("int") for r, c in rules.items()}))
     return (voted.join(F.broadcast(_verdicts(voted, names)), names, "left")
-            .select(key, *FEATURES, *names, "p_good", (F.col("p_good") >= threshold).alias("kept")))
+            .select(key, *FEATURES, *names, "p_good", passes(threshold, base).alias("kept")))
 
 
-def kept_documents(docs: DataFrame, *, text: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
-    """The documents with p_good >= threshold, in their own columns; texts are not shuffled."""
+def kept_documents(docs: DataFrame, *, text: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5, base: bool = False) -> DataFrame:
+    """The documents that pass (see ``passes``), in their own columns; texts are not shuffled."""
     rules = rules if rules is not None else default_rules()
     names = [f"vote_{r}" for r in rules]
     votes = {f"vote_{r}": c.cast("int") for r, c in rules.items()}
     verdicts = _verdicts(features(docs.select(docs[text].alias("body")), "body", "body").select(*[v.alias(n) for n, v in votes.items()]), names)
-    good = F.broadcast(verdicts.filter(F.col("p_good") >= threshold).select(*names))
-    return (_with_features(docs, text).withColumns(votes).join(good, names, "left_semi")
+    return (_with_features(docs, text).withColumns(votes).join(F.broadcast(verdicts), names, "left").filter(passes(threshold, base))
             .select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def base_failed() -> Column:
     """Too short, or mostly repeated."""
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def passes(threshold: float, base: bool) -> Column:
+    """The one verdict on a document: ``p_good`` is at least ``threshold`` and, with ``base``, it is neither too short nor mostly repeated."""
+    good = F.col("p_good") >= threshold
+    return ~base_failed() & good if base else good

@@ -56,10 +56,9 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    found = quality.judged(read(spark, sf, "documents"))
-    failed = quality.base_failed()
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                        (~failed & F.col("kept")).alias("kept"), "p_good", *[c for c in found.columns if c.startswith("vote_")])
+    found = quality.judged(read(spark, sf, "documents"), base=True)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"),
+                        "kept", "p_good", *[c for c in found.columns if c.startswith("vote_")])
 
 
 @query
