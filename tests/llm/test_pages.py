@@ -24,6 +24,20 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article class='post has-sidebar'><p>{ARTICLE}</p></article>", ARTICLE),
+    (f"<article class='hentry comments-open' id=post-1><p>{ARTICLE}</p><aside>{ARTICLE}</aside></article>", ARTICLE),
+    (f"<main class='no-sidebar'><h1>T</h1><p>{ARTICLE}</p><div class='related'>{ARTICLE}</div></main><div>{ARTICLE}</div>", f"T\n{ARTICLE}"),
+    (f"<main id=content class=has-sidebar><article class='post comments-closed'><p>{ARTICLE}</p></article></main>", ARTICLE),
+    (f"<div class='page with-sidebar'><main class='site-search'><p>{ARTICLE}</p></main></div>", ARTICLE),
+    (f"<article class='post has-sidebar'><p>{ARTICLE}</p><section><article class='comment-body'><p>{ARTICLE} No.</p></article></section></article>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p></article><article class='comment'><p>{ARTICLE} No.</p></article>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p></article><footer><article class='post has-sidebar'><p>{ARTICLE} No.</p></article></footer>", ARTICLE),
+])
+def test_names_on_the_article_itself(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_table(spark):
     r = random.Random(1)
     long = " ".join(r.choice(["the", "sea", "and", "hill"]) for _ in range(60_000))

@@ -58,12 +58,15 @@ class Block:
     label: int = OPEN
 
 
-def _region(tag: str, attributes: str, now: int) -> int:
+def _region(tag: str, attributes: str, now: int, in_article: bool) -> int:
     if tag in _NO_TEXT or (tag == "header" and now != GOOD):
         return BAD
     names = {p.lower() for m in _NAMED.finditer(attributes) for p in _NAME_PARTS.findall(m[1] or m[2] or m[3] or "")} if attributes else ()
-    if tag not in ("html", "body") and names and not _AROUND.isdisjoint(names):
-        return BAD
+    if names and not _AROUND.isdisjoint(names):
+        # an article is around the text if nothing else names it, or as part of another (a reader's comment) or of what is around
+        own = tag == "main" or (tag == "article" and now != BAD and not in_article and not _AROUND.issuperset(names))
+        if not own and tag not in ("html", "body"):
+            return BAD
     if attributes and _HIDDEN.search(attributes):
         return BAD
     return GOOD if tag in _ARTICLE or "article" in names else now
@@ -118,7 +121,7 @@ def blocks_of(page: str) -> list[Block]:
             if name == "a":
                 links += 1
             hard = bool(stack) and stack[-1][2]
-            new = BAD if hard else _region(name, m[4], stack[-1][1] if stack else OPEN)
+            new = BAD if hard else _region(name, m[4], stack[-1][1] if stack else OPEN, name == "article" and any(e == name for e, _, _ in stack))
             if name == "p":
                 while stack and stack[-1][0] == "p":
                     stack.pop()
