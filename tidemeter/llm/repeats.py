@@ -4,6 +4,10 @@ Shared by the operators that look for repeated passages; they differ in how they
 Every run belongs to one anchor, so the runs of an anchor travel in one row: their hashes, and as bits those
 already settled inside the slice of text.  Anchors that are frequent in the corpus would gather many rows under
 one key; their runs travel one by one, under the hash of the run.
+
+Where links are asked for, each removed run is traced to the document that holds its first copy in the corpus.  A run settled
+inside a slice of text asks the document with the slice's first copy, in stretches, and gets what that document's own runs
+were traced to.  So the links do not depend on slices and partitions.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.llm.words import Words, anchors, mix, slices, texts_of
+from tidemeter.session import cut
 
 #: Anchors that count as frequent: at least so many rows, the most frequent ones; half a megabyte in the broadcast.
 FREQUENT, FREQUENT_LISTED = 2_000, 1 << 16
 NULL_KEY = np.iinfo(np.int64).min
+#: What rows of runs have besides if documents are linked: ``n`` runs whose first copies in the slice start at ``head_start``.
+LINKS = ("shared", "head", "head_doc", "head_start", "n")
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -62,7 +69,7 @@ def runs_around(size: int, short: int, reach: int, worth: Callable[[np.ndarray,
         words = Words(data, off, i, j)
         starts, owner, _, _ = anchors(words, short, reach)
         if not len(starts):
-            return None
+            return
         flags = np.zeros(len(words), dtype=np.int64)
         for r in range(j - i):
             m = marks[mark_off[i + r]:mark_off[i + r + 1]]
@@ -73,7 +80,7 @@ def runs_around(size: int, short: int, reach: int, worth: Callable[[np.ndarray,
         ok &= worth(owner - starts, flag)
         starts, owner = starts[ok], owner[ok]
         if not len(starts):
-            return None
+            return
         full = words.span_hash(starts, size)
         row = words.row[starts]
         at, own, of = starts - words.first[row], uid[i + row], doc[i + row]
@@ -101,10 +108,25 @@ def runs_around(size: int, short: int, reach: int, worth: Callable[[np.ndarray,
         ends = np.concatenate([[0], np.cumsum(n_open)]).astype(np.int32)
         cols = [signed(key), pa.array(own[groups]), pa.array(of[groups]), pa.array(at[groups]), signed(asked), signed(gone),
                 pa.ListArray.from_arrays(pa.array(ends), signed(full[first]))]
-        if links:
-            source = np.where(~first, of[head], NULL_KEY)
-            cols += [signed(shared), pa.array(np.maximum.reduceat(source, groups))]
-        return pa.RecordBatch.from_arrays(cols, ["key", "uid", "doc", "start", "asked", "gone", "hashes"] + ["shared", "source"] * links)
+        names = ["key", "uid", "doc", "start", "asked", "gone", "hashes"]
+        if not links:
+            yield pa.RecordBatch.from_arrays(cols, names)
+            return
+        zeros = pa.array(np.zeros(len(groups), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([*cols, signed(shared), zeros, zeros, zeros, zeros], [*names, *LINKS])
+        # stretches of runs settled here, each with the place of its first copy in this slice
+        f = np.flatnonzero(~first)
+        if len(f):
+            h = head[f]
+            change = np.ones(len(f), dtype=bool)
+            change[1:] = (np.diff(row[f]) != 0) | (np.diff(at[f]) != 1) | (np.diff(row[h]) != 0) | (np.diff(at[h]) != 1)
+            begin = np.flatnonzero(change)
+            n, f, h = np.diff(np.append(begin, len(f))), f[begin], h[begin]
+            zeros = pa.array(np.zeros(len(f), dtype=np.int64))
+            key = mix(own[f].view(np.uint64) ^ mix(starts[f].astype(np.uint64)))
+            hashes = pa.ListArray.from_arrays(pa.array(np.zeros(len(f) + 1, dtype=np.int32)), pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([signed(key), pa.array(own[f]), pa.array(of[f]), pa.array(at[f]), zeros, zeros, hashes, zeros,
+                                              pa.array(own[h]), pa.array(of[h]), pa.array(at[h]), pa.array(n)], [*names, *LINKS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +135,7 @@ def runs_around(size: int, short: int, reach: int, worth: Callable[[np.ndarray,
             places = batch.column(3)
             marks, mark_off = places.values.to_numpy(zero_copy_only=False), places.offsets.to_numpy()
             for i, j in slices(off):
-                out = work(uid, doc, data, off, i, j, marks, mark_off)
-                if out is not None:
-                    yield out
+                yield from work(uid, doc, data, off, i, j, marks, mark_off)
     return run
 
 
@@ -143,13 +163,24 @@ def _settled(pieces: list[pa.RecordBatch], links: bool) -> pa.RecordBatch:
         some = gone != 0
         return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(doc[some]), pa.array(start[some]), signed(gone[some])],
                                           ["uid", "doc", "start", "gone"])
-    shared, source = t.column("shared").to_numpy().view(np.uint64).copy(), t.column("source").to_numpy().copy()
-    leads = head[~first]
+    shared = t.column("shared").to_numpy().view(np.uint64).copy()
+    leads, later = head[~first], row[~first]
     np.bitwise_or.at(shared, row[leads], bit[leads])
-    np.maximum.at(source, row[~first], doc[row[leads]])
-    some = (gone | shared) != 0
-    return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(doc[some]), pa.array(start[some]), signed(gone[some]), signed(shared[some]),
-                                       pa.array(source[some])], ["uid", "doc", "start", "gone", "shared", "source"])
+    # the first copy's document for each bit of ``told``; one for all where they agree
+    told = np.zeros(len(key), dtype=np.uint64)
+    np.bitwise_or.at(told, later, bit[~first])
+    source = doc[row[leads]]
+    fresh = np.ones(len(later), dtype=bool)
+    fresh[1:] = later[1:] != later[:-1]
+    alike = np.ones(len(key), dtype=bool)
+    alike[later[1:][~fresh[1:] & (source[1:] != source[:-1])]] = False
+    listed = fresh | ~alike[later]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(later[listed], minlength=len(key)))]).astype(np.int32)
+    sources = pa.ListArray.from_arrays(pa.array(ends), pa.array(source[listed]))
+    asks = [t.column(c).combine_chunks() for c in LINKS[1:]]
+    some = pa.array(((gone | shared) != 0) | (t.column("n").to_numpy() > 0))
+    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(doc), pa.array(start), signed(gone), signed(shared), signed(told), sources, *asks],
+                                      ["uid", "doc", "start", "gone", "shared", "told", "sources", *LINKS[1:]]).filter(some)
 
 
 def settle(links: bool) -> Callable:
@@ -162,9 +193,9 @@ def settle(links: bool) -> Callable:
                 continue
             key = batch.column(0).to_numpy(zero_copy_only=False)
             if size >= 20_000 and (key[0] != last or key[-1] != last):
-                cut = 0 if key[0] != last else int(np.argmax(key != last))
-                yield _settled([*held, batch.slice(0, cut)], links)
-                held, size, batch = [], 0, batch.slice(cut)
+                edge = 0 if key[0] != last else int(np.argmax(key != last))
+                yield _settled([*held, batch.slice(0, edge)], links)
+                held, size, batch = [], 0, batch.slice(edge)
             held.append(batch)
             size += batch.num_rows
             last = key[-1]
@@ -173,17 +204,54 @@ def settle(links: bool) -> Callable:
     return run
 
 
+def _bits(field: int) -> Iterator[int]:
+    bits = field & 0xFFFFFFFFFFFFFFFF
+    while bits:
+        low = bits & -bits
+        yield low.bit_length() - 1
+        bits ^= low
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (asks, told) of the documents asked to (uid, doc, sources) of those that ask."""
+    for batch in batches:
+        uids, docs, sources = [], [], []
+        for asks, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for head in {a["head_doc"] for a in asks}:
+                own = [a for a in asks if a["head_doc"] == head]
+                source = np.full(max(a["head_start"] + a["n"] for a in own), head, dtype=np.int64)  # a run that was not traced is the first copy
+                for g in told or ():
+                    if g["doc"] == head:
+                        for k, b in enumerate(_bits(g["told"])):
+                            if g["start"] + b < len(source):
+                                source[g["start"] + b] = g["sources"][k if len(g["sources"]) > 1 else 0]
+                for a in own:
+                    uids.append(a["uid"])
+                    docs.append(a["doc"])
+                    sources.append(np.unique(source[a["head_start"]:a["head_start"] + a["n"]]).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.int64()))],
+                                         ["uid", "doc", "sources"])
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """Settled runs with the ``sources`` of all of them, those settled inside a slice included."""
+    found = cut(found)
+    told = found.filter("told <> 0").groupBy("uid").agg(F.collect_list(F.struct("doc", "start", "told", "sources")).alias("told"))
+    asks = found.filter("n > 0").groupBy("head").agg(F.collect_list(F.struct("uid", "doc", "head_doc", "head_start", "n")).alias("asks"))
+    answers = (asks.join(told, asks["head"] == told["uid"], "left").select("asks", "told")
+               .mapInArrow(_answers, "uid long, doc long, sources array<long>"))
+    names = ["uid", "doc", "start", "gone", "shared", "sources"]
+    return (found.filter("gone <> 0 OR shared <> 0").select(*names)
+            .unionByName(answers.selectExpr("uid", "doc", "0L AS start", "0L AS gone", "0L AS shared", "sources")))
+
+
 def _words_of(rows: list[dict], field: str, doc: int, size: int, n: int) -> np.ndarray:
     """Which words lie in the runs that the bits of ``field`` name."""
     edge = np.zeros(n + 1, dtype=np.int64)
     for g in rows:
-        bits = g[field] & 0xFFFFFFFFFFFFFFFF
-        while bits and g["doc"] == doc:
-            low = bits & -bits
-            a = g["start"] + low.bit_length() - 1
-            edge[a] += 1
-            edge[a + size] -= 1
-            bits ^= low
+        for b in _bits(g[field]) if g["doc"] == doc else ():
+            edge[g["start"] + b] += 1
+            edge[g["start"] + b + size] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -217,7 +285,7 @@ def kept(size: int, texts: bool, links: bool) -> Callable:
                 if links:
                     n_repeated.append(int((out | _words_of(rows, "shared", order[r], size, len(words))).sum()) if rows else 0)
                     spans.append(spans_of(out))
-                    sources.append(sorted({g["source"] for g in rows if g["doc"] == order[r] and g["gone"] and g["source"] != NULL_KEY}))
+                    sources.append(sorted({s for g in rows if g["doc"] == order[r] for s in g["sources"]} - {int(NULL_KEY)}))
             cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             names = ["k0", "n_words", "n_removed", "kept_sha256"]
             if texts:
@@ -241,10 +309,12 @@ def without_repeats(body: DataFrame, repeated: DataFrame, size: int, short: int,
     doc = F.coalesce(F.col("k0").cast("long"), F.lit(int(NULL_KEY))).alias("doc")  # the key's place in the order, null first
     # Both joins ask for the same three columns of the texts, so Spark shuffles them once.
     hot = body.sparkSession.sparkContext.broadcast(frequent_anchors(body, short, reach))
-    more = ", shared long, source long" if links else ""
+    asks = ", head long, head_doc long, head_start long, n long"
+    more, traced = (", shared long" + asks, ", shared long, told long, sources array<long>" + asks) if links else ("", "")
     runs = (body.join(repeated, "uid").select("uid", doc, "body", "places")
             .mapInArrow(runs_around(size, short, reach, worth, hot, links), f"key long, uid long, doc long, start long, asked long, gone long, hashes array<long>{more}"))
-    found = runs.repartition("key").sortWithinPartitions("key").mapInArrow(settle(links), f"uid long, doc long, start long, gone long{more}")
+    found = runs.repartition("key").sortWithinPartitions("key").mapInArrow(settle(links), f"uid long, doc long, start long, gone long{traced}")
+    found = _linked(found) if links else found
     gone = found.groupBy("uid").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "uid"])).alias("gone"))
     schema = f"k0 {body.schema['k0'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
     schema += ", kept_text string" * texts + ", n_repeated long, removed_spans array<struct<from:long,to:long>>, earlier_docs array<long>" * links

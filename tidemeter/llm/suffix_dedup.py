@@ -63,8 +63,9 @@ def _suffixes(size: int) -> Callable:
 
 def dedup(docs: DataFrame, *, size: int = 50, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """``key`` (an integer), ``n_words``, ``n_removed``, ``kept_sha256`` (kept words joined by one space), ``n_repeated`` (words in
-    repeated passages, first copies included), ``removed_spans`` (word numbers) and ``earlier_docs`` (keys of documents
-    with an earlier copy) of every document; with ``texts`` also ``kept_text``."""
+    repeated passages, first copies included), ``removed_spans`` (word numbers) and ``earlier_docs`` (keys of the
+    documents that hold the corpus's first copy of a passage of ``size`` words that is removed here, its own key too if it repeats
+    itself, null keys left out) of every document; with ``texts`` also ``kept_text``."""
     if not 2 * SHORT + 2 <= size <= 120:
         raise ValueError("passages have 12 to 120 words")
     body = bodies(docs, key, text)
