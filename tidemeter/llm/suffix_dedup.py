@@ -1,14 +1,14 @@
-"""Deduplication of long passages with sparse suffix arrays.
+"""Deduplication of long passages by sparse suffixes, grouped by hash in place of a suffix sort.
 
 Of all suffixes of all texts only those are kept that start at a minimiser: the short window of least hash among
 its neighbours, chosen by content and so at the same places in every copy of a passage.  The suffixes are
-dealt and sorted by their first words; neighbours in that order that share enough words at their start are the
-candidates.  Each candidate is then extended to the left and to the right to every passage of ``size`` words around its
-start, and passages that occur more than once are repeats.  Overlapping repeats add up, so a longer
+grouped by a hash of their first words; those that share it with another are the candidates.  Every passage of ``size``
+words around a candidate's start is then compared by hash, and passages that occur more than once are repeats; no common
+lengths are computed.  Overlapping repeats add up, so a longer
 passage is found at its full length.  The first copy (smallest document key, then place) stays, later ones go.
 
 A passage of ``size`` words has a minimiser within its first half, so nothing is missed; results are exact up to
-collisions of 64-bit hashes.  Suffixes that start alike inside one slice of text stand for each other in the sort.
+collisions of 64-bit hashes.  Suffixes that start alike inside one slice of text stand for each other in the groups.
 
 Rows with equal key and text are one document and all get its result; rows with equal key and different texts
 are different documents.  Null and empty texts have no words, null keys come first and are not listed as sources.
