@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import byte_bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, substring_dedup, suffix_dedup, token_shards, url_filter
+from tidemeter.llm import (
+    byte_bpe,
+    decontaminate,
+    html_text,
+    jaccard_join,
+    line_dedup,
+    periodic_runs,
+    phrase_prints,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    token_shards,
+    url_filter,
+    whitening,
+)
 from tidemeter.llm.memo import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +123,20 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf, "documents"), size=50)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tails(read(spark, sf, "documents"))
+    return periodic_runs.periodic_runs(docs, min_length=12).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_phrase_prints(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_prints.with_edited(read(spark, sf, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf, "embeddings"))
