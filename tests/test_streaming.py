@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,17 @@ def run(df, mode, name, tmp_path):
     return df.sparkSession.table(name)
 
 
+def run_keyed(df, mode, tmp_path, name="keyed"):
+    """Rows a query with keyed state puts out, and what is left in its state at the end."""
+    out = str(tmp_path / f"out-{name}")
+    q = state.start(df, mode, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/b={n}"), str(tmp_path / f"cp-{name}"), {"availableNow": True})
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out).drop("b"), sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"])
+
+
+FAR = 3_000_000  # seconds, long after every other row
+
+
 def snap(ts, pct, reset, account=1):
     return (account, "timed", "all", "five_hour", ts * SEC, float(pct), reset * SEC, 18000, "plus", "t")
 
@@ -85,7 +97,7 @@ def test_rollup_appends_closed_windows_only(spark, tmp_path):
 def test_live_windows_match_batch(spark, tmp_path):
     batches = [[snap(100, 5, 18000), snap(200, 9, 18001)], [snap(300, 7, 17999), snap(400, 12, 18000)], [snap(20000, 3, 36100), snap(20100, 4, 36100)]]
     s, folder = stream_of(spark, tmp_path, "s", batches, M.SNAPSHOT)
-    rows = run(state.live_windows(s), "update", "live", tmp_path).collect()
+    rows = run_keyed(state.live_windows(s), "update", tmp_path)[0].collect()
     live = {}
     for r in rows:                                    # the last update of each cycle
         live[r.reset_max] = r if r.reset_max not in live or r.last_seen > live[r.reset_max].last_seen else live[r.reset_max]
@@ -97,16 +109,91 @@ def test_live_windows_match_batch(spark, tmp_path):
         assert (a.reset_min, a.first_seen, a.last_seen, a.used_percent) == (b.reset_min, b.first_seen, b.last_seen, b.peak_percent)
 
 
-def test_visible_changes(spark, tmp_path):
-    s, _ = stream_of(spark, tmp_path, "c", [[snap(1, 5, 600), snap(2, 5, 601)], [snap(3, 5, 600)], [snap(4, 6, 600), snap(5, 6, 720)]], M.SNAPSHOT)
-    assert sorted(r.ts // SEC for r in run(state.visible_changes(s), "append", "changes", tmp_path).collect()) == [1, 4, 5]
+def paid(ts, cost, account=1, tool="timed", model="claude-x", name=None):
+    return (name or f"u{ts}", account, tool, ts * SEC, model, True, None, 1, 0, 0, 0, 1, 0, None, cost)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ended_windows_with_spend_equal_the_rebuild(spark, tmp_path, seed):
+    """Two tools, resets that wobble and shift, rows shuffled within the delay, requests without a window and without a price."""
+    r = random.Random(seed)
+    resets = [18000, 36000, 43000, 61000, 90000]  # the third begins inside the second
+    snaps, use, links = [], [], []
+    for account, tool, scope in ((1, "timed", "all"), (2, "linked", "codex")):
+        for reset in resets:
+            for _ in range(r.randint(1, 9)):
+                at = r.randint(max(reset - 17000, 0), reset - 100)
+                snaps.append((account, tool, scope, "five_hour", at * SEC, float(r.randint(0, 60)), (reset + r.randint(-2, 2)) * SEC, 18000, "plus", "t"))
+        for k in range(60):
+            at, name = r.randint(0, 95000), f"{tool}{k}"
+            use.append(paid(at, None if k % 11 == 0 else r.randint(1, 10**9), account, tool, "claude-x" if tool == "timed" else "gpt-x", name))
+            ahead = [x for x in resets if x > at]
+            if tool == "linked" and ahead:
+                links.append((name, account, tool, scope, "five_hour", r.choice(ahead) * SEC))
+    usage, linked = spark.createDataFrame(use, M.USAGE), spark.createDataFrame(links, M.LINK)
+    spend = state.spend_rows(usage, linked, [("all", "five_hour")]).persist()
+    late = lambda rows, at: sorted(rows, key=lambda x: x[at] + r.randint(0, 500) * SEC)
+    cut3 = lambda rows: [rows[:len(rows) // 3], rows[len(rows) // 3:2 * len(rows) // 3], rows[2 * len(rows) // 3:]]
+    a, _ = stream_of(spark, tmp_path, "a", [*cut3(late(snaps, 4)), [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
+    rows = [tuple(x) for x in spend.collect()]
+    b, _ = stream_of(spark, tmp_path, "b", [*cut3(late(rows, 4)), [(9, "timed", "all", "five_hour", FAR * SEC, None, 1)]], spend.schema)
+    got, left = run_keyed(state.live_windows(a, b, delay="20 minutes", slice_span=r.choice([600, 3600]) * SEC), "update", tmp_path)
+    cols = ["account_id", "reset_min", "reset_max", "first_seen", "last_seen", "used_percent", "cost_at_snapshot", "cost_so_far", "unpriced_requests"]
+    want = W.build_windows(spark.createDataFrame(snaps, M.SNAPSHOT), usage, linked, Params(now=10**15))[0].select(*cols)
+    key = lambda rows: sorted((*x[:6], round(x[6], 12), round(x[7], 12), x[8]) for x in rows)
+    final = key(got.where("final and account_id < 9").select(*cols).collect())
+    assert final == key(want.collect()) and len(final) == 2 * len(resets)
+    assert left <= 2  # the closing rows' own
+
+
+@pytest.mark.parametrize("chunk", [2, 10_000])
+def test_visible_changes_in_any_order(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(state, "CHUNK", chunk)
+    r = random.Random(4)
+    rows = [snap(k * 7 + (k % 3), r.choice([5, 5, 6]), r.choice([600, 601, 720]), account=k % 2) for k in range(200)]
+    mixed = sorted(rows, key=lambda x: x[4] + r.randint(0, 300) * SEC)
+    s, _ = stream_of(spark, tmp_path, "c", [mixed[:70], mixed[70:140], mixed[140:], [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
+    got = run_keyed(state.visible_changes(s), "append", tmp_path)[0].where("account_id < 9").collect()
+    want, last = [], {}
+    for x in sorted(rows, key=lambda x: (x[4], x[5], round(x[6] / SEC / 60))):
+        now = (x[5], round(x[6] / SEC / 60) * 60)
+        if last.get(x[0]) != now:
+            want.append((x[0], x[4], *now))
+        last[x[0]] = now
+    assert sorted((g.account_id, g.ts, g.used_percent, g.reset) for g in got) == sorted(want)
 
 
 def test_alert_cooldown(spark, tmp_path):
-    row = lambda t, d="tighter": (1, "linked", "w", d, t, 0.6, "x", 4)
-    s, _ = stream_of(spark, tmp_path, "al", [[row(0)], [row(1000 * SEC), row(5, "looser")], [row(25 * HOUR)]], M.ALERT)
-    got = sorted((r.direction, r.ts) for r in run(state.cooled_alerts(s), "append", "cool", tmp_path).collect())
-    assert got == [("looser", 5), ("tighter", 0), ("tighter", 25 * HOUR)]
+    row = lambda t, d="tighter", account=1: (account, "linked", "w", d, t, 0.6, "x", 4)
+    batches = [[row(1000 * SEC), row(5, "looser")], [row(0)], [row(25 * HOUR), row(24 * HOUR - 1)], [row(FAR * SEC, account=9)]]
+    s, _ = stream_of(spark, tmp_path, "al", batches, M.ALERT)
+    got, left = run_keyed(state.cooled_alerts(s, delay="2 hours"), "append", tmp_path)
+    assert sorted((r.direction, r.ts) for r in got.where("account_id < 9").collect()) == [("looser", 5), ("tighter", 0), ("tighter", 25 * HOUR)]
+    assert left == 1  # the closing row waits; the state of a direction ended with its cool-down
+
+
+def test_alignment_equals_a_range_join(spark, tmp_path):
+    r = random.Random(6)
+    snaps = [snap(r.randint(0, 20_000), k, 18000, account=k % 2) for k in range(60)] + [snap(90_000, 3, 99_000)]
+    use = [paid(r.randint(0, 20_000), 5, account=k % 2, name=f"r{k}") for k in range(50)]
+    near = lambda rows, at: sorted(rows, key=lambda x: x[at] + r.randint(0, 400) * SEC)
+    a, b = near(snaps, 4), near(use, 3)
+    s, _ = stream_of(spark, tmp_path, "s", [a[:20], a[20:], [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
+    u, _ = stream_of(spark, tmp_path, "u", [b[:30], b[30:], [paid(FAR, 1, account=9)]], M.USAGE)
+    got, _ = run_keyed(state.aligned(s, u), "append", tmp_path)
+    want = []
+    for x in snaps:
+        mine = [y for y in use if y[1] == x[0] and abs(y[3] - x[4]) <= 600 * SEC]
+        want += [(x[0], x[4], y[0]) for y in mine] or [(x[0], x[4], "")]
+    rows = got.where("account_id < 9").collect()
+    assert sorted((g.account_id, g.ts, g.usage_id or "") for g in rows) == sorted(want) and any(g.usage_id is None for g in rows)
+
+
+def test_the_session_keeps_its_state_store(spark, tmp_path):
+    s, _ = stream_of(spark, tmp_path, "c", [[snap(1, 5, 600)]], M.SNAPSHOT)
+    before = spark.conf.get(state.STORE, None)
+    run_keyed(state.visible_changes(s), "append", tmp_path)
+    assert spark.conf.get(state.STORE, None) == before
 
 
 def test_repeats_within_watermark(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -1156,11 +1156,41 @@ def banner_groups(spark, sf):
 
 # -- streams ---------------------------------------------------------------------------------------
 
-def _stream(spark, sf, name: str, build: Callable[[], DataFrame], job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a streaming job over a table, written as files and read back a few at a time, to its end."""
-    src = cut(build())
-    files = src.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(files)
+def _arriving(df: DataFrame, turn: Column, batches: int, files: int = 4) -> DataFrame:
+    """A stream of the rows of ``df`` in ``batches`` batches, by their ``turn`` (from 0); a file source goes by modification time."""
+    spark, home = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/arriving-{uuid.uuid4().hex}"
+    dealt = cut(df.withColumn("turn", turn))
+    for k in range(batches):
+        dealt.where(F.col("turn") == k).drop("turn").repartition(files).write.mode("append").parquet(home)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(home)
+
+
+#: Rows of a stream by time arrive up to this much out of order.
+LATE = 300 * SEC
+#: Span of the driver's events, and an instant long after it.
+FIRST, LAST, MUCH_LATER = 1_704_067_200 * SEC, 1_706_745_600 * SEC, 2_000_000_000 * SEC
+
+
+def _by_time(df: DataFrame, batches: int, closing: dict) -> DataFrame:
+    """Rows by event time, shuffled within ``LATE``, then one row of no account long after them, so that the watermark passes all."""
+    late = F.col("ts") + F.pmod(F.xxhash64(*df.columns), F.lit(LATE))
+    turn = F.least(F.lit(batches - 1), F.greatest(F.lit(0), F.floor((late - FIRST) * batches / F.lit(LAST - FIRST))))
+    end = df.sparkSession.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
+    rows = df.unionByName(end)
+    return _arriving(rows, F.when(F.col("ts") == MUCH_LATER, batches).otherwise(turn).cast("int"), batches + 1)
+
+
+_CLOSING = dict(account_id=-1, tool="timed", scope="all", window="five_hour", direction="tighter", ts=MUCH_LATER, used_percent=0.0, resets_at=MUCH_LATER,
+                window_seconds=18_000)
+
+
+def _stream(spark, sf, name: str, source: Callable[[], DataFrame] | DataFrame, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Run a streaming job to its end over a stream, or over a table that is written as files and read back a few at a time."""
+    stream = source
+    if callable(source):
+        src = cut(source())
+        files = src.inputFiles()[0].rsplit("/", 1)[0]
+        stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(files)
     table = f"{name}_{uuid.uuid4().hex[:8]}"
     out = f"{checkpoint_dir(spark)}/stream-{table}"
 
@@ -1168,8 +1198,7 @@ def _stream(spark, sf, name: str, build: Callable[[], DataFrame], job: Callable[
         # A batch that is run again overwrites what it wrote before.
         batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/rows/b={batch_id}")
     df = job(stream)
-    q = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).start())
-    q.awaitTermination()
+    state.start(df, mode, write, f"{out}/cp", {"availableNow": True}).awaitTermination()
     schema = T_.StructType([*df.schema, T_.StructField("batch", T_.LongType())])
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
@@ -1191,22 +1220,18 @@ def streamed_first_requests(spark, sf):
     return rows.select("id", "ts", "model")
 
 
-def _growing(spark, lines: DataFrame, batches: int) -> DataFrame:
+def _growing(lines: DataFrame, batches: int) -> DataFrame:
     """A stream of log lines in which every file grows from batch to batch; files and messages break off anywhere."""
-    home = f"{checkpoint_dir(spark)}/growing-{uuid.uuid4().hex}"
     place = F.row_number().over(Window.partitionBy("account_id", "file").orderBy("block", "seq"))
     count = F.count("*").over(Window.partitionBy("account_id", "file"))
-    dealt = cut(lines.withColumn("turn", F.floor((place - 1) * batches / count)))
-    for k in range(batches):  # one after the other: a file source goes by modification time
-        dealt.where(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(home)
-    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(home)
+    return _arriving(lines, F.floor((place - 1) * batches / count), batches)
 
 
 @query("streamed_layout_a", ORACLES["parsed_messages"])
 def streamed_layout_a(spark, sf):
     """Log lines that arrive bit by bit give the requests of one import of them all."""
     out = f"{checkpoint_dir(spark)}/messages-{uuid.uuid4().hex}"
-    jobs.ingest_messages(_growing(spark, _lines_a(spark, sf), 4), f"{out}/rows", f"{out}/cp", {"availableNow": True}).awaitTermination()
+    jobs.ingest_messages(_growing(_lines_a(spark, sf), 4), f"{out}/rows", f"{out}/cp", {"availableNow": True}).awaitTermination()
     return jobs.message_usage(spark, f"{out}/rows", D0.prices(spark)).drop("tool", "session_id", "reasoning_tokens")
 
 
@@ -1214,7 +1239,7 @@ def streamed_layout_a(spark, sf):
 def streamed_layout_b(spark, sf):
     """Session files that grow from batch to batch keep their model, session and counters."""
     out = f"{checkpoint_dir(spark)}/sessions-{uuid.uuid4().hex}"
-    jobs.ingest_sessions(_growing(spark, _lines_b(spark, sf, False), 4), f"{out}/rows", f"{out}/cp", {"availableNow": True}).awaitTermination()
+    jobs.ingest_sessions(_growing(_lines_b(spark, sf, False), 4), f"{out}/rows", f"{out}/cp", {"availableNow": True}).awaitTermination()
     t = jobs.session_tables(spark, f"{out}/rows", D0.prices(spark))["usage"]
     return t.select("account_id", "ts", "model", "session_id", "input_tokens", "cache_read_tokens", "cache_write_5m_tokens", "output_tokens", "reasoning_tokens")
 
@@ -1223,9 +1248,70 @@ def streamed_layout_b(spark, sf):
  QUALIFY row_number() OVER (PARTITION BY account_id, tool, scope, win ORDER BY reset_min DESC) = 1""", "cyc"))
 def streamed_live_windows(spark, sf):
     """After all batches the state of each limit is its newest cycle."""
-    rows = _stream(spark, sf, "live", lambda: D0.snapshots(spark, sf), state.live_windows, "update")
-    cols = [c for c in state.LIVE.names if c not in LIMIT]
-    return rows.groupBy(*LIMIT).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*LIMIT, "r.*")
+    rows = _stream(spark, sf, "live", lambda: D0.snapshots(spark, sf), lambda s: state.live_windows(s, delay="60 days"), "update")
+    cols = [c for c in state.LIVE.names[:9] if c not in LIMIT]
+    return rows.where("not final").groupBy(*LIMIT).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*LIMIT, "r.*")
+
+
+@query("streamed_ended_windows", sql("""SELECT account_id, tool, scope, win AS "window", reset_min, reset_max, first_seen, last_seen, used AS used_percent,
+ round(cost_at, 9) AS cost_at_snapshot, round(cost_far, 9) AS cost_so_far, CAST(unpriced AS BIGINT) AS unpriced_requests FROM win""", "win"))
+def streamed_ended_windows(spark, sf):
+    """Readings and requests as two streams, out of order: the last row of every window, spend included, as by a rebuild of everything."""
+    spend = state.spend_rows(D0.priced(spark, sf), D0.links(spark, sf), [("all", "five_hour"), ("all", "seven_day")])
+    readings, requests = (_by_time(df, 4, _CLOSING) for df in (D0.snapshots(spark, sf), spend))
+    rows = _stream(spark, sf, "ended", readings, lambda s: state.live_windows(s, requests, delay="20 minutes"), "update")
+    return r9(rows.where("final and account_id >= 0").drop("batch", "final"), "cost_at_snapshot", "cost_so_far")
+
+
+@query("streamed_visible_changes", sql("""SELECT account_id, tool, scope, win AS "window", ts, pct AS used_percent, reset FROM (
+  SELECT *, lag((pct, reset)) OVER (PARTITION BY account_id, tool, scope, win ORDER BY ts, pct, reset) AS prev FROM (
+    SELECT *, CAST(round_even(resets_at / 60e6, 0) AS BIGINT) * 60 AS reset FROM snap))
+ WHERE prev IS NULL OR prev <> (pct, reset)""", "snap"))
+def streamed_visible_changes(spark, sf):
+    """Readings that come out of order: every change of a limit's percent or reset minute, in order."""
+    rows = _stream(spark, sf, "changes", _by_time(D0.snapshots(spark, sf), 4, _CLOSING), lambda s: state.visible_changes(s, "20 minutes"), "append")
+    return rows.where("account_id >= 0").drop("batch")
+
+
+_COOL = 24 * 3600 * SEC
+
+
+def _verdict_rows(spark, sf) -> DataFrame:
+    """Purchases as announcements of verdicts."""
+    e = D0.events(spark, sf).where(F.col("event_type") == "purchase")
+    return e.select("account_id", "tool", F.col("scope").alias("window"), F.when(F.col("cents") > 5_000, "looser").otherwise("tighter").alias("direction"),
+                    F.col("us").alias("ts"), (F.col("event_id") * 1.0).alias("ratio"))
+
+
+@query("streamed_cooled_alerts", sql(f"""SELECT account_id, tool, "window", direction, ts, ratio FROM (
+  WITH RECURSIVE a AS (
+    SELECT account_id, tool, scope AS "window", CASE WHEN cents > 5000 THEN 'looser' ELSE 'tighter' END AS direction, us AS ts, CAST(event_id AS DOUBLE) AS ratio
+    FROM ev WHERE event_type = 'purchase'),
+  kept AS (
+    SELECT account_id, tool, "window", direction, min(ts) AS ts FROM a GROUP BY ALL
+    UNION ALL
+    SELECT k.account_id, k.tool, k."window", k.direction, n.ts FROM kept k,
+      LATERAL (SELECT min(a.ts) AS ts FROM a WHERE a.account_id = k.account_id AND a.tool = k.tool AND a."window" = k."window"
+        AND a.direction = k.direction AND a.ts >= k.ts + {_COOL}) n WHERE n.ts IS NOT NULL)
+  SELECT kept.*, (SELECT min(a.ratio) FROM a WHERE a.account_id = kept.account_id AND a.tool = kept.tool AND a."window" = kept."window"
+    AND a.direction = kept.direction AND a.ts = kept.ts) AS ratio FROM kept)""", "ev"))
+def streamed_cooled_alerts(spark, sf):
+    """Alerts that come out of order: at most one a day for each limit and direction."""
+    rows = _stream(spark, sf, "cooled", _by_time(_verdict_rows(spark, sf), 4, _CLOSING), lambda s: state.cooled_alerts(s, _COOL, "20 minutes"), "append")
+    return rows.where("account_id >= 0").drop("batch")
+
+
+@query("streamed_alignment", sql("""SELECT s.account_id, s.tool, s.scope, s.win AS "window", s.ts, s.pct AS used_percent, u.id AS usage_id, u.ts AS usage_ts,
+ CAST(u.pico AS DOUBLE) AS cost_pico
+FROM snap s LEFT JOIN priced u ON u.account_id = s.account_id AND u.tool = s.tool AND u.user_id % 3 = 0 AND u.ts BETWEEN s.ts - 600000000 AND s.ts + 600000000
+WHERE s.win = 'five_hour' """, "snap", "priced"))
+def streamed_alignment(spark, sf):
+    """Five-hour readings and the requests of some sessions as two streams, out of order: each reading with the requests ten minutes around it, or alone."""
+    used = D0.priced(spark, sf).where(F.col("session_id").cast("bigint") % 3 == 0).select("id", "account_id", "tool", "ts", "cost_pico")
+    readings = _by_time(D0.snapshots(spark, sf).where(F.col("window") == "five_hour"), 4, _CLOSING)
+    requests = _by_time(used, 4, _CLOSING)
+    rows = _stream(spark, sf, "aligned", readings, lambda s: state.aligned(s, requests, delay="20 minutes"), "append")
+    return _plain(rows.where("account_id >= 0").drop("batch"))
 
 
 @query("streamed_window_refresh", sql(f"SELECT {_out('used AS used_percent, cost_at AS cost_at_snapshot')} FROM win WHERE account_id = 1", "win"))

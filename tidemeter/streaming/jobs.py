@@ -13,14 +13,7 @@ from tidemeter.model import Params
 from tidemeter.operators import windows as W
 from tidemeter.sources import logs
 from tidemeter.sources.sinks import append_new, replace_partitions, stored_batches
-
-# Quota readings may lag the request log by this much.
-ALIGN_DELAY = "10 minutes"
-
-
-def with_event_time(stream: DataFrame, delay: str = ALIGN_DELAY) -> DataFrame:
-    """Add the event-time column streams are watermarked on."""
-    return stream.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", delay)
+from tidemeter.streaming.state import ALIGN_DELAY, with_event_time
 
 
 def rollup(usage: DataFrame, length: str = "1 hour", delay: str = ALIGN_DELAY) -> DataFrame:

@@ -1,19 +1,31 @@
-"""Keyed state over streams: live windows, visible changes, alert cool-down."""
+"""Keyed state over streams: live windows with their spend, visible changes, alert cool-down, alignment of two streams.
+
+Everything goes by event time: rows may come in any order within the delay, and state ends by timers that fire when the watermark
+passes them.  Queries with this state need Spark's RocksDB state store; ``start`` sets it for the query it starts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from tidemeter.functions.scalars import round_reset
-from tidemeter.model import HOUR, LIMIT, SEC
+from tidemeter.functions.scalars import in_scope, round_reset
+from tidemeter.model import DAY, HOUR, LIMIT, SEC, WINDOW_SECONDS
 
 _L, _D, _S, _B = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
+MS = 1000
+#: Quota readings may lag the request log by this much.
+ALIGN_DELAY = "10 minutes"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a key that a task holds before it passes them on to the state store.
+CHUNK = 10_000
 
 
 def _schema(**f: T.DataType) -> T.StructType:
@@ -21,82 +33,371 @@ def _schema(**f: T.DataType) -> T.StructType:
 
 
 _KEYS = dict(account_id=_L, tool=_S, scope=_S, window=_S)
-LIVE = _schema(**_KEYS, reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D)
-_LIVE_STATE = _schema(reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D)
 
 
-def live_windows(snapshots: DataFrame, jitter: int = 900 * SEC) -> DataFrame:
-    """The cycle in progress of every limit: reset range, sights and monotone percent so far.
+def with_event_time(stream: DataFrame, delay: str = ALIGN_DELAY) -> DataFrame:
+    """Add the event-time column streams are watermarked on."""
+    return stream.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", delay)
+
+
+def start(df: DataFrame, mode: str, work: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Start a query with keyed state; the session's own choice of a state store is put back."""
+    conf = df.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKSDB)
+    try:
+        return (df.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+    finally:
+        conf.unset(STORE) if before is None else conf.set(STORE, before)
+
 
-    A reset within the jitter of the current range belongs to the same cycle, a later one starts a new
-    one, an earlier one is stale and left to the batch rebuild.  One row per limit and batch (update
-    mode).  Frames are folded one at a time, in any order, so a busy limit is never held whole.
+# -- rows of a key in their order ------------------------------------------------------------------
+
+class InOrder(StatefulProcessor):
+    """Folds the rows of a key in the order of event time, whatever the order and batches they come in.
+
+    Rows wait in the state store by slice of time; when the watermark passes a slice, its rows are sorted and
+    folded into one value per key.  A task holds one slice of one key at most.  Rows of a slice already
+    folded are too late and left out.
     """
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = state.get if state.exists else None
-        for f in frames:
-            resets = f["resets_at"].sort_values()
-            newest = resets[resets.diff().gt(jitter).cumsum().eq(resets.diff().gt(jitter).sum())]
-            lo, hi = int(newest.iloc[0]), int(newest.iloc[-1])
-            if cur is not None and hi < cur[0] - jitter:
+
+    slice_span = 60 * SEC
+    row_schema: T.StructType
+    value_schema: T.StructType
+
+    def fold(self, key: tuple, value: tuple | None, rows: list[tuple]) -> tuple[tuple, list[Row]]:
+        """The value after ``rows``, which are sorted, and what to put out."""
+        raise NotImplementedError
+
+    def keep_until(self, value: tuple) -> int | None:
+        """Instant from which the value says nothing any more; None if it always does."""
+        return None
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", _schema(slice=_L), _schema(rows=T.ArrayType(self.row_schema)))
+        self.value = handle.getValueState("value", self.value_schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names, fresh, held = self.row_schema.names, defaultdict(list), 0
+        for row in rows:
+            fresh[row.ts // self.slice_span].append(tuple(row[c] for c in names))
+            held += 1
+            if held >= CHUNK:
+                self._keep(fresh, timerValues)
+                fresh, held = defaultdict(list), 0
+        self._keep(fresh, timerValues)
+        return iter(())
+
+    def _keep(self, fresh: dict[int, list[tuple]], timers) -> None:
+        for s, rows in fresh.items():
+            end = (s + 1) * self.slice_span // MS
+            if end <= timers.getCurrentWatermarkInMs():
                 continue
-            own = f[f["resets_at"] >= lo]
-            seen = (lo, hi, int(own["ts"].min()), int(own["ts"].max()), max(0.0, float(own["used_percent"].max())))
-            if cur is None or lo > cur[1] + jitter:
-                cur = seen
+            if self.waiting.containsKey((s,)):
+                rows = [tuple(r) for r in self.waiting.getValue((s,))[0]] + rows
             else:
-                cur = (min(cur[0], seen[0]), max(cur[1], seen[1]), min(cur[2], seen[2]), max(cur[3], seen[3]), max(cur[4], seen[4]))
-        if cur is not None:
-            state.update(cur)
-            yield pd.DataFrame([[*key, *cur]], columns=LIVE.names)
+                self.handle.registerTimer(end)
+            self.waiting.updateValue((s,), (rows,))
 
-    rows = snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull()).select(
-        *LIMIT, "ts", "used_percent", "resets_at")
-    return rows.groupBy(*LIMIT).applyInPandasWithState(advance, LIVE, _LIVE_STATE, "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs() * MS
+        s = at // self.slice_span - 1
+        value = self.value.get() if self.value.exists() else None
+        if self.waiting.containsKey((s,)):
+            rows = sorted(tuple(r) for r in self.waiting.getValue((s,))[0])
+            self.waiting.removeKey((s,))
+            value, out = self.fold(tuple(key), value, rows)
+            self.value.update(value)
+            until = self.keep_until(value)
+            if until is not None:  # at the end of a slice, after the rows of that slice
+                self.handle.registerTimer(-(-until // self.slice_span) * self.slice_span // MS)
+            yield from out
+        until = self.keep_until(value) if value is not None else None
+        if until is not None and until <= at:
+            self.value.clear()
+
+    def close(self) -> None:
+        pass
 
 
 CHANGE = _schema(**_KEYS, ts=_L, used_percent=_D, reset=_L)
 
 
-def visible_changes(snapshots: DataFrame) -> DataFrame:
-    """Snapshots after which a limit's percent or reset minute differs from before.
+class _Changes(InOrder):
+    row_schema = _schema(ts=_L, used_percent=_D, reset=_L)
+    value_schema = _schema(used_percent=_D, reset=_L)
+
+    def fold(self, key, value, rows):
+        out, last = [], None if value is None else tuple(value)
+        for ts, percent, reset in rows:
+            if (percent, reset) != last:
+                out.append(Row(**dict(zip(CHANGE.names, (*key, ts, percent, reset)))))
+            last = (percent, reset)
+        return last, out
+
+
+def visible_changes(snapshots: DataFrame, delay: str = ALIGN_DELAY) -> DataFrame:
+    """Snapshots after which a limit's percent or reset minute differs from the snapshot before, in the order of time.
 
-    Needs time order, so one limit's rows of one micro-batch are sorted together: size batches with the
-    source's rate limit.  Across any amount of history use ``responses.poll_changes``.
+    Put out once the watermark has passed them.  One small tuple per limit stays, besides the rows that wait.
     """
-    def differ(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
-            now = (float(row.used_percent), int(row.reset))
-            if now != last:
-                out.append([*key, row.ts, *now])
-            last = now
-        state.update(last)
-        if out:
-            yield pd.DataFrame(out, columns=CHANGE.names)
-
-    rows = snapshots.where(F.col("resets_at").isNotNull()).select(*LIMIT, "ts", "used_percent", round_reset("resets_at").alias("reset"))
-    return rows.groupBy(*LIMIT).applyInPandasWithState(
-        differ, CHANGE, _schema(used_percent=_D, reset=_L), "append", GroupStateTimeout.NoTimeout)
+    rows = with_event_time(snapshots.where(F.col("resets_at").isNotNull() & F.col("used_percent").isNotNull()), delay).select(
+        *LIMIT, "ts", F.col("used_percent").cast("double").alias("used_percent"), round_reset("resets_at").alias("reset"), "event_time")
+    return rows.groupBy(*LIMIT).transformWithState(_Changes(), CHANGE, "Append", "EventTime")
 
 
 ALERT_KEYS = ["account_id", "tool", "window", "direction"]
 _ALERT_OUT = _schema(account_id=_L, tool=_S, window=_S, direction=_S, ts=_L, ratio=_D)
 
 
-def cooled_alerts(alerts: DataFrame, cooldown: int = 24 * HOUR) -> DataFrame:
-    """Alerts at least the cool-down after the last one let through of the same limit and direction."""
-    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
-            if last is None or row.ts - last >= cooldown:
-                out.append([*key, row.ts, row.ratio])
-                last = row.ts
-        state.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=_ALERT_OUT.names)
-
-    return alerts.select(*ALERT_KEYS, "ts", "ratio").groupBy(*ALERT_KEYS).applyInPandasWithState(
-        admit, _ALERT_OUT, _schema(last_ts=_L), "append", GroupStateTimeout.NoTimeout)
+class _Cooled(InOrder):
+    row_schema = _schema(ts=_L, ratio=_D)
+    value_schema = _schema(last=_L)
+
+    def __init__(self, cooldown: int):
+        self.cooldown = cooldown
+
+    def fold(self, key, value, rows):
+        out, last = [], None if value is None else value[0]
+        for ts, ratio in rows:
+            if last is None or ts - last >= self.cooldown:
+                out.append(Row(**dict(zip(_ALERT_OUT.names, (*key, ts, ratio)))))
+                last = ts
+        return (last,), out
+
+    def keep_until(self, value):
+        return value[0] + self.cooldown
+
+
+def cooled_alerts(alerts: DataFrame, cooldown: int = 24 * HOUR, delay: str = ALIGN_DELAY) -> DataFrame:
+    """Alerts at least the cool-down after the last one let through of the same limit and direction, in the order of time.
+
+    A direction's state ends with its cool-down.
+    """
+    rows = with_event_time(alerts.where(F.col("ts").isNotNull()), delay).select(
+        *ALERT_KEYS, "ts", F.coalesce(F.col("ratio"), F.lit(float("nan"))).alias("ratio"), "event_time")
+    out = rows.groupBy(*ALERT_KEYS).transformWithState(_Cooled(cooldown), _ALERT_OUT, "Append", "EventTime")
+    return out.withColumn("ratio", F.nanvl("ratio", F.lit(None).cast("double")))
+
+
+# -- live windows ----------------------------------------------------------------------------------
+
+LIVE = _schema(**_KEYS, reset_min=_L, reset_max=_L, first_seen=_L, last_seen=_L, used_percent=_D, cost_at_snapshot=_D, cost_so_far=_D,
+               unpriced_requests=_L, final=_B)
+_SIGHT = _schema(lo=_L, hi=_L, first=_L, last=_L, percent=_D, seconds=_L, closed=_B)
+_ITEM = _schema(anchor=_L, ts=_L, pico=T.DecimalType(38, 0), unpriced=_L)
+#: What a reading of unknown window length is waited for.
+_LONGEST = 31 * DAY
+
+
+class _Ledger(StatefulProcessor):
+    """State of one limit: what was seen of each reset in progress, and the spend of the time they may cover, by slice.
+
+    Requests of one instant are summed at once; a slice that the watermark has passed and that no edge of a window can cut
+    any more becomes one sum.  So state is bounded by the slices in a window and the requests since the last reading.
+    A timer some time after a window's reset puts out its last row; others end its spend.
+    """
+
+    def __init__(self, jitter: int, slack: int, slice_span: int, hold: int):
+        self.jitter, self.slack, self.slice_span, self.hold = jitter, slack, slice_span, hold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.sights = handle.getValueState("sights", _schema(rows=T.ArrayType(_SIGHT)))
+        self.spend = handle.getMapState("spend", _schema(slice=_L), _schema(items=T.ArrayType(_ITEM)))
+
+    # readings
+
+    def _seen(self) -> list[list]:
+        return [list(r) for r in self.sights.get()[0]] if self.sights.exists() else []
+
+    def _merge(self, old: list[list], fresh: dict[int, list]) -> list[list]:
+        """Sights by reset, those within the jitter of each other as one."""
+        out: list[list] = []
+        for r in sorted([*old, *fresh.values()]):
+            if out and r[0] - out[-1][1] <= self.jitter:
+                a = out[-1]
+                seconds = a[5]  # the length that came with the least reset
+                out[-1] = [a[0], max(a[1], r[1]), min(a[2], r[2]), max(a[3], r[3]), max(a[4], r[4]), seconds, a[6] and r[6]]
+            else:
+                out.append(r)
+        return out
+
+    def _spans(self, timed: bool, seen: list[list]) -> list[tuple]:
+        """(sight, start, end) in the order of first sight; what two windows of a timed tool both cover is cut as in the batch rebuild."""
+        rows = [[r, r[0] - r[5] * SEC, r[1]] for r in sorted(seen, key=lambda r: (r[2], r[0]))]
+        cuts = [max(b[1], a[0][3]) if timed and b[1] < a[2] else None for a, b in zip(rows, rows[1:])]
+        for k, cut in enumerate(cuts):
+            if cut is not None:
+                rows[k][2], rows[k + 1][1] = cut, cut
+        return [tuple(r) for r in rows]
+
+    # spend
+
+    def _kept_for(self, key: tuple) -> int:
+        """How long after its end a slice can still be part of a window in progress; in whole slices."""
+        wait = WINDOW_SECONDS.get(key[3], _LONGEST // SEC) * SEC if key[1] == "timed" else 0
+        return -(-(wait + self.jitter + self.hold) // self.slice_span) * self.slice_span
+
+    def _slice(self, timed: bool, anchor: int, ts: int) -> int:
+        return (ts if timed else anchor) // self.slice_span
+
+    def _add(self, key: tuple, fresh: dict[int, dict]) -> None:
+        for s, items in fresh.items():
+            end = (s + 1) * self.slice_span
+            if self.spend.containsKey((s,)):
+                for anchor, ts, pico, unpriced in self.spend.getValue((s,))[0]:
+                    a = items.setdefault((anchor, ts), [Decimal(0), 0])
+                    a[0] += pico
+                    a[1] += unpriced
+            else:
+                self.handle.registerTimer(end // MS)
+                self.handle.registerTimer((end + self._kept_for(key)) // MS)
+            self.spend.updateValue((s,), ([(anchor, ts, pico, unpriced) for (anchor, ts), (pico, unpriced) in items.items()],))
+
+    def _costs(self, timed: bool, sight: list, start: int, end: int) -> tuple[float, float, int]:
+        """Cost at the last sight, cost so far, and unpriced requests of one window."""
+        at, far, unpriced = Decimal(0), Decimal(0), 0
+        lo, hi = (start, end - 1) if timed else (sight[0] - self.slack, sight[1] + self.slack)
+        for s in range(lo // self.slice_span, hi // self.slice_span + 1):
+            if not self.spend.containsKey((s,)):
+                continue
+            for anchor, ts, pico, n in self.spend.getValue((s,))[0]:
+                if lo <= (ts if timed else anchor) <= hi:
+                    far += pico
+                    unpriced += n
+                    if ts <= sight[3]:
+                        at += pico
+        return float(at) / 1e12, float(far) / 1e12, unpriced
+
+    def _row(self, key: tuple, span: tuple, final: bool) -> Row:
+        r, start, end = span
+        costs = self._costs(key[1] == "timed", r, start, end)
+        return Row(**dict(zip(LIVE.names, (*key, r[0], r[1], r[2], r[3], max(0.0, r[4]), *costs, final))))
+
+    # batches and timers
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        key, timed, held = tuple(key), key[1] == "timed", 0
+        sights: dict[int, list] = {}
+        spend: dict[int, dict] = defaultdict(dict)
+        for row in rows:
+            if row.used_percent is not None:
+                r = [row.resets_at, row.resets_at, row.ts, row.ts, row.used_percent, row.window_seconds, False]
+                b = row.resets_at // self.jitter
+                a = sights.get(b)
+                sights[b] = r if a is None else [min(a[0], r[0]), max(a[1], r[1]), min(a[2], r[2]), max(a[3], r[3]), max(a[4], r[4]),
+                                                 min((a[0], a[5]), (r[0], r[5]))[1], False]
+                continue
+            anchor = row.resets_at if row.resets_at is not None else 0
+            a = spend[self._slice(timed, anchor, row.ts)].setdefault((anchor, row.ts), [Decimal(0), 0])
+            a[0] += row.pico if row.pico is not None else 0
+            a[1] += row.pico is None
+            held += 1
+            if held >= CHUNK:
+                self._add(key, spend)
+                spend, held = defaultdict(dict), 0
+        self._add(key, spend)
+        seen = self._merge(self._seen(), sights)
+        if sights:
+            self.sights.update(([tuple(r) for r in seen],))
+            for r in seen:
+                if not r[6]:
+                    self.handle.registerTimer((r[1] + self.hold) // MS + 1)
+        open_ = [s for s in self._spans(timed, seen) if not s[0][6]]
+        if open_:
+            yield self._row(key, max(open_, key=lambda s: s[0][0]), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        key, timed, at = tuple(key), key[1] == "timed", expiredTimerInfo.getExpiryTimeInMs() * MS
+        seen = self._seen()
+        spans = self._spans(timed, seen)
+        due = [s for s in spans if not s[0][6] and s[0][1] + self.hold < at]
+        for span in due:
+            yield self._row(key, span, True)
+            span[0][6] = True
+        if due:
+            # a window that ended still bounds the one that follows it
+            left = [r for r, following in zip(spans, [*spans[1:], None]) if not r[0][6] or (following is not None and not following[0][6])]
+            if any(not s[0][6] for s in left):
+                self.sights.update(([tuple(s[0]) for s in left],))
+            else:
+                self.sights.clear()
+        if at % self.slice_span:
+            return
+        self._end_slices(timed, key, at, [s for s in spans if not s[0][6]])
+
+    def _end_slices(self, timed: bool, key: tuple, at: int, open_: list[tuple]) -> None:
+        s = at // self.slice_span - 1
+        if self.spend.containsKey((s,)):
+            items = [tuple(i) for i in self.spend.getValue((s,))[0]]
+            newest = open_[-1][0][3] if open_ else -1
+            inside = (s + 1) * self.slice_span <= newest and not any(
+                abs(edge - at) <= self.jitter + self.slice_span for _, start, end in open_ for edge in (start, end))
+            if timed and inside and len(items) > 1:
+                self.spend.updateValue((s,), ([(0, max(i[1] for i in items), sum(i[2] for i in items), sum(i[3] for i in items))],))
+        gone = (at - self._kept_for(key)) // self.slice_span - 1
+        if self.spend.containsKey((gone,)):
+            self.spend.removeKey((gone,))
+
+    def close(self) -> None:
+        pass
+
+
+def spend_rows(usage: DataFrame, links: DataFrame | None = None, limits: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Spend as seen by limits: on-plan requests of timed tools for every (scope, window) that counts them, of linked tools by their links."""
+    on_plan = usage.where("on_plan")
+    known = limits or [(scope, window) for scope in ("all", "opus", "sonnet", "fable") for window in ("five_hour", "seven_day")]
+    pairs = F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(w).alias("window")) for s, w in known])
+    timed = on_plan.where(F.col("tool") == "timed").select("account_id", "tool", "ts", "model", "cost_pico", F.inline(pairs))
+    timed = timed.where(in_scope("tool", "scope", "model")).select(*LIMIT, "ts", F.lit(None).cast("bigint").alias("resets_at"), "cost_pico")
+    if links is None:
+        return timed
+    linked = links.where(F.col("resets_at").isNotNull()).withColumnRenamed("usage_id", "id").join(
+        on_plan.where(F.col("tool") == "linked").select("id", "account_id", "tool", "ts", "model", "cost_pico"), ["account_id", "tool", "id"])
+    return timed.unionByName(linked.where(in_scope("tool", "scope", "model")).select(*LIMIT, "ts", "resets_at", "cost_pico"))
+
+
+def live_windows(snapshots: DataFrame, spend: DataFrame | None = None, jitter: int = 900 * SEC, slack: int = SEC, slice_span: int = HOUR,
+                 hold: int = 900 * SEC, delay: str = ALIGN_DELAY) -> DataFrame:
+    """The window in progress of every limit, with the spend in it, and its last state when it is over.
+
+    ``spend`` has the columns of ``spend_rows``.  Each batch puts out a limit's newest window (``final`` false); some time
+    (``hold``) after its reset, and after the delay, a window's last row comes (``final`` true) and its state ends.  Up to the delay rows
+    may come in any order, and the last row equals the batch rebuild, but for two cases that ``jobs.maintain_windows`` mends: a window first
+    seen after the end of the one before it that began before that end (the rebuild then cuts the earlier one), and requests linked to a
+    window that ended before them.  Update mode.
+    """
+    seen = snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull() & F.col("used_percent").isNotNull()).select(
+        *LIMIT, "ts", "resets_at", F.col("used_percent").cast("double").alias("used_percent"), "window_seconds",
+        F.lit(None).cast("decimal(38,0)").alias("pico"))
+    if spend is not None:
+        seen = seen.unionByName(spend.select(
+            *LIMIT, "ts", "resets_at", F.lit(None).cast("double").alias("used_percent"), F.lit(None).cast("bigint").alias("window_seconds"),
+            F.col("cost_pico").cast("decimal(38,0)").alias("pico")))
+    return with_event_time(seen, delay).groupBy(*LIMIT).transformWithState(
+        _Ledger(jitter, slack, slice_span, -(-hold // slice_span) * slice_span), LIVE, "Update", "EventTime")
+
+
+# -- alignment of readings and requests --------------------------------------------------------------
+
+def aligned(snapshots: DataFrame, usage: DataFrame, grace: int = 600 * SEC, delay: str = ALIGN_DELAY) -> DataFrame:
+    """Readings with the requests of the same account and tool at most ``grace`` before or after them; a reading without any comes once, alone.
+
+    The second kind waits until the watermarks say that no request can come any more: only then is a rise believed to be unexplained.
+    Both streams are joined on (account, tool, bucket of time) and the exact distance, so that an account with many rows spreads over
+    time; state holds the rows of the grace and the delay.  Give it rises (``visible_changes``) rather than all readings of a busy account.
+    """
+    s = with_event_time(snapshots.where(F.col("ts").isNotNull()), delay).select(
+        *LIMIT, "ts", "used_percent", F.expr(f"ts div {grace}").alias("bucket"), F.col("event_time").alias("seen_at")).alias("s")
+    u = with_event_time(usage.where(F.col("ts").isNotNull()), delay).select(
+        "account_id", "tool", F.col("id").alias("usage_id"), F.col("ts").alias("usage_ts"), "cost_pico", F.col("event_time").alias("used_at"),
+        F.explode(F.expr(f"sequence(ts div {grace} - 1, ts div {grace} + 1)")).alias("bucket")).alias("u")
+    near = F.expr(f"used_at >= seen_at - INTERVAL {grace} MICROSECONDS AND used_at <= seen_at + INTERVAL {grace} MICROSECONDS")
+    keys = [F.col(f"s.{c}") == F.col(f"u.{c}") for c in ("account_id", "tool", "bucket")]
+    cond = near
+    for k in keys:
+        cond = cond & k
+    return s.join(u, cond, "left_outer").select(*[F.col(f"s.{c}").alias(c) for c in LIMIT], "ts", "used_percent", "usage_id", "usage_ts", "cost_pico")
