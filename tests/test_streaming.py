@@ -150,7 +150,7 @@ def test_ended_windows_with_spend_equal_the_rebuild(spark, tmp_path, seed):
 def test_visible_changes_in_any_order(spark, tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(state, "CHUNK", chunk)
     r = random.Random(4)
-    rows = [snap(k * 7 + (k % 3), r.choice([5, 5, 6]), r.choice([600, 601, 720]), account=k % 2) for k in range(200)]
+    rows = [snap(1 + k * 7 + (k % 3), r.choice([5, 5, 6]), r.choice([600, 601, 720]), account=k % 2) for k in range(200)]
     mixed = sorted(rows, key=lambda x: x[4] + r.randint(0, 300) * SEC)
     s, _ = stream_of(spark, tmp_path, "c", [mixed[:70], mixed[70:140], mixed[140:], [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
     got = run_keyed(state.visible_changes(s), "append", tmp_path)[0].where("account_id < 9").collect()
@@ -165,17 +165,17 @@ def test_visible_changes_in_any_order(spark, tmp_path, monkeypatch, chunk):
 
 def test_alert_cooldown(spark, tmp_path):
     row = lambda t, d="tighter", account=1: (account, "linked", "w", d, t, 0.6, "x", 4)
-    batches = [[row(1000 * SEC), row(5, "looser")], [row(0)], [row(25 * HOUR), row(24 * HOUR - 1)], [row(FAR * SEC, account=9)]]
+    batches = [[row(1000 * SEC), row(5, "looser")], [row(1)], [row(25 * HOUR), row(24 * HOUR)], [row(FAR * SEC, account=9)]]
     s, _ = stream_of(spark, tmp_path, "al", batches, M.ALERT)
     got, left = run_keyed(state.cooled_alerts(s, delay="2 hours"), "append", tmp_path)
-    assert sorted((r.direction, r.ts) for r in got.where("account_id < 9").collect()) == [("looser", 5), ("tighter", 0), ("tighter", 25 * HOUR)]
+    assert sorted((r.direction, r.ts) for r in got.where("account_id < 9").collect()) == [("looser", 5), ("tighter", 1), ("tighter", 25 * HOUR)]
     assert left == 1  # the closing row waits; the state of a direction ended with its cool-down
 
 
 def test_alignment_equals_a_range_join(spark, tmp_path):
     r = random.Random(6)
-    snaps = [snap(r.randint(0, 20_000), k, 18000, account=k % 2) for k in range(60)] + [snap(90_000, 3, 99_000)]
-    use = [paid(r.randint(0, 20_000), 5, account=k % 2, name=f"r{k}") for k in range(50)]
+    snaps = [snap(r.randint(1, 20_000), k, 18000, account=k % 2) for k in range(60)] + [snap(90_000, 3, 99_000)]
+    use = [paid(r.randint(1, 20_000), 5, account=k % 2, name=f"r{k}") for k in range(50)]
     near = lambda rows, at: sorted(rows, key=lambda x: x[at] + r.randint(0, 400) * SEC)
     a, b = near(snaps, 4), near(use, 3)
     s, _ = stream_of(spark, tmp_path, "s", [a[:20], a[20:], [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
