@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemeter import model as M
 from tidemeter.model import HOUR, SEC, Params
 from tidemeter.operators import windows as W
-from tidemeter.sources import catalog, logs, sinks
+from tidemeter.sources import catalog, logs, runs, sinks
 from tidemeter.sources.tail import JsonlTail
 from tidemeter.streaming import jobs, state
 
@@ -207,23 +207,90 @@ def test_ingest_is_idempotent(spark, tmp_path):
     s, folder = stream_of(spark, tmp_path, "raw", rows, "id string, v long")
     for i in range(2):                                # the second run reads everything again
         jobs.ingest(s, lambda b: b, ["id"], str(tmp_path / "t"), str(tmp_path / f"cp{i}"), {"availableNow": True}).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-
-
-def test_late_rows_give_the_same_windows(spark, tmp_path):
-    p = Params(now=10**15)
-    early, late = [snap(100, 5, 18000), snap(400, 12, 18000)], [snap(200, 9, 18001), snap(150, 2, 18000, account=2)]
-    out, table = str(tmp_path / "w"), str(tmp_path / "snaps")
-    empty_u, empty_l = spark.createDataFrame([], M.USAGE), spark.createDataFrame([], M.LINK)
-    s, _ = stream_of(spark, tmp_path, "in", [early, late], M.SNAPSHOT)
-
-    def store_then_tables():
-        return spark.read.schema(M.SNAPSHOT).parquet(str(tmp_path / "in")), empty_u, empty_l
-    jobs.maintain_windows(s, store_then_tables, p, out, str(tmp_path / "cpw"), {"availableNow": True}).awaitTermination()
-    want = W.build_windows(spark.createDataFrame(early + late, M.SNAPSHOT), empty_u, empty_l, p)[0]
-    cols = ["account_id", "reset_min", "used_percent", "first_seen", "last_seen"]
-    assert sorted(spark.read.parquet(out).select(*cols).collect()) == sorted(want.select(*cols).collect())
-    assert table and sinks.stored(want, str(tmp_path / "nowhere")) is None
+    assert sorted(tuple(r) for r in jobs.ingested(spark, str(tmp_path / "t"), ["id"]).collect()) == [("x", 1), ("y", 3)]
+
+
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_late_rows_give_the_same_windows(spark, tmp_path, monkeypatch, fan_in):
+    """Readings and requests in any batches, of several accounts; some join two windows, lower a reset or come before all others."""
+    monkeypatch.setattr(jobs, "FULL_STATE_EVERY", fan_in)
+    p, r = Params(now=10**15), random.Random(fan_in)
+    snaps = [snap(r.randint(0, 60_000), r.randint(0, 50), reset + r.choice([-300, 0, 0, 400, 850]), a) for a in (1, 2, 3) for reset in (18000, 36000, 43000, 61000) for _ in range(6)]
+    use = [paid(r.randint(0, 70_000), r.choice([None, 10**8, 3 * 10**8]), a, name=f"{a}-{k}") for a in (1, 2, 3) for k in range(25)]
+    use += [paid(r.randint(0, 70_000), 10**8, 4, "linked", "gpt-x", f"l{k}") for k in range(20)]
+    snaps += [(4, "linked", "codex", "five_hour", r.randint(0, 60_000) * SEC, float(k), (18000 + 18000 * (k % 3)) * SEC, 18000, "pro", "t") for k in range(12)]
+    links = [(f"l{k}", 4, "linked", "codex", "five_hour", (18000 + 18000 * (k % 3)) * SEC) for k in range(18)]
+    snapshots, usage, linked = (spark.createDataFrame(x, t) for x, t in ((snaps, M.SNAPSHOT), (use, M.USAGE), (links, M.LINK)))
+    requests = [tuple(x) for x in jobs.linked_requests(usage, linked).collect()]
+    schema = jobs.linked_requests(usage, linked).schema
+    r.shuffle(snaps)
+    r.shuffle(requests)
+    a, _ = stream_of(spark, tmp_path, "s", [snaps[:50], snaps[50:80], snaps[80:]], M.SNAPSHOT)
+    b, _ = stream_of(spark, tmp_path, "r", [requests[:30], requests[30:60], requests[60:]], schema)
+    home = str(tmp_path / "w")
+    jobs.maintain_windows(a, b, home, p, str(tmp_path / "cpw"), {"availableNow": True}).awaitTermination()
+    store = jobs.WindowStore(spark, home, p)
+    want = W.build_windows(snapshots, usage, linked, p)[0]
+    rows = lambda df: sorted(map(str, df.select(sorted(want.columns)).withColumn("cost_so_far", F.round("cost_so_far", 12)).withColumn(
+        "cost_at_snapshot", F.round("cost_at_snapshot", 12)).collect()))
+    assert rows(store.windows()) == rows(want)
+    # a batch that is run again changes nothing
+    store.refresh(spark.createDataFrame(snaps[80:], M.SNAPSHOT), spark.createDataFrame(requests[60:], schema), 2)
+    assert rows(store.windows()) == rows(want)
+
+
+def test_a_refresh_reads_the_days_it_needs(spark, tmp_path):
+    day = 86_400
+    p, home = Params(now=10**15), str(tmp_path / "w")
+    empty_l = spark.createDataFrame([], M.LINK)
+    store = jobs.WindowStore(spark, home, p)
+    snaps = lambda d, pct: spark.createDataFrame([snap(d * day + 4000 + pct, pct, d * day + 18000)], M.SNAPSHOT)
+    use = lambda d, cost: jobs.linked_requests(spark.createDataFrame([paid(d * day + 3000, cost, name=f"{d}-{cost}")], M.USAGE), empty_l)
+    for n in range(4):
+        store.refresh(snaps(10 * n, 5), use(10 * n, 10**12), n)
+    asked, inner = [], store._days
+    store._days = lambda affected: asked.append(inner(affected)) or asked[-1]
+    store.refresh(snaps(30, 9), use(10, 2 * 10**12), 4)  # a rise in the last window, a late request in the second
+    assert asked == [[10, 30]]
+    got = {r.reset_min // SEC // day: (r.used_percent, r.cost_at_snapshot) for r in store.windows().collect()}
+    assert got == {0: (5.0, 1.0), 10: (5.0, 3.0), 20: (5.0, 1.0), 30: (9.0, 1.0)}
+
+
+def test_a_hundred_batches_of_upserts(spark, tmp_path):
+    keys, path = ["id"], str(tmp_path / "t")
+    table = runs.RunTable(spark, path, runs.grown(keys, "output", ["cost"], ["model"]), runs.bucket(keys, 2), fan_in=4)
+    r, best = random.Random(1), {}
+    for n in range(100):
+        rows = [(f"k{r.randint(0, 30)}", f"m{n}-{k}", r.randint(0, 1000), 10 * n + k) for k in range(r.randint(0, 3))]
+        table.write(spark.createDataFrame(rows, "id string, model string, output long, cost long").coalesce(1), n)
+        for i, model, output, cost in sorted(rows, key=lambda x: x[1]):
+            if i not in best:
+                best[i] = (model, output, cost)
+            elif output > best[i][1]:
+                best[i] = (best[i][0], output, cost)
+        if n in (99, 47):
+            assert {x.id: (x.model, x.output, x.cost) for x in table.read().collect()} == best
+            again = sorted(map(tuple, table.read().collect()))
+            table.write(spark.createDataFrame([("k1", "other", 10**6, 0)], "id string, model string, output long, cost long"), n if n == 47 else 63)
+            assert sorted(map(tuple, table.read().collect())) == again  # merged batches are not taken in again
+    assert [(a, b) for _, a, b in table.runs()] == [(0, 63), (64, 79), (80, 95), (96, 99)]
+    assert len(runs.names(spark, path)) <= 8 and table.read(until=64).count() <= len(best)
+
+
+def test_runs_of_the_other_kinds(spark, tmp_path):
+    df = lambda *rows: spark.createDataFrame(list(rows), "id string, v long")
+    new = runs.RunTable(spark, str(tmp_path / "n"), runs.newest(["id"]), fan_in=2)
+    old = runs.RunTable(spark, str(tmp_path / "o"), runs.oldest(["id"]), fan_in=2)
+    low = runs.RunTable(spark, str(tmp_path / "c"), runs.combined(["id"], v=F.sum), fan_in=2)
+    every = runs.RunTable(spark, str(tmp_path / "e"), fan_in=2)
+    assert new.read() is None
+    for t in (new, old, low, every):
+        for n, rows in enumerate([[("a", 1), ("b", 5)], [("a", 3)], [], [("b", 2), ("a", 2)]]):
+            t.write(df(*rows), n)
+        assert [(a, b) for _, a, b in t.runs()] == [(0, 3)]
+    found = lambda t: sorted((r.id, r.v) for r in t.read().collect())
+    assert found(new) == [("a", 2), ("b", 2)] and found(old) == [("a", 1), ("b", 5)] and found(low) == [("a", 6), ("b", 7)]
+    assert found(every) == [("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 5)]
 
 
 def test_replace_partitions_keeps_others(spark, tmp_path):

@@ -47,7 +47,11 @@ def reset_sessions(digest: DataFrame, p: Params) -> DataFrame:
 
 def cycle_digest(snapshots: DataFrame, p: Params) -> DataFrame:
     """The snapshot digest keyed by cycle."""
-    digest = snapshot_digest(snapshots, p)
+    return owned_digest(snapshot_digest(snapshots, p), p)
+
+
+def owned_digest(digest: DataFrame, p: Params) -> DataFrame:
+    """A snapshot digest, perhaps merged from those of several batches, keyed by cycle."""
     owner = reset_sessions(digest, p).withColumnRenamed("cycle_min", "reset_min")
     return digest.drop("reset_min").join(owner, [*LIMIT, "reset_bucket"])
 
@@ -184,14 +188,18 @@ def build_windows(snapshots: DataFrame, usage: DataFrame, links: DataFrame, p: P
     rows = cycles(digest, p)
     rises = steps(digest)
     spend = keep(segment_spend(attribute(usage, links, segments(rows, rises), p)))
+    return windows_with_spend(rows, rises, spend), rises, spend
+
+
+def windows_with_spend(rows: DataFrame, rises: DataFrame, spend: DataFrame) -> DataFrame:
+    """Cycle rows with their percent, their costs and a plan."""
     top = rises.groupBy(*CYCLE).agg(
         F.max("pct").alias("used_percent"),
         F.max(F.when(F.col("unsegmented"), F.col("dpct"))).alias("unsegmented_pct"))
     windows = (rows.join(top, CYCLE, "left").join(window_costs(spend), CYCLE, "left")
                .na.fill(0.0, ["used_percent", "unsegmented_pct", "cost_at_snapshot", "cost_so_far"])
                .na.fill(0, ["unpriced_requests"]))
-    windows = fill_plans(windows).withColumn("plan_key", F.coalesce("plan_type", F.lit("")))
-    return windows, rises, spend
+    return fill_plans(windows).withColumn("plan_key", F.coalesce("plan_type", F.lit("")))
 
 
 def percent_at(moments: DataFrame, windows: DataFrame, step_rows: DataFrame, at: str = "t") -> DataFrame:

@@ -1314,9 +1314,26 @@ def streamed_alignment(spark, sf):
     return _plain(rows.where("account_id >= 0").drop("batch"))
 
 
-@query("streamed_window_refresh", sql(f"SELECT {_out('used AS used_percent, cost_at AS cost_at_snapshot')} FROM win WHERE account_id = 1", "win"))
+@query("streamed_window_refresh", sql(f"SELECT {_out('used AS used_percent, cost_at AS cost_at_snapshot, cost_far AS cost_so_far')} FROM win", "win"))
 def streamed_window_refresh(spark, sf):
-    """Late rows of one account: its windows rebuilt from the stored tables."""
-    late = D0.snapshots(spark, sf).where((F.col("account_id") == 1) & (F.col("window") == "five_hour"))
-    fresh = jobs.recompute_touched(jobs.touched_accounts(late), D0.snapshots(spark, sf), D0.priced(spark, sf), D0.links(spark, sf), PARAMS)
-    return fresh.select(*CYCLE, "used_percent", "cost_at_snapshot")
+    """Readings and requests in two batches, one row in eight late, of all accounts: windows kept current batch by batch, as by a rebuild of everything."""
+    home = f"{checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    turn = lambda df: F.when(F.pmod(F.xxhash64(*df.columns), F.lit(8)) == 0, 1).otherwise(0)
+    requests = jobs.linked_requests(D0.priced(spark, sf), D0.links(spark, sf))
+    a, b = (_arriving(df, turn(df), 2) for df in (D0.snapshots(spark, sf), requests))
+    jobs.maintain_windows(a, b, home, PARAMS, f"{home}/cp", {"availableNow": True}).awaitTermination()
+    return jobs.WindowStore(spark, home, PARAMS).windows().select(*CYCLE, "used_percent", "cost_at_snapshot", "cost_so_far")
+
+
+@query("streamed_upserts", sql("""SELECT account_id, tool, id, ts, model, input_tokens, output_tokens, reasoning_tokens, pico AS cost_pico FROM (
+  SELECT account_id, tool, id, ts, model, inp AS input_tokens, outp * 3 + 3 AS output_tokens, reas * 3 AS reasoning_tokens, pico * 3 AS pico FROM priced)""", "priced"))
+def streamed_upserts(spark, sf):
+    """Each request comes three times, with more output each time but in any order, over 18 batches: one row each, with the most it had."""
+    home = f"{checkpoint_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    u = D0.priced(spark, sf).withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    for c in ("output_tokens", "reasoning_tokens", "cost_pico"):
+        u = u.withColumn(c, ((F.col(c) + (1 if c == "output_tokens" else 0)) * F.col("n")).cast("bigint"))
+    u = u.drop("n").select(*M.USAGE.fieldNames())
+    stream = _arriving(u, F.pmod(F.xxhash64(*u.columns), F.lit(18)).cast("int"), 18, files=2)
+    jobs.upsert_usage(stream, home, f"{home}-cp", {"availableNow": True}).awaitTermination()
+    return jobs.upserted_usage(spark, home).select("account_id", "tool", "id", "ts", "model", "input_tokens", "output_tokens", "reasoning_tokens", "cost_pico")

@@ -24,13 +24,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` below the checkpoint folder, or another that all executors share, and read it back.
 
     Ends the lineage reliably: later stages survive executor loss without recomputing what came before,
     and Spark plans them with the true size of the table.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tidemeter-{uuid.uuid4().hex}"
+    path = f"{(folder or checkpoint_dir(df.sparkSession)).rstrip('/')}/tidemeter-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
