@@ -112,17 +112,19 @@ class RunTable:
     def _settled(self, df: DataFrame) -> DataFrame:
         return (self.merge(df) if self.merge else df).drop(RUN)
 
-    def _of(self, runs: Sequence[tuple[str, int, int]], keep: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    def _of(self, runs: Sequence[tuple[str, int, int]], keep: Callable[[DataFrame], DataFrame] | None) -> DataFrame | None:
+        """The rows of all runs; None if none of them has a row."""
         parts = []
         for k, run in enumerate(runs):
-            df = self.spark.read.parquet(self._at(*run))
-            parts.append((keep(df) if keep else df).drop("part").withColumn(RUN, F.lit(k)))
-        return reduce(DataFrame.unionByName, parts)
+            if any(n.startswith("part=") for n in names(self.spark, self._at(*run))):
+                df = self.spark.read.parquet(self._at(*run))
+                parts.append((keep(df) if keep else df).drop("part").withColumn(RUN, F.lit(k)))
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def read(self, keep: Callable[[DataFrame], DataFrame] | None = None, until: int | None = None) -> DataFrame | None:
-        """The table as it stands, or None before its first run.  ``keep`` picks rows before they are merged; a filter on ``part`` prunes files."""
-        runs = self.runs(until)
-        return self._settled(self._of(runs, keep)) if runs else None
+        """The table as it stands, or None before its first row.  ``keep`` picks rows before they are merged; a filter on ``part`` prunes files."""
+        rows = self._of(self.runs(until), keep)
+        return None if rows is None else self._settled(rows)
 
     def _write(self, df: DataFrame, first: int, last: int) -> None:
         dealt = df.withColumn("part", self.part)
@@ -138,7 +140,8 @@ class RunTable:
         while (batch + 1) % width == 0:
             first = batch + 1 - width
             inside = [r for r in self.runs(batch + 1) if r[0] == self.writer and first <= r[1]]
-            self._write(self._settled(self._of(inside, None)), first, batch)
+            stored = self._of(inside, None)
+            self._write(rows.limit(0) if stored is None else self._settled(stored), first, batch)
             width *= self.fan_in
         self._sweep(batch)
 
