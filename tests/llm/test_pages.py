@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -38,6 +39,82 @@ def test_names_on_the_article_itself(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article title='The hidden truth'><p>{ARTICLE}</p></article>", ARTICLE),
+    (f"<article data-t='x hidden y' alt=\"aria-hidden=true\"><p>{ARTICLE}</p></article>", ARTICLE),
+    (f"<article class='post hidden md:block'><p>{ARTICLE}</p></article>", ARTICLE),
+    (f"<div class='social-science'><p>{ARTICLE * 3}</p></div>", ARTICLE * 3),
+    (f"<article><div class='search-results-story'><p>{ARTICLE}</p></div></article>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p><div class='sidebar-left'>{ARTICLE}</div><div id=cookieBanner>{ARTICLE}</div><p HIDDEN=''>{ARTICLE}</p></article>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p><p style='color:red; display : none'>{ARTICLE}</p><p aria-hidden = 'TRUE'>{ARTICLE}</p></article>", ARTICLE),
+    (f"<article><svg viewBox='0 0 1 1'/><p>{ARTICLE}</p></article>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p><p title=\"x<b>and the rest of it</b></article>", f"{ARTICLE}\nand the rest of it"),
+])
+def test_names_and_attributes(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<a " + '=""' * 100_000 + "<", "<a " + "=''" * 50_000 + '="' * 50_000 + "<", "<div>" * 50_000 + "</i>" * 50_000, "<a =\"" * 50_000, "<" * 100_000,
+    "<i class=ad><article>" + "<div>" * 30_000 + "</i>" * 30_000, "<p>" * 100_000, "<script " * 50_000, "<!--" * 50_000, "<x a= " * 50_000, "</" * 100_000,
+    "<article><p>" + "<a b" + " " * 100_000 + "</a" + " " * 100_000, "<a title='" + "x=" * 100_000, "<b class='" + "social-" * 50_000 + "'>", "&" * 100_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    t = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - t < 2
+
+
+def plain_two_pass(blocks):
+    """Both passes block by block, from the rules as they are told: (text, linked, heading, inside) -> kept."""
+    labels = []
+    inside_any = any(x[3] for x in blocks)
+    for text, linked, heading, inside in blocks:
+        words = text.split()
+        stops = sum(w.strip(".,;:!?\"'()").lower() in html_text.STOP_WORDS for w in words) / len(words)
+        if inside:
+            labels.append(-1 if linked / len(text) > 0.8 and not heading else 1 if len(words) >= 5 or stops else 0)
+        elif inside_any or linked / len(text) > 0.2:
+            labels.append(-1)
+        elif heading or len(text) < 70:
+            labels.append(-1 if linked else 0)
+        else:
+            labels.append(1 if stops >= 0.25 or (stops >= 0.15 and len(text) >= 200) else -1 if stops < 0.15 else 0)
+    out = []
+    for i, (text, linked, heading, inside) in enumerate(blocks):
+        if labels[i] or inside_any and not inside:
+            out.append(labels[i] == 1)
+            continue
+        row = [k for k in range(len(blocks)) if blocks[k][3] == inside and labels[k]]
+        here = [k for k in range(len(blocks)) if blocks[k][3] == inside].index
+        left, right = max((k for k in row if k < i), default=None), min((k for k in row if k > i), default=None)
+        a, z = (labels[k] if k is not None else 0 for k in (left, right))
+        if not a or not z or a == z:
+            out.append((a or z or (1 if inside else -1)) == 1)
+        else:
+            before, after = here(i) - here(left), here(right) - here(i)
+            out.append((z if heading or after < before else a if before < after else 1) == 1)
+    return out
+
+
+@pytest.mark.parametrize("with_article", [False, True])
+def test_two_passes_as_by_plain_rules_on_random_pages(with_article):
+    r = random.Random(with_article)
+    stops, others = ["the", "and", "of", "in", "was", "to"], ["anble", "kutor", "vend", "misto", "pelaq", "zorn"]
+    for _ in range(300):
+        blocks, page = [], ""
+        for _ in range(r.randint(1, 9)):
+            share = r.choice([0, 0.1, 0.2, 0.4])
+            text = " ".join(r.choice(stops if r.random() < share else others) for _ in range(r.choice([1, 3, 8, 14, 30, 60])))
+            heading, link, inside = r.random() < 0.2, r.choice(["", "", "", "link word", text]), with_article and r.random() < 0.6
+            tag = "h2" if heading else "p"
+            whole = text if link in ("", text) else f"{text} {link}"
+            body = f"<a href=x>{text}</a>" if link == text else f"{text} <a href=x>{link}</a>" if link else text
+            page += f"<article><{tag}>{body}</{tag}></article>" if inside else f"<{tag}>{body}</{tag}>"
+            blocks.append((whole, len(link), heading, inside))
+        assert html_text.main_text(page) == "\n".join(b[0] for b, k in zip(blocks, plain_two_pass(blocks)) if k), page
+
+
 def test_pages_table(spark):
     r = random.Random(1)
     long = " ".join(r.choice(["the", "sea", "and", "hill"]) for _ in range(60_000))

@@ -6,8 +6,12 @@ are kept unless they are mere links); where it is silent, length, link density a
 decide.  Short blocks without clear signs stay open.  Second pass: an open block takes the label of its nearest
 decided neighbours; between two labels the nearer wins, and a heading goes with what follows it.
 
-Null or empty html gives an empty text.  Unclosed elements end with their parents, and a tag cut off by the end of
-the page is dropped.  Repeated rows are read each; other columns, whatever their names, are left out.
+A class, id or role names what is around an article if one of its names holds such a word and beside it plain words
+only (``sidebar-left``, but not ``social-science``); attributes go by their names, so a title that says "hidden" hides nothing.
+
+Null or empty html gives an empty text, and an empty table no rows.  Unclosed elements end with their parents, and a tag cut off by the end of
+the page is dropped.  A page of any length and any markup is read once, in time and memory that grow with its length.  Between two
+labels equally near an open block counts as text.  Repeated rows are read each; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -37,16 +41,26 @@ _AROUND = frozenset("""ad ads advert adverts advertisement advertising adsense b
  social comment comments disqus replies respond related recommended widget pagination pager login signup toolbar copyright
  complementary contentinfo search alert""".split())
 
+# Words that beside one of those above say no more than which part or form of it is meant.
+_PLAIN = frozenset("""area bar block body bottom box btn button buttons card cell col column container content entry fixed form global group header heading holder
+ icon icons id image images inner item items js label large left level link links list local main mid middle mobile module notification outer page panel
+ part policy post posts primary right row secondary section shell site slot small static sticky strip tab tabs text thread title toggle top unit
+ up view with wrap wrapper zone""".split())
+
+# Possessive throughout: what one part has taken is not tried in another way, so every place of a page is read a bounded number of times.
+_ATTRIBUTES = r"(?>[^<>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}(?:(?<=/)>|>?.*?(?:</\1\s*>|\Z))"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>?|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++)))?")
+_NO_DISPLAY = re.compile(r"display\s*+:\s*+none", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Characters, stop-word and link shares of the first pass where markup is silent.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.25, 0.2
 GOOD, BAD, OPEN = 1, -1, 0
+#: Elements that a stray inline end tag does not reach out of.
+_WALLS = frozenset("article main nav aside footer td th".split())
 
 
 @dataclass
@@ -58,23 +72,41 @@ class Block:
     label: int = OPEN
 
 
-def _region(tag: str, attributes: str, now: int, in_article: bool) -> int:
+def _attributes(raw: str) -> dict[str, str]:
+    """Attributes by name in lower case; of equal names the first."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _around(name: str) -> bool:
+    """Whether one name of a class, id or role means what is around an article: a word that says so, and beside it plain words only."""
+    parts = {p.lower() for p in _NAME_PARTS.findall(name)}
+    return not _AROUND.isdisjoint(parts) and parts <= _AROUND | _PLAIN
+
+
+def _region(tag: str, raw: str, now: int, in_article: bool) -> int:
     if tag in _NO_TEXT or (tag == "header" and now != GOOD):
         return BAD
-    names = {p.lower() for m in _NAMED.finditer(attributes) for p in _NAME_PARTS.findall(m[1] or m[2] or m[3] or "")} if attributes else ()
-    if names and not _AROUND.isdisjoint(names):
+    found = _attributes(raw) if raw and not raw.isspace() else {}
+    names = [n for c in ("class", "id", "role") for n in found.get(c, "").split()]
+    if any(map(_around, names)):
         # an article is around the text if nothing else names it, or as part of another (a reader's comment) or of what is around
-        own = tag == "main" or (tag == "article" and now != BAD and not in_article and not _AROUND.issuperset(names))
+        alone = _AROUND.issuperset(p.lower() for n in names for p in _NAME_PARTS.findall(n))
+        own = tag == "main" or (tag == "article" and now != BAD and not in_article and not alone)
         if not own and tag not in ("html", "body"):
             return BAD
-    if attributes and _HIDDEN.search(attributes):
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(found.get("style", "")):
         return BAD
-    return GOOD if tag in _ARTICLE or "article" in names else now
+    return GOOD if tag in _ARTICLE or "article" in (n.lower() for n in names) else now
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # element, region, hard: an article inside does not lift it
+    places: dict[str, list[int]] = {}  # of each element's name, where it is in the stack
+    walls: list[int] = []
     pieces: list[str] = []
     linked = links = 0
     region, heading = OPEN, False
@@ -96,11 +128,17 @@ def blocks_of(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
+    def cut_to(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+        while walls and walls[-1] >= k:
+            walls.pop()
+
     at = 0
     for m in _TOKEN.finditer(page):
         text(page[at:m.start()])
         at = m.end()
-        name = m[3]
+        ends, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not name:
             continue
         name = name.lower()
@@ -108,30 +146,30 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append(" ")
         if name in _BLOCKS:
             close()
-        if m[2]:
+        if ends:
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "nav", "aside", "footer", "td", "th") and name not in _BLOCKS:
-                    break
+            own = places.get(name)
+            if own and (name in _BLOCKS or not walls or walls[-1] <= own[-1]):
+                cut_to(own[-1])
         elif name not in _VOID:
             if name == "a":
                 links += 1
             hard = bool(stack) and stack[-1][2]
-            new = BAD if hard else _region(name, m[4], stack[-1][1] if stack else OPEN, name == "article" and any(e == name for e, _, _ in stack))
+            new = BAD if hard else _region(name, attributes, stack[-1][1] if stack else OPEN, name == "article" and bool(places.get(name)))
             if name == "p":
                 while stack and stack[-1][0] == "p":
-                    stack.pop()
+                    cut_to(len(stack) - 1)
             if name in _BLOCKS or new != (stack[-1][1] if stack else OPEN):
                 # what an article calls its surroundings stays out, whatever it holds
+                places.setdefault(name, []).append(len(stack))
+                if name in _WALLS:
+                    walls.append(len(stack))
                 stack.append((name, new, hard or name in _NO_TEXT or (new == BAD and region == GOOD)))
         if name in _BLOCKS:
-            links = 0 if m[2] and name != "a" else links
+            links = 0 if ends and name != "a" else links
             region = stack[-1][1] if stack else OPEN
-            heading = not m[2] and name in _HEADINGS
+            heading = not ends and name in _HEADINGS
         elif (stack[-1][1] if stack else OPEN) != region:
             close()
             region = stack[-1][1] if stack else OPEN
