@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.llm.words import Words, anchors, mix, slices, texts_of
-from tidemeter.session import cut
 
 #: Anchors that count as frequent: at least so many rows, the most frequent ones; half a megabyte in the broadcast.
 FREQUENT, FREQUENT_LISTED = 2_000, 1 << 16
@@ -235,7 +234,6 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(found: DataFrame) -> DataFrame:
     """Settled runs with the ``sources`` of all of them, those settled inside a slice included."""
-    found = cut(found)
     told = found.filter("told <> 0").groupBy("uid").agg(F.collect_list(F.struct("doc", "start", "told", "sources")).alias("told"))
     asks = found.filter("n > 0").groupBy("head").agg(F.collect_list(F.struct("uid", "doc", "head_doc", "head_start", "n")).alias("asks"))
     answers = (asks.join(told, asks["head"] == told["uid"], "left").select("asks", "told")
