@@ -147,8 +147,8 @@ def fingerprints(column) -> list[np.ndarray]:
     return out
 
 
-def text_of(found: np.ndarray) -> str:
-    return found.astype(">u4").tobytes().hex()
+def bytes_of(found: np.ndarray) -> bytes:
+    return found.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -192,10 +192,12 @@ def edited(text: str, following: str) -> str:
 
 
 _FOUND = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+_DIGITS = _FOUND[1:4]
 
 
 def _schema(key: T.StructField) -> T.StructType:
-    kinds = (T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType())
+    """Digests and fingerprints as bytes, half as long as their digits."""
+    kinds = (T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType(), T.DoubleType(), T.DoubleType())
     return T.StructType([key, *[T.StructField(c, t) for c, t in zip(_FOUND, kinds)]])
 
 
@@ -204,8 +206,8 @@ def _pairs(texts: list[str], own: list[np.ndarray], following: list[str], theirs
     new = [edited(t, f) for t, f in zip(texts, following)]
     column = pa.array(new, pa.large_string())
     prints = fingerprints(column)
-    return [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
-            pa.array([text_of(p) for p in own], pa.string()), pa.array([text_of(p) for p in prints], pa.string()),
+    return [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in new], pa.binary()),
+            pa.array([bytes_of(p) for p in own], pa.binary()), pa.array([bytes_of(p) for p in prints], pa.binary()),
             pa.array([likeness(a, b) for a, b in zip(own, prints)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(own, theirs)], pa.float64())]
 
 
@@ -229,7 +231,7 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
         def edge(kind, row):
             k, t, _ = row
-            return pa.RecordBatch.from_arrays([k, *[pa.nulls(1, f) for f in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())],
+            return pa.RecordBatch.from_arrays([k, *[pa.nulls(1, f) for f in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())],
                                                pa.array([part], pa.int32()), pa.array([kind], pa.string()), pa.array([t], pa.string())], names=written.names)
 
         for batch in batches:
@@ -264,4 +266,5 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             if texts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *_pairs(texts, fingerprints(batch.column(1)), following, fingerprints(batch.column(2)))], names=result.names)
 
-    return out.filter(F.col("edge").isNull()).select(*result.names).unionByName(last.mapInArrow(joined, result))
+    both = out.filter(F.col("edge").isNull()).select(*result.names).unionByName(last.mapInArrow(joined, result))
+    return both.select("doc_id", *[F.lower(F.hex(c)).alias(c) if c in _DIGITS else c for c in _FOUND])
