@@ -66,6 +66,33 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l_lo: s
         *[F.col(f"a.{c}").alias(c) for c in left.columns], *[F.col(f"b.{c}").alias(c) for c in extra])
 
 
+def values_by_slice(edges: DataFrame, keys: Sequence[str], at: str, value: str, first: Column, last: Column, width: int) -> DataFrame:
+    """A value that changes at instants ``at``, laid out by slice of time for lookups as of an instant.
+
+    One row per key and slice between ``first`` and ``last`` (slice numbers, from columns of ``edges`` that are the same over a key),
+    from the slice of the first change on: ``carry``, the value in force as the slice begins, and ``changes``, those inside it in order.
+    Changes before ``first`` or after ``last`` are held by these slices.  So a point finds its value by an equi join on
+    (key, slice), however long the key's history, and no key is gathered in one place.
+    """
+    slot = F.least(F.greatest(bucket_of(F.col(at), width), first), last)
+    held = edges.withColumn("slice", slot).withColumn("__last", last).groupBy(*keys, "slice").agg(
+        F.max("__last").alias("__last"), F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("value")))).alias("changes"))
+    w = Window.partitionBy(*keys).orderBy("slice")
+    done = F.element_at("changes", -1)["value"]
+    run = held.select(*keys, "slice", "changes", F.lag(done).over(w).alias("carry"), done.alias("__done"),
+                      F.coalesce(F.lead("slice").over(w) - 1, F.col("__last")).alias("__to"))
+    laid = run.withColumn("__s", F.explode(F.sequence("slice", F.greatest("slice", "__to"))))
+    here = F.col("__s") == F.col("slice")
+    return laid.select(*keys, F.col("__s").alias("slice"), F.when(here, F.col("carry")).otherwise(F.col("__done")).alias("carry"),
+                       F.when(here, F.col("changes")).alias("changes"))
+
+
+def value_at(at: str) -> Column:
+    """The value in force at an instant, from a row joined with ``values_by_slice``; a change counts from its own instant on."""
+    upto = F.filter("changes", lambda c: c["at"] <= F.col(at))
+    return F.coalesce(F.try_element_at(upto, F.lit(-1))["value"], F.col("carry"))
+
+
 def merge_spans(spans: DataFrame, keys: Sequence[str], lo: str = "start", hi: str = "end", slice_span: int = HOUR) -> DataFrame:
     """Union of touching or overlapping closed spans per key.
 
@@ -89,8 +116,9 @@ def blocked_scan(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
     block inherits; a scan inside the block finishes the job.  Adds, per column ``c``:
     ``c__last`` / ``c__first`` (last / first non-null up to and including the row),
     ``c__high`` (largest value strictly before the row) and ``c__total`` (sum up to and including it, 0 if
-    there is none).
+    there is none).  The rows are dealt out by (key, block) once; summaries and scan both read that one exchange.
     """
+    df = df.repartition(*keys, block)
     pos = F.struct(*order)
     ends = []
     for c in last:

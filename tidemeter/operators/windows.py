@@ -9,12 +9,12 @@ summed with partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.functions.scalars import exact_sum, fit_key, in_scope, scope_supported, usd
-from tidemeter.model import CYCLE, DAY, LIMIT, SEC, Params
-from tidemeter.operators.temporal import blocked_scan, bucket_of, interval_join
+from tidemeter.model import CYCLE, DAY, HOUR, LIMIT, SEC, WINDOW_SECONDS, Params
+from tidemeter.operators.temporal import blocked_scan, bucket_of, interval_join, value_at, values_by_slice
 
 _FAR = 1 << 62
 
@@ -135,15 +135,35 @@ def attribute(usage: DataFrame, links: DataFrame, segs: DataFrame, p: Params) ->
     bridge = (links.where(F.col("resets_at").isNotNull())
               .select(F.col("usage_id").alias("id"), "account_id", "tool", "scope", "window", "resets_at"))
     joined = bridge.join(linked_use, ["account_id", "tool", "id"])
-    reach = (segs.where(F.col("attribution") == "linked").drop("attribution")
-             .withColumn("reset_lo", F.col("reset_min") - p.link_slack).withColumn("reset_hi", F.col("reset_max") + p.link_slack))
-    linked = interval_join(joined, reach, LIMIT, "resets_at", "reset_lo", "reset_hi", p.reset_jitter, closed=True)
-    linked = linked.where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
+    linked = _linked_to_segments(joined, segs.where(F.col("attribution") == "linked").drop("attribution"), p)
     cols = [*CYCLE, "step_no", "id", "ts", "model", "cost_pico", "tokens"]
     both = timed.select(*cols).unionByName(linked.select(*cols))
     return both.where(in_scope("tool", "scope", "model"))
 
 
+def _linked_to_segments(requests: DataFrame, segs: DataFrame, p: Params) -> DataFrame:
+    """Linked requests with the segment of their window: by limit, quarter hour of the reset and hour of the request.
+
+    A window's requests share its reset, so the hour spreads them; the exact reset and instant are residual tests.  Requests
+    more than an hour outside the window that their own link names are few; they go by the reset alone.
+    """
+    length = _length()
+    near = (F.col("ts") >= F.col("resets_at") - length - HOUR) & (F.col("ts") <= F.col("resets_at") + HOUR)
+    reach = segs.withColumn("reset_lo", F.col("reset_min") - p.link_slack).withColumn("reset_hi", F.col("reset_max") + p.link_slack)
+    lo = F.greatest("lo", F.col("reset_lo") - length - HOUR)
+    hi = F.least(F.col("hi") - 1, F.col("reset_hi") + HOUR)
+    hours = (reach.where(lo <= hi).withColumn("__h", F.explode(F.sequence(bucket_of(lo, HOUR), bucket_of(hi, HOUR))))
+             .withColumn("__r", F.explode(F.sequence(bucket_of(F.col("reset_lo"), p.reset_jitter), bucket_of(F.col("reset_hi"), p.reset_jitter)))).alias("s"))
+    r = (requests.where(near).withColumn("__h", bucket_of(F.col("ts"), HOUR)).withColumn("__r", bucket_of(F.col("resets_at"), p.reset_jitter))).alias("r")
+    cond = F.col("r.resets_at").between(F.col("s.reset_lo"), F.col("s.reset_hi")) & (F.col("r.ts") >= F.col("s.lo")) & (F.col("r.ts") < F.col("s.hi"))
+    for k in (*LIMIT, "__h", "__r"):
+        cond = cond & (F.col(f"r.{k}") == F.col(f"s.{k}"))
+    extra = [c for c in segs.columns if c not in LIMIT]
+    found = r.join(hours, cond).select(*[F.col(f"r.{c}").alias(c) for c in requests.columns], *[F.col(f"s.{c}").alias(c) for c in extra])
+    far = interval_join(requests.where(~near), reach, LIMIT, "resets_at", "reset_lo", "reset_hi", p.reset_jitter, closed=True)
+    return found.unionByName(far.where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi"))).select(*found.columns))
+
+
 def segment_spend(attributed: DataFrame) -> DataFrame:
     """Spend per (cycle, segment, regressor): dollars if priced, else million tokens."""
     priced = F.col("cost_pico").isNotNull()
@@ -202,28 +222,51 @@ def windows_with_spend(rows: DataFrame, rises: DataFrame, spend: DataFrame) -> D
     return fill_plans(windows).withColumn("plan_key", F.coalesce("plan_type", F.lit("")))
 
 
-def percent_at(moments: DataFrame, windows: DataFrame, step_rows: DataFrame, at: str = "t") -> DataFrame:
-    """Monotone percent of a cycle at moments of it (rows keyed by cycle); NULL before its first snapshot."""
+#: Width of the slices of time in which a cycle's percent is looked up.
+_SLICE = DAY // 4
+
+
+def _length() -> Column:
+    """Length of a window by its name; a month and a day where that says nothing."""
+    return F.coalesce(*[F.when(F.col("window") == n, F.lit(s * SEC)) for n, s in WINDOW_SECONDS.items()], F.lit(31 * DAY))
+
+
+def _bounds(reset: Column) -> tuple[Column, Column]:
+    """First and last slice of the cycle of a reset: what lies outside belongs to the outermost slices."""
+    last = bucket_of(reset, _SLICE) + 1
+    return last - F.ceil(_length() / _SLICE).cast("bigint") - 2, last
+
+
+def _slice_of(at: str, reset: Column) -> Column:
+    first, last = _bounds(reset)
+    return F.least(F.greatest(bucket_of(F.col(at), _SLICE), first), last)
+
+
+def _edges(windows: DataFrame, step_rows: DataFrame) -> DataFrame:
+    """Where the monotone percent of a cycle changes: to zero at its first sight, then at its steps."""
     edges = (step_rows.select(*CYCLE, F.col("ts").alias("__ts"), "pct")
              .unionByName(windows.select(*CYCLE, F.col("first_seen").alias("__ts"), F.lit(0.0).alias("pct"))))
-    last_pct = edges.groupBy(*CYCLE, "__ts").agg(F.max("pct").alias("pct"))
-    spans = last_pct.select(*CYCLE, F.col("__ts").alias("__lo"),
-                            F.lead("__ts", 1, _FAR).over(Window.partitionBy(*CYCLE).orderBy("__ts")).alias("__hi"), "pct")
-    m, s = moments.alias("m"), spans.alias("s")
-    cond = (F.col(f"m.{at}") >= F.col("s.__lo")) & (F.col(f"m.{at}") < F.col("s.__hi"))
-    for k in CYCLE:
-        cond = cond & (F.col(f"m.{k}") == F.col(f"s.{k}"))
-    return m.join(s, cond, "left").select("m.*", F.col("s.pct").alias("pct"))
+    return edges.groupBy(*CYCLE, "__ts").agg(F.max("pct").alias("pct"))
+
+
+def percent_at(moments: DataFrame, windows: DataFrame, step_rows: DataFrame, at: str = "t") -> DataFrame:
+    """Monotone percent of a cycle at moments of it (rows keyed by cycle); NULL before its first snapshot."""
+    reset = F.col("reset_min")
+    laid = values_by_slice(_edges(windows, step_rows), CYCLE, "__ts", "pct", *_bounds(reset), _SLICE)
+    found = moments.withColumn("slice", _slice_of(at, reset)).join(laid, [*CYCLE, "slice"], "left")
+    return found.select(*moments.columns, value_at(at).alias("pct"))
 
 
 def snapshot_points(snapshots: DataFrame, windows: DataFrame, step_rows: DataFrame, p: Params) -> DataFrame:
-    """Every snapshot with its cycle and the monotone percent at it."""
-    digest = snapshot_digest(snapshots, p)
-    owner = reset_sessions(digest, p).withColumnRenamed("cycle_min", "reset_min")
+    """Every snapshot with its cycle and the monotone percent at it: one join, by limit, reset bucket and slice of time."""
+    owner = reset_sessions(snapshot_digest(snapshots, p), p).withColumnRenamed("cycle_min", "reset_min")
+    # a snapshot knows its reset bucket only, so what it looks up is laid out for each bucket of a cycle, also of one that is not in ``windows``
+    edges = owner.join(_edges(windows, step_rows), CYCLE, "left").withColumn("__ts", F.coalesce("__ts", F.lit(-_FAR)))
+    reset = F.col("reset_bucket") * p.reset_jitter
+    laid = values_by_slice(edges, [*CYCLE, "reset_bucket"], "__ts", "pct", *_bounds(reset), _SLICE)
     pts = (snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull())
-           .select(*LIMIT, "ts", bucket_of(F.col("resets_at"), p.reset_jitter).alias("reset_bucket"))
-           .join(owner, [*LIMIT, "reset_bucket"]).drop("reset_bucket"))
-    return percent_at(pts, windows, step_rows, "ts")
+           .select(*LIMIT, "ts", bucket_of(F.col("resets_at"), p.reset_jitter).alias("reset_bucket")).withColumn("slice", _slice_of("ts", reset)))
+    return pts.join(laid, [*LIMIT, "reset_bucket", "slice"]).select(*CYCLE, "ts", value_at("ts").alias("pct"))
 
 
 def spend_at_snapshots(points: DataFrame, attributed: DataFrame, slice_span: int = DAY // 96) -> DataFrame:
