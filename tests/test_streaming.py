@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemeter import model as M
 from tidemeter.model import HOUR, SEC, Params
 from tidemeter.operators import windows as W
-from tidemeter.sources import catalog, logs, runs, sinks
+from tidemeter.sources import catalog, logs, runs, sinks, tail
 from tidemeter.sources.tail import JsonlTail
 from tidemeter.streaming import jobs, state
 
@@ -53,7 +53,7 @@ def test_tail_reads_appended_complete_lines_once(spark, tmp_path):
         s = spark.readStream.format("jsonl_tail").option("path", str(logs)).option("sliceBytes", 7).load()
         q = s.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", cp).trigger(availableNow=True).start()
         q.awaitTermination()
-        return sorted(r.value for r in spark.read.schema(s.schema).parquet(str(out)).collect())
+        return sorted(r.value for r in tail.lines(spark.read.schema(s.schema).parquet(str(out))).collect())
 
     a = logs / "a.jsonl"
     a.write_text("one\ntwo two two two\nhal")
@@ -76,6 +76,104 @@ def test_tail_batch_slices_keep_every_line(spark, tmp_path):
     assert [r.value for r in got] == want and len({r.block for r in got}) > 10
 
 
+class Batches:
+    """The tail reader driven as Spark drives it; ``again`` makes a new reader, as after a restart."""
+
+    def __init__(self, folder, **options):
+        self.options, self.offset = {"path": str(folder), **options}, {"files": "{}"}
+        self.again()
+
+    def again(self):
+        self.reader = tail.TailReader(self.options)
+
+    def next(self):
+        end = self.reader.latestOffset()
+        parts = self.reader.partitions(self.offset, end)
+        self.offset = end
+        rows = [r for p in parts for b in self.reader.read(p) for r in b.to_pylist()]
+        return [r["value"] for r in rows if not r["event"]], sorted((r["file"].rsplit("/", 1)[1], r["event"], r["value"]) for r in rows if r["event"])
+
+
+def test_tail_takes_so_many_bytes_a_batch(tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    want = [f"{i:03d}" for i in range(40)] + ["long" * 30]
+    (folder / "a.jsonl").write_text("\n".join(want) + "\n")
+    (folder / "b.jsonl").write_text("bee\nhal")
+    b = Batches(folder, maxBytesPerTrigger="20", frontier=str(tmp_path / "frontier"), sliceBytes="7")
+    got = []
+    for n in range(20):
+        lines, told = b.next()
+        assert sum(len(x) + 1 for x in lines) <= 20 + 125 and not told
+        got += lines
+        if n % 4 == 1:
+            b.again()
+    assert sorted(got) == sorted([*want, "bee"])
+    with pytest.raises(ValueError):
+        tail.TailReader({"path": str(folder), "maxBytesPerTrigger": "5"})
+
+
+def test_tail_opens_changed_files_only_and_forgets_those_gone(tmp_path, monkeypatch):
+    for name in "abc":
+        (tmp_path / f"{name}.jsonl").write_text(f"{name}1\n")
+    opened, inner = [], tail.last_line_end
+    monkeypatch.setattr(tail, "last_line_end", lambda path, file, *a: opened.append(file[-7]) or inner(path, file, *a))
+    b = Batches(tmp_path)
+    assert sorted(b.next()[0]) == ["a1", "b1", "c1"] and sorted(opened) == ["a", "b", "c"]
+    opened.clear()
+    assert b.next() == ([], []) and not opened
+    with (tmp_path / "b.jsonl").open("a") as f:
+        f.write("b2\n")
+    (tmp_path / "c.jsonl").unlink()
+    assert b.next() == (["b2"], []) and opened == ["b"]
+    assert sorted(json.loads(b.offset["files"])) == [str(tmp_path / f"{n}.jsonl") for n in "ab"]
+
+
+def test_tail_tells_of_shrunk_and_unreadable_files(spark, tmp_path, monkeypatch):
+    a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    a.write_text("one\ntwo\n")
+    b.write_text("bee\n")
+    broken, inner = {"b.jsonl"}, tail.last_line_end
+
+    def end(path, file, *rest):
+        if file.rsplit("/", 1)[1] in broken:
+            raise PermissionError(13, "no")
+        return inner(path, file, *rest)
+
+    monkeypatch.setattr(tail, "last_line_end", end)
+    run = Batches(tmp_path)
+    assert run.next() == (["one", "two"], [("b.jsonl", "read_error", "PermissionError")])
+    assert run.next() == ([], [])  # told once
+    broken.clear()
+    a.write_text("x\n")
+    lines, told = run.next()
+    assert sorted(lines) == ["bee", "x"] and told == [("a.jsonl", "truncated", None), ("b.jsonl", "readable", None)]
+    schema = "file string, event string, detail string, since long, mtime long"
+    rows = [("/p/a.jsonl", "truncated", None, 5, 9), ("/p/b.jsonl", "read_error", "PermissionError", 3, 4), ("/p/b.jsonl", "readable", None, 4, 8),
+            ("/p/c.jsonl", "read_error", "OSError", None, 7)]
+    gaps = logs.incident_gaps(spark.createDataFrame(rows, schema), F.lit(1), 20, "timed")
+    assert sorted((g.kind, g.detail, g.start, g.end) for g in gaps.collect()) == [("read_error", "c.jsonl: OSError", 20, 20), ("truncated", "a.jsonl", 5, 9)]
+
+
+def test_tail_shrinking_files_through_a_stream(spark, tmp_path):
+    spark.dataSource.register(JsonlTail)
+    folder, out, cp = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "cp")
+    folder.mkdir()
+
+    def pump():
+        s = (spark.readStream.format("jsonl_tail").option("path", str(folder)).option("maxBytesPerTrigger", 8)
+             .option("frontier", str(tmp_path / "frontier")).load())
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(once=True).start().awaitTermination()
+        rows = spark.read.schema(s.schema).parquet(out)
+        return sorted(r.value for r in tail.lines(rows).collect()), [r.event for r in tail.incidents(rows).collect()]
+
+    (folder / "a.jsonl").write_text("one\ntwo\nthree\n")
+    assert pump() == (["one", "two"], [])
+    assert pump() == (["one", "three", "two"], [])
+    (folder / "a.jsonl").write_text("x\n")
+    assert pump() == (["one", "three", "two", "x"], ["truncated"])
+
+
 def test_hourly_rollup_equals_batch(spark, tmp_path):
     from tidemeter.plans import driver_tables as D
     u = D.priced(spark, FILES).withColumn("cost_pico", F.col("cost_pico").cast("bigint"))

@@ -296,6 +296,21 @@ def read_error_gaps(failures: DataFrame, cursors: DataFrame, now: int, tool: str
         F.lit(now).cast("bigint").alias("end"), F.lit("read_error").alias("kind"), F.concat(name, F.lit(": "), "error").alias("detail"))
 
 
+def incident_gaps(incidents: DataFrame, account: Column, now: int, tool: str) -> DataFrame:
+    """Gaps from what the tail source tells about files: truncated ones from the read before to the file's new time, unreadable ones up to now.
+
+    ``incidents`` in the order of ``since``; a file that could be read again has no read-error gap.
+    """
+    rows = incidents.withColumn("account_id", account.cast("bigint")).withColumn("tool", F.lit(tool)).withColumn(
+        "name", F.element_at(F.split("file", "/"), -1))
+    cut_off = rows.where(F.col("event") == "truncated").select(
+        "account_id", "tool", F.col("since").alias("start"), F.col("mtime").alias("end"), F.lit("truncated").alias("kind"), F.col("name").alias("detail"))
+    failed = rows.where(F.col("event") == "read_error").select(
+        "account_id", "tool", F.coalesce("since", F.lit(now)).cast("bigint").alias("start"), F.lit(now).cast("bigint").alias("end"),
+        F.lit("read_error").alias("kind"), F.concat("name", F.lit(": "), "detail").alias("detail"))
+    return clear_read_gaps(cut_off.unionByName(failed), rows.where(F.col("event") == "readable").select("account_id", "tool", "name"))
+
+
 def clear_read_gaps(gaps: DataFrame, read_files: DataFrame) -> DataFrame:
     """Withdraw read-error gaps of files (account_id, tool, name) that have since been read in full."""
     g = gaps.withColumn("__name", F.when(F.col("kind") == "read_error", F.regexp_extract("detail", r"^(.*?): ", 1)))
