@@ -64,7 +64,26 @@ def test_a_copy_with_a_short_line_goes_whole(spark):
             (8, None), (9, " \n"), (10, "Not yet"), (11, "Twice\nTwice"), (None, "Title 1")]
     docs = odd_documents(spark, rows)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
-    assert got == {None: "Title 1", 1: text, 4: "Own end.", 5: "Title 1\n" + fair(5), 6: "Title 1\n\n\tShort end.", 8: None, 9: " \n", 10: "Not yet", 11: "Twice\nTwice"}
+    assert got == {None: "Title 1", 1: text, 5: "Title 1\n" + fair(5), 6: "Title 1\n\n\tShort end.", 8: None, 9: " \n", 10: "Not yet", 11: "Twice\nTwice"}
+
+
+def test_near_copies_leave_no_stubs(spark):
+    """Copies of texts of many lines, with some words changed, through both stages: none stays, whole or in part; texts that share less stay."""
+    r, rows = random.Random(2), []
+    for k in range(30):
+        lines = [fair(1000 * k + i, r.randint(8, 16)) for i in range(r.randint(8, 20))]
+        rows.append((k, "\n".join(lines)))
+        near = [line.split(" ") for line in lines]
+        for _ in range(r.randint(1, 3)):  # each changed word takes five shingles
+            near[r.randrange(len(near))][r.randint(0, 7)] = f"changed{k}"
+        rows.append((100 + k, "\n".join(map(" ".join, near))))
+        rows.append((200 + k, "\n".join([lines[0], fair(5000 + k), fair(7000 + k), lines[1]])))
+    docs = odd_documents(spark, rows)
+    left = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    left = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(left.collect(), docs.schema), "")
+    got = {x.doc_id: x.text for x in left.collect()}
+    assert not [d for d in got if 100 <= d < 200] and {*range(30), *range(200, 230)} == set(got)
+    assert all(got[200 + k] == "\n".join([fair(5000 + k), fair(7000 + k)]) for k in range(30))
 
 
 def test_the_stage_drops_what_the_operator_drops(spark):

@@ -331,7 +331,8 @@ def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: in
     """The documents in their own columns, without the lines that go; what loses no line stays as it is.
 
     With ``drop_emptied`` a document goes as a whole if every line of it that has a word goes or, below the floor of ``min_chars``,
-    equals an earlier line of the corpus, as in a copy of others.  Lines below the floor never go alone.
+    equals an earlier line of the corpus, as in a copy of others, or if it loses lines and those of its own hold less than half of
+    its words, as in a near copy: what would be left is no document.  Lines below the floor never go alone.
     """
     gone = _removed(docs, key, text, edits, min_chars, drop_emptied)
     names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
@@ -345,7 +346,9 @@ def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: in
                 out, known = set(n or ()), set(again or ())
                 lines = [(k, x) for k, x in enumerate(t.split("\n")) if k not in out] if n or again else []
                 texts.append("\n".join([x for _, x in lines]) if n else None)
-                stays.append(not (n or again) or any(k not in known and x.strip(_BLANKS) for k, x in lines))
+                own = sum(len(x.encode().split()) for k, x in lines if k not in known)
+                mostly = not n or 2 * own >= len(t.encode().split())
+                stays.append(not (n or again) or (own > 0 and mostly))
             cols = batch.columns[:len(names)]
             cols[at] = pc.coalesce(pa.array(texts, pa.string()), cols[at])
             out = pa.RecordBatch.from_arrays(cols, batch.schema.names[:len(names)])
