@@ -149,16 +149,16 @@ def blocked_scan(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
           for c in total])
 
 
-def equal_runs(df: DataFrame, keys: Sequence[str], at: str, same: Column, span: int = HOUR) -> DataFrame:
-    """Number runs of consecutive rows (by ``at``) per key for which ``same`` holds against the row before.
+def equal_runs(df: DataFrame, keys: Sequence[str], at: str, same: Column, span: int = HOUR, ties: Sequence[str] = ()) -> DataFrame:
+    """Number runs of consecutive rows (by ``at``, then ``ties``) per key for which ``same`` holds against the row before.
 
     ``same`` may use the row's columns and ``prev.<column>``.  Works slice of time by slice of time, so
     a key with a huge history spreads over many tasks.  Adds ``run``.
     """
     sliced = df.withColumn("__slice", bucket_of(F.col(at), span)).withColumn("__row", F.struct(*df.columns))
-    w = Window.partitionBy(*keys, "__slice").orderBy(at)
+    w = Window.partitionBy(*keys, "__slice").orderBy(at, *ties)
     over = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sliced.groupBy(*keys, "__slice").agg(F.max_by("__row", at).alias("__end")).select(
+    ends = sliced.groupBy(*keys, "__slice").agg(F.max_by("__row", F.struct(at, *ties)).alias("__end")).select(
         *keys, "__slice", F.last("__end").over(over).alias("__carry"))
     flagged = (sliced.join(ends, [*keys, "__slice"])
                .withColumn("prev", F.coalesce(F.lag("__row").over(w), F.col("__carry")))

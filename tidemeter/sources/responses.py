@@ -38,12 +38,12 @@ def scrub(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def archive(responses: DataFrame) -> DataFrame:
-    """Runs of equal scrubbed bodies per account and tool, as ``[first_ts, last_ts]``."""
+    """Runs of equal scrubbed bodies per account and tool, as ``[first_ts, last_ts]``; bodies of one instant go by their digest."""
     keys = ["account_id", "tool"]
     clean = responses.select(*keys, "ts", scrub("body").alias("body")).where(F.col("body").isNotNull())
     # Long bodies stay out of the ordering: runs are found on their digests.
     digests = clean.withColumn("h", F.sha1("body"))
-    runs = equal_runs(digests.select(*keys, "ts", "h"), keys, "ts", F.col("h") == F.col("prev.h"))
+    runs = equal_runs(digests.select(*keys, "ts", "h"), keys, "ts", F.col("h") == F.col("prev.h"), ties=["h"])
     spans = runs.groupBy(*keys, "run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.first("h").alias("h"))
     text = digests.groupBy(*keys, "h").agg(F.first("body").alias("body"))
     return spans.join(text, [*keys, "h"]).select(*ARCHIVE.fieldNames())
