@@ -82,11 +82,12 @@ def early_resets(cycle_rows: DataFrame) -> DataFrame:
                   due=F.col("reset_max"), maybe_switch=F.col("tool") == "linked")
 
 
-def all_events(snapshots: DataFrame, cycle_rows: DataFrame, shapes: DataFrame, now: int, days: int = 90) -> DataFrame:
-    """Every event of the last ``days``, newest first."""
+def all_events(snapshots: DataFrame, cycle_rows: DataFrame, shapes: DataFrame, now: int, days: int = 90, n: int | None = None) -> DataFrame:
+    """Every event of the last ``days``, newest first; with ``n`` the newest so many, as a view shows them."""
     parts = [schema_events(shapes), plan_events(snapshots), window_events(snapshots), early_resets(cycle_rows)]
-    return recent_events(reduce(DataFrame.unionByName, parts), now, days)
+    return recent_events(reduce(DataFrame.unionByName, parts), now, days, n)
 
 
-def recent_events(events: DataFrame, now: int, days: int = 90) -> DataFrame:
-    return events.where(F.col("ts") >= now - days * DAY).orderBy(F.desc("ts"), "account_id", "tool", "kind", "window", "scope")
+def recent_events(events: DataFrame, now: int, days: int = 90, n: int | None = None) -> DataFrame:
+    newest = events.where(F.col("ts") >= now - days * DAY).orderBy(F.desc("ts"), "account_id", "tool", "kind", "window", "scope")
+    return newest if n is None else newest.limit(n)

@@ -176,7 +176,23 @@ def price_display(spark, sf):
     return shown.drop("priced_as", "alias_of", "source")
 
 
-@query("catalog_version")
+@query("price_sources", sql("""SELECT u.tool, u.m AS model, count(*) AS requests, CASE WHEN p.model <> u.m THEN p.model END AS priced_as,
+ CASE WHEN p.model LIKE '%-click' THEN 'm-base' END AS alias_of, CASE WHEN p.model LIKE '%-view' THEN 'override' END AS source, p.model IS NULL AS no_price
+ FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN model || '-high' ELSE model END AS m FROM usage WHERE on_plan) u LEFT JOIN price p ON p.model = u.model
+ GROUP BY ALL""", "usage", "price"))
+def price_sources(spark, sf):
+    """What shown prices rest on: half of the requests name an effort, some entries are aliases or overrides."""
+    of = F.col("model")
+    table = (D0.prices(spark).withColumn("source", F.when(of.endswith("-view"), "override").otherwise(F.col("source")))
+             .withColumn("alias_of", F.when(of.endswith("-click"), "m-base")))
+    used = D0.usage(spark, sf).withColumn("model", F.when(F.substring("id", 2, 20).cast("bigint") % 2 == 0, F.concat("model", F.lit("-high"))).otherwise(of))
+    return pricing.price_display(pricing.used_models(used, table)).select("tool", "model", "requests", "priced_as", "alias_of", "source", "no_price")
+
+
+@query("catalog_version", f"""WITH p AS (SELECT lower(p_brand || '-' || p_type) AS model, max(p_size) AS output,
+  CAST(round(min(p_retailprice) FILTER (WHERE p_retailprice > 0)) AS BIGINT) AS input FROM part WHERE p_size > 0 GROUP BY 1),
+h AS (SELECT sha256('{{"model":"' || model || '"' || CASE WHEN output <> 49 AND input IS NOT NULL THEN ',"input":' || input ELSE '' END || ',"output":' || output || '}}') AS h FROM p)
+SELECT sha1(count(*) || '|' || {" || '|' || ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT))" for i in range(8))}) AS version FROM h""")
 def catalog_version(spark, sf):
     part = _part_prices(spark, sf, 0)
     return pricing.catalog_version(part)
@@ -321,6 +337,17 @@ def parsed_messages(spark, sf):
     return logs.usage_from_layout_a(_lines_a(spark, sf), D0.prices(spark)).drop("tool", "session_id", "reasoning_tokens")
 
 
+@query("dropped_messages", sql("""SELECT 'claude:' || event_id AS id, account_id, ts, model, pico AS cost_pico FROM priced
+ WHERE tool = 'timed' AND event_id % 4 NOT IN (1, 2)""", "priced"))
+def dropped_messages(spark, sf):
+    """Lines of which a quarter are of no model and a quarter count no tokens: neither gives a request."""
+    kind = F.expr("seq div 2 % 4")
+    value = (F.when(kind == 1, F.regexp_replace("value", '"model":"[^"]*"', '"model":"<synthetic>"'))
+             .when(kind == 2, F.regexp_replace("value", r'_tokens":\d+', '_tokens":0')).otherwise(F.col("value")))
+    lines = _lines_a(spark, sf).withColumn("value", value)
+    return logs.usage_from_layout_a(lines, D0.prices(spark)).select("id", "account_id", "ts", "model", "cost_pico")
+
+
 @query("unparsed_line_gaps", sql(f"""SELECT account_id, day, count(*) AS bad, coalesce((SELECT max(us) FROM ev x WHERE x.account_id = e.account_id AND x.day = e.day
  AND x.event_id <= min(e.event_id)), {NOW}) AS start FROM ev e WHERE tool = 'timed' AND event_type = 'error' GROUP BY account_id, day""", "ev"))
 def unparsed_line_gaps(spark, sf):
@@ -366,6 +393,16 @@ def folded_requests(spark, sf):
     return t.select("account_id", "ts", "model", "session_id", "input_tokens", "cache_read_tokens", "cache_write_5m_tokens", "output_tokens", "reasoning_tokens")
 
 
+@query("request_ids", sql("""SELECT DISTINCT account_id, us AS ts, 'codex:' || substr(sha1('["' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ') || '", ['
+ || array_to_string([k * 100 + 50 + cents + event_id % 7 * 10, cents, event_id % 7 * 10, event_id % 11 * 20 + k, event_id % 3, 0], ', ') || ']]'), 1, 24) AS id
+ FROM ev WHERE tool = 'linked'""", "ev"))
+def request_ids(spark, sf):
+    """Ids of requests from their own stamp and counters, the same in every copy of a line."""
+    lines = _lines_b(spark, sf, False)
+    copy = lines.withColumn("file", F.concat(F.lit("copy-"), F.col("file")))
+    return logs.tables_from_layout_b(lines.unionByName(copy), D0.prices(spark))["usage"].select("account_id", "ts", "id")
+
+
 @query("folded_links", sql("""SELECT account_id, ts, win AS "window", resets_at FROM (
  SELECT account_id, us AS ts, last_value(CASE WHEN event_id % 5 <> 0 THEN reset5 END IGNORE NULLS) OVER w AS r5,
   last_value(CASE WHEN event_id % 5 <> 0 THEN reset7 END IGNORE NULLS) OVER w AS r7 FROM ev WHERE tool = 'linked'
@@ -939,7 +976,9 @@ def eligible_groups(spark, sf):
     return T.eligibility(w, v, PARAMS).select(*GROUP, "eligible", "declared")
 
 
-@query("blocked_reasons")
+@query("blocked_reasons", sql(f"""SELECT v.account_id, v.tool, v.scope, v.win AS "window", v.plan_key, v.shown AS status, x.code, x.n FROM shown v
+ LEFT JOIN (SELECT {GROUP_COLS}, code, count(*) AS n FROM cand WHERE stuck GROUP BY {GROUP_COLS}, code) x
+ ON v.status = 'insufficient' AND x.account_id = v.account_id AND x.tool = v.tool AND x.scope = v.scope AND x.win = v.win AND x.plan_key = v.plan_key""", "shown"))
 def blocked_reasons(spark, sf):
     w, v = _verdicts(spark, sf)
     return T.eligibility(w, v, PARAMS).select(*GROUP, "status", F.explode_outer("blocked").alias("code", "n"))
@@ -1010,6 +1049,20 @@ def recent_events(spark, sf):
     return X.all_events(D0.snapshots(spark, sf), _cycles(spark, sf), shapes, NOW, 14).select("account_id", "kind", "ts")
 
 
+@query("latest_events", sql(f"""WITH p AS (SELECT account_id, path, min(us) AS f, max(us) AS l FROM ({_PATHS}) WHERE path IS NOT NULL GROUP BY account_id, path),
+ b AS (SELECT account_id, min(us) AS fa, max(us) AS la FROM ev GROUP BY account_id),
+ x AS (SELECT account_id, 'schema' AS kind, min(f) AS ts FROM p JOIN b USING (account_id) WHERE f > fa + 86400000000 GROUP BY account_id, round_even(f / 3600e6, 0)
+ UNION ALL SELECT account_id, 'schema', max(l) FROM p JOIN b USING (account_id) WHERE l < la - 2 * 86400000000 GROUP BY account_id, round_even(l / 3600e6, 0)
+ UNION ALL SELECT account_id, 'plan', ts FROM ({_PLAN_EV}) UNION ALL SELECT account_id, 'reset', ts FROM ({_RESET_EV})
+ UNION ALL SELECT account_id, 'window', ts FROM (SELECT account_id, tool, min(ts) AS ts, min(min(ts)) OVER (PARTITION BY account_id, tool) AS f0 FROM snap
+  GROUP BY account_id, tool, scope, win) WHERE ts > f0 + 86400000000)
+SELECT account_id, kind, ts FROM x WHERE ts >= {NOW} - 30 * 86400000000 ORDER BY ts DESC, account_id, kind LIMIT 10""", "ev", "cyc", "snap").replace("\nWITH p AS", ",\np AS"))
+def latest_events(spark, sf):
+    """The newest ten events of all kinds; the view's fifty would be all of them here."""
+    shapes = responses.shape_sightings(_shape_bodies(spark, sf))
+    return X.all_events(D0.snapshots(spark, sf), _cycles(spark, sf), shapes, NOW, 30, 10).select("account_id", "kind", "ts")
+
+
 @query("annotated_trend", sql(f"""SELECT g.account_id, g.tool, g.scope, g.win AS "window", g.plan_key, v.kind AS event_kind, v.ts AS event_ts FROM (
  SELECT {GROUP_COLS}, min(last_seen) AS f FROM roles WHERE cap IS NOT NULL AND (e >= {NOW} - 60 * 86400000000 OR role = 'baseline') GROUP BY {GROUP_COLS}) g
  JOIN (SELECT account_id, NULL AS ew, 'plan' AS kind, ts FROM ({_PLAN_EV}) UNION ALL SELECT account_id, win, 'reset', ts FROM ({_RESET_EV})) v
@@ -1052,6 +1105,43 @@ def live_groups(spark, sf):
     return views.live_groups(g, NOW).select(*GROUP)
 
 
+_CURRENT = """SELECT * FROM (SELECT *, arg_max(plan_key, last_seen) OVER (PARTITION BY account_id, tool) AS cur FROM (
+ SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY account_id, tool, scope, win ORDER BY last_seen DESC, s) = 1)) WHERE plan_key = cur"""
+
+
+@query("current_verdicts", sql(f"""SELECT w.account_id, w.tool, w.scope, w.win AS "window", w.reset_min, w.used AS used_percent, v.shown AS status, round(v.rmed / v.bmed, 9) AS ratio,
+ v.status IN ('stable', 'tighter', 'looser') AS eligible FROM ({_CURRENT}) w LEFT JOIN shown v USING ({GROUP_COLS})""", "win", "shown"))
+def current_verdicts(spark, sf):
+    """Windows in use with the verdict of their limit and plan, in the columns that a report shows."""
+    w, v = _verdicts(spark, sf)
+    g = T.group_rows(w, T.eligibility(w, v, PARAMS), _no_fits(spark), PARAMS)
+    shown = views.public_columns(views.with_group(views.current_windows(w), g))
+    return r9(shown.select(*CYCLE, "used_percent", "status", "ratio", "eligible"), "ratio")
+
+
+def _rated_groups(spark, sf) -> DataFrame:
+    """Groups with the rate of all spend together, as of windows that all count."""
+    w, v = _verdicts(spark, sf)
+    fits = R.fit_rates(_one_regressor(spark, sf).withColumn("basis", F.lit("conditional")))
+    return T.group_rows(w, T.eligibility(w, v, PARAMS), fits, PARAMS)
+
+
+@query("remaining_dollars", sql(f"""SELECT w.account_id, w.tool, w.scope, w.win AS "window", w.reset_min, 'any' AS model, round(greatest(0, 100 - w.used) / f.rate, 9) AS usd,
+ f.n >= 4 AS reliable FROM ({_CURRENT}) w JOIN ({_ONE}) f USING ({GROUP_COLS}) WHERE w.active AND w.used >= 5 AND f.rate > 1e-9""", "win", "vec"))
+def remaining_dollars(spark, sf):
+    """Dollars left in the windows in use, all with five percent or more taken for covered."""
+    now = views.current_windows(_verdicts(spark, sf)[0]).withColumn("quality", F.when(F.col("used_percent") >= 5, "conditional").otherwise("waiting"))
+    left = views.remaining_by_model(now, _rated_groups(spark, sf))
+    return r9(left.select(*CYCLE, "model", "usd", "reliable"), "usd")
+
+
+@query("live_rates", sql(f"""SELECT account_id, tool, scope, win AS "window", plan_key, 'any' AS model, 'usd' AS unit, n AS windows, round(100 / rate, 9) AS cap_if_only
+ FROM ({_ONE}) JOIN (SELECT {GROUP_COLS} FROM win GROUP BY {GROUP_COLS} HAVING max(last_seen) > {NOW} - 14 * 86400000000) USING ({GROUP_COLS}) WHERE rate > 1e-9""", "win", "vec"))
+def live_rates(spark, sf):
+    rates = views.shown_rates(_rated_groups(spark, sf), NOW)
+    return r9(rates.select(*GROUP, "model", "unit", "windows", "cap_if_only"), "cap_if_only")
+
+
 @query("window_steps_detail", sql(f"""SELECT s.account_id, s.tool, s.scope, s.win AS "window", s.reset_min, step_no, dpct FROM ext s JOIN
  (SELECT * FROM win WHERE account_id = 0 AND win = 'seven_day' AND abs(e - 1705536000000000) < 10000000000) w USING (account_id, tool, scope, win, reset_min)""", "ext", "win"))
 def window_steps_detail(spark, sf):
@@ -1080,6 +1170,38 @@ def alerts_after_cooldown(spark, sf):
     return out.select("account_id", F.replace("window", F.lit(":"), F.lit("")).alias("window"), "direction")
 
 
+#: Groups of users and kinds of events with verdicts made up from their sums, as tables of the report have them.
+_VERDICT_ROWS = f"""SELECT *, CASE WHEN c % 3 = 0 THEN 'tighter' WHEN c % 3 = 1 THEN 'looser' ELSE 'stable' END AS status, n % 4 <> 0 AS eligible, c % 5 <> 0 AS declared,
+ CASE WHEN n % 7 = 0 THEN 0 ELSE {M.ANALYSIS_VERSION} END AS version, CASE WHEN c % 3 = 0 THEN 0.5 ELSE 1.5 END AS ratio, c % 1000 + 0.3 AS recent, c % 700 + 0.7 AS baseline
+ FROM (SELECT user_id, tool, event_type, count(*) AS n, sum(cents)::BIGINT AS c, max(us) AS last FROM ev GROUP BY ALL)"""
+
+
+def _report_groups(spark, sf) -> DataFrame:
+    g = D0.events(spark, sf).groupBy("user_id", "tool", "event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("c"), F.max("us").alias("last"))
+    kind = F.col("c") % 3
+    return g.select(F.col("user_id").alias("account_id"), "tool", F.lit("").alias("scope"), F.col("event_type").alias("window"), F.lit("").alias("plan_key"),
+                    F.when(kind == 0, "tighter").when(kind == 1, "looser").otherwise("stable").alias("status"), (F.col("n") % 4 != 0).alias("eligible"),
+                    (F.col("c") % 5 != 0).alias("declared"), F.when(F.col("n") % 7 == 0, 0).otherwise(M.ANALYSIS_VERSION).alias("analysis_version"),
+                    F.when(kind == 0, 0.5).otherwise(1.5).alias("ratio"), (F.col("c") % 1000 + 0.3).alias("recent_median"), (F.col("c") % 700 + 0.7).alias("baseline_median"),
+                    (F.col("n") % 4 + 3).cast("int").alias("recent_n"), F.lit(5).alias("baseline_n"), F.lit("m").alias("ref_model"),
+                    (F.col("n") % 3 == 0).alias("cross_gap"), F.col("last").alias("baseline_to"), F.col("last").alias("last_seen"))
+
+
+@query("announced_alerts", sql(f"""SELECT user_id AS account_id, tool, ':' || event_type || ':' AS "window", status AS direction, {NOW} AS ts, ratio,
+ printf('50%%; last %d windows m about $%.1f, before that 5 windows about $%.1f', n % 4 + 3, recent::DOUBLE, baseline::DOUBLE)
+  || CASE WHEN n % 3 = 0 THEN '; compared with windows before ' || strftime(make_timestamp(last), '%m-%d') ELSE '' END AS detail, version AS analysis_version
+ FROM ({_VERDICT_ROWS}) WHERE status <> 'stable' AND eligible AND declared AND version > 0 ORDER BY account_id, tool, "window" LIMIT 20""", "ev"))
+def announced_alerts(spark, sf):
+    """The latest 20 alerts of verdicts that may be announced, with their texts."""
+    return A.latest_alerts(A.new_alerts(_report_groups(spark, sf), spark.createDataFrame([], M.ALERT), NOW))
+
+
+@query("banner_rows", sql(f"""SELECT user_id AS account_id, tool, '' AS scope, event_type AS "window", '' AS plan_key, status, ratio, declared
+ FROM ({_VERDICT_ROWS}) WHERE last > {NOW} - 14 * 86400000000 AND eligible AND status <> 'stable'""", "ev"))
+def banner_rows(spark, sf):
+    return views.banner_groups(_report_groups(spark, sf), NOW).select(*GROUP, "status", "ratio", "declared")
+
+
 @query("data_overview", sql("""SELECT account_id, tool, plan_key, min(s) AS first, max(last_seen) AS last, count(*) AS windows, count(*) FILTER (WHERE excluded) AS ignored_windows,
  CASE WHEN account_id = 3 AND plan_key = 'plus' THEN 'ignore' ELSE 'keep' END AS mode FROM win GROUP BY account_id, tool, plan_key""", "win"))
 def data_overview(spark, sf):

@@ -355,4 +355,16 @@ SELECT *, CASE WHEN rmed IS NULL OR bmed IS NULL THEN 'insufficient' WHEN coales
     SELECT {_G}, max(rn) AS rn, max(bn) AS bn, bool_or(cross_gap) AS cross_gap, min(s) FILTER (WHERE base) AS bfrom, max(e) FILTER (WHERE base) AS bto,
       median(cap) FILTER (WHERE role = 'recent') AS rmed, median(cap) FILTER (WHERE role = 'baseline') AS bmed FROM roles GROUP BY {_G}) h
   LEFT JOIN spread s USING ({_G}) LEFT JOIN overlap o USING ({_G}))""")
+_cte("cand", "est", f"""
+SELECT *, coalesce(why_e, 'estimate_conflict') AS code, (rec OR base) AND (why_e IS NOT NULL OR conflict > 0) AS stuck, sum(rec::INT) OVER g >= CASE WHEN ws <= 21600 THEN 3 ELSE 1 END
+  AND greatest(sum(base::INT) OVER g, sum((m AND NOT rec)::INT) OVER g) >= CASE WHEN ws <= 21600 THEN 5 ELSE 2 END AS room FROM (
+ SELECT *, m AND NOT rec AND CASE WHEN ws <= 21600 THEN last_seen >= 1706659200000000 - 21 * 86400000000
+   ELSE e >= 1706659200000000 - 42 * 86400000000 AND rk - sum(rec::INT) OVER g <= 4 END AS base FROM (
+  SELECT *, m AND CASE WHEN ws <= 21600 THEN last_seen >= 1706659200000000 - 72 * 3600000000 ELSE rk = 1 END AS rec FROM (
+   SELECT *, row_number() OVER (PARTITION BY {_G}, m ORDER BY CASE WHEN ws <= 21600 THEN last_seen ELSE e END DESC, s DESC, reset_min DESC) AS rk FROM (
+    SELECT *, used >= 10 AND e >= 1706659200000000 - 60 * 86400000000 AS m FROM est WHERE NOT excluded)))
+ WINDOW g AS (PARTITION BY {_G})) WINDOW g AS (PARTITION BY {_G})""")
+_cte("shown", "verdict cand", f"""
+SELECT v.*, CASE WHEN v.status = 'insufficient' AND c.n > 0 AND c.room THEN 'not_eligible' ELSE v.status END AS shown
+FROM verdict v LEFT JOIN (SELECT {_G}, bool_or(room) AS room, count(*) FILTER (WHERE stuck) AS n FROM cand GROUP BY {_G}) c USING ({_G})""")
 GROUP_COLS = _G
