@@ -107,9 +107,10 @@ def lines_gone(rows, edits, least):
     for row in sorted({r for r in rows}, key=lambda r: (order_of(r), r[1] or "")):
         out[row] = []
         for i, line in enumerate((row[1] or "").split("\n")):
-            if len(line) < least or not WORD.search(line):
+            if not WORD.search(line):
                 continue
-            if any(abs(len(line) - len(o)) <= edits and distance(o, line) <= edits for o in seen):
+            reach = edits if len(line) >= least else 0
+            if any(len(o) >= least or o == line for o in seen if abs(len(line) - len(o)) <= reach and distance(o, line) <= reach):
                 out[row].append(i)
             if line not in seen:
                 seen.append(line)

@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
 A line goes when an earlier line of the corpus (smaller document key, then line number) is at most ``edits``
-single-character edits away; equal lines are 0 edits away.  Lines of less than ``min_chars`` characters or without a word stay.
+single-character edits away, if both have ``min_chars`` characters or more; below that an edit makes another line, so a shorter
+one goes only if it equals an earlier one.  Lines without a word stay.
 
 Equal lines are settled by their hashes.  The distinct lines are cut into edits + 1 segments each: of two lines
 within that distance, at least one segment of one occurs unchanged in the other, near its own place.  So each
@@ -14,7 +15,9 @@ Buckets beyond ``BLOCK`` lines are dealt into blocks, and every pair of blocks i
 equal inside one slice of text travel once.  A line needs one earlier neighbour, so no pairs are listed.
 
 Rows with equal key and text are one document and all get its result.  Null and empty texts have no lines worth
-a look; null keys come first.  Extra columns of any name stay as they are.
+a look, an empty table gives an empty one; null keys come first.  Of equal lines in one document the first stays.  A text
+is looked at as a whole in one task, however long, with some dozens of bytes for each of its characters.  Extra columns of any
+name stay as they are.
 """
 
 from __future__ import annotations
@@ -85,15 +88,15 @@ def _worth(lines: Lines, min_chars: int) -> np.ndarray:
     return np.flatnonzero((lines.size >= min_chars) & ~lines.blank)
 
 
-def _all_lines(min_chars: int, short_too: bool) -> Callable:
-    """(uid, doc, body) to one row for each line worth a look; with ``short_too`` also the shorter ones that have a word."""
+def _all_lines(min_chars: int) -> Callable:
+    """(uid, doc, body) to one row for each line that has a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, off = texts_of(batch.column(2))
             for i, j in slices(off):
                 lines = Lines(data, off, i, j)
-                k = _worth(lines, 0 if short_too else min_chars)
+                k = _worth(lines, 0)
                 h = lines.hash(lines.start[k], lines.size[k])
                 other = mix(((lines.sums[lines.start[k] + lines.size[k]] - lines.sums[lines.start[k]]) * lines.down[lines.start[k]]) ^ _CHECK)
                 row = i + lines.row[k]
@@ -285,14 +288,11 @@ def _later_ones(edits: int) -> Callable:
     return run
 
 
-def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int, short_too: bool = False) -> DataFrame:
-    """``uid`` and the ``numbers`` of the lines that go; documents that lose none are left out.
-
-    With ``short_too`` also ``again``, the numbers of the lines below the floor that equal an earlier line, and the documents that have only such.
-    """
+def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int) -> DataFrame:
+    """``uid``, the ``numbers`` of the lines that go and ``n_long``, how many of them reach ``min_chars``; documents that lose none are left out."""
     body = docs.select(F.coalesce(docs[key].cast("long"), F.lit(int(NULL_KEY))).alias("doc"), docs[text].alias("body"),
                        F.xxhash64(docs[key], docs[text]).alias("uid"))
-    lines = cut(body.select("uid", "doc", "body").mapInArrow(_all_lines(min_chars, short_too),
+    lines = cut(body.select("uid", "doc", "body").mapInArrow(_all_lines(min_chars),
                                                                 "line long, check long, doc long, uid long, number long, short boolean"))
     place = F.struct("doc", "uid", "number")
     firsts = lines.groupBy("line", "check").agg(F.min(place).alias("first"))
@@ -313,8 +313,7 @@ def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int, s
              .mapInArrow(_later_ones(edits), "line long").distinct())
     fate = firsts.join(later.withColumn("near", F.lit(True)), "line", "left")
     return (lines.join(fate, ["line", "check"]).filter(F.col("near") | (place != F.col("first")))
-            .groupBy("uid").agg(*[F.array_sort(F.collect_set(F.when(which, F.col("number")))).alias(name)
-                                  for name, which in [("numbers", ~F.col("short")), ("again", F.col("short"))][:1 + short_too]]))
+            .groupBy("uid").agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.count_if(~F.col("short")).alias("n_long")))
 
 
 def line_report(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,11 +329,10 @@ def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: in
                            text: str = "text") -> DataFrame:
     """The documents in their own columns, without the lines that go; what loses no line stays as it is.
 
-    With ``drop_emptied`` a document goes as a whole if every line of it that has a word goes or, below the floor of ``min_chars``,
-    equals an earlier line of the corpus, as in a copy of others, or if it loses lines and those of its own hold less than half of
-    its words, as in a near copy: what would be left is no document.  Lines below the floor never go alone.
+    With ``drop_emptied`` a document goes as a whole if every line of it that has a word goes, as in a copy of others, or if it loses
+    lines of ``min_chars`` or more and what is left holds less than half of its words, as in a near copy: that is no document.
     """
-    gone = _removed(docs, key, text, edits, min_chars, drop_emptied)
+    gone = _removed(docs, key, text, edits, min_chars)
     names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
     slim = docs.select(*[docs[c].alias(k) for c, k in names.items()], F.xxhash64(docs[key], docs[text]).alias("uid"))
     at = docs.columns.index(text)
@@ -342,19 +340,20 @@ def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: in
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stays = [], []
-            for t, n, again in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
-                out, known = set(n or ()), set(again or ())
-                lines = [(k, x) for k, x in enumerate(t.split("\n")) if k not in out] if n or again else []
-                texts.append("\n".join([x for _, x in lines]) if n else None)
-                own = sum(len(x.encode().split()) for k, x in lines if k not in known)
-                mostly = not n or 2 * own >= len(t.encode().split())
-                stays.append(not (n or again) or (own > 0 and mostly))
+            for t, n, n_long in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
+                if not n:
+                    texts.append(None)
+                    stays.append(True)
+                    continue
+                out = set(n)
+                texts.append("\n".join([x for k, x in enumerate(t.split("\n")) if k not in out]))
+                own = len(texts[-1].encode().split())
+                stays.append(own > 0 and (not n_long or 2 * own >= len(t.encode().split())))
             cols = batch.columns[:len(names)]
             cols[at] = pc.coalesce(pa.array(texts, pa.string()), cols[at])
             out = pa.RecordBatch.from_arrays(cols, batch.schema.names[:len(names)])
             yield out.filter(pa.array(stays, pa.bool_())) if drop_emptied else out
 
-    again = "again" if drop_emptied else F.lit(None).cast("array<long>").alias("again")
-    rows = slim.join(gone, "uid", "left").select(*names.values(), "numbers", again)
+    rows = slim.join(gone, "uid", "left").select(*names.values(), "numbers", "n_long")
     rows = rows.mapInArrow(left, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:len(names)]))
     return rows.select(*[F.col(k).alias(c) for c, k in names.items()])
