@@ -909,6 +909,33 @@ def expected_rises(spark, sf):
     return r9(R.explain_vector(v, R.fit_rates(v), CYCLE).select(*CYCLE, "expected"), "expected")
 
 
+#: Least squares of two regressors: where one would be negative it is none, and the other stands alone.
+_TWO = f"""SELECT *, CASE WHEN a0 < 0 THEN 0 WHEN b0 < 0 THEN xt / xx ELSE a0 END AS a, CASE WHEN b0 < 0 THEN 0 WHEN a0 < 0 THEN yt / yy ELSE b0 END AS b FROM (
+ SELECT *, (xt * yy - yt * xy) / (xx * yy - xy * xy) AS a0, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS b0 FROM (
+  SELECT {GROUP_COLS}, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * used) AS xt, sum(y * used) AS yt, count(*) AS n, sum(nx) AS xn, sum(ny) AS yn
+  FROM two GROUP BY {GROUP_COLS} HAVING sum(nx) > 1 AND sum(ny) > 1))"""
+
+
+@query("two_rate_fit", sql(f"""WITH two AS (SELECT w.*, v.x, v.y, v.nx, v.ny FROM win w JOIN (
+  SELECT account_id, tool, scope, win, reset_min, coalesce(sum(val) FILTER (WHERE rate_key LIKE '%-click'), 0) AS x, coalesce(sum(val) FILTER (WHERE rate_key NOT LIKE '%-click'), 0) AS y,
+   max((rate_key LIKE '%-click')::INT) AS nx, max((rate_key NOT LIKE '%-click')::INT) AS ny FROM vec WHERE rate_key LIKE 'usd:%' GROUP BY ALL) v
+  USING (account_id, tool, scope, win, reset_min)), fit AS ({_TWO})
+SELECT f.account_id, f.tool, f.scope, f.win AS "window", f.plan_key, any_value(round(f.a, 6)) AS click_rate, any_value(round(f.b, 6)) AS other_rate, any_value(f.n) AS fit_windows,
+ any_value(f.xn)::BIGINT AS click_windows, any_value(f.yn)::BIGINT AS other_windows, round(median(abs(t.x * f.a + t.y * f.b - t.used) / t.used) FILTER (WHERE t.used > 0), 6) AS median_error
+FROM fit f JOIN two t USING ({GROUP_COLS}) GROUP BY f.account_id, f.tool, f.scope, f.win, f.plan_key""", "win", "vec").replace("\nWITH two AS", ",\ntwo AS"))
+def two_rate_fit(spark, sf):
+    """Rates of two kinds of models, by the sums of their products."""
+    w, _, spend = _windows(spark, sf)
+    v = W.window_vector(spend).where(F.col("rate_key").startswith("usd:"))
+    kind = F.when(F.col("rate_key").endswith("-click"), "usd:click").otherwise("usd:other")
+    two = v.groupBy(*CYCLE, kind.alias("rate_key")).agg(F.sum("value").alias("value"))
+    two = two.join(w.select(*CYCLE, "plan_key", "used_percent"), CYCLE).withColumn("basis", F.lit("observed"))
+    f = R.fit_rates(two).where(F.size("rates") == 2)
+    click, other = F.col("rates")[0], F.col("rates")[1]
+    return f.select(*GROUP, F.round(click["rate"], 6).alias("click_rate"), F.round(other["rate"], 6).alias("other_rate"), "fit_windows",
+                    click["windows"].alias("click_windows"), other["windows"].alias("other_windows"), F.round("median_error", 6).alias("median_error"))
+
+
 @query("model_rates")
 def model_rates(spark, sf):
     w, _, spend = _windows(spark, sf)
