@@ -916,26 +916,70 @@ _TWO = f"""SELECT *, CASE WHEN a0 < 0 THEN 0 WHEN b0 < 0 THEN xt / xx ELSE a0 EN
   FROM two GROUP BY {GROUP_COLS} HAVING sum(nx) > 1 AND sum(ny) > 1))"""
 
 
-@query("two_rate_fit", sql(f"""WITH two AS (SELECT w.*, v.x, v.y, v.nx, v.ny FROM win w JOIN (
+_TWO_CTES = f"""WITH two AS (SELECT w.*, v.x, v.y, v.nx, v.ny FROM win w JOIN (
   SELECT account_id, tool, scope, win, reset_min, coalesce(sum(val) FILTER (WHERE rate_key LIKE '%-click'), 0) AS x, coalesce(sum(val) FILTER (WHERE rate_key NOT LIKE '%-click'), 0) AS y,
    max((rate_key LIKE '%-click')::INT) AS nx, max((rate_key NOT LIKE '%-click')::INT) AS ny FROM vec WHERE rate_key LIKE 'usd:%' GROUP BY ALL) v
-  USING (account_id, tool, scope, win, reset_min)), fit AS ({_TWO})
+  USING (account_id, tool, scope, win, reset_min)), fit AS ({_TWO})"""
+
+
+def _two_regressors(spark, sf) -> DataFrame:
+    w, _, spend = _windows(spark, sf)
+    v = W.window_vector(spend).where(F.col("rate_key").startswith("usd:"))
+    kind = F.when(F.col("rate_key").endswith("-click"), "usd:click").otherwise("usd:other")
+    two = v.groupBy(*CYCLE, kind.alias("rate_key")).agg(F.sum("value").alias("value"))
+    return two.join(w.select(*CYCLE, "plan_key", "used_percent"), CYCLE).withColumn("basis", F.lit("observed"))
+
+
+@query("two_rate_fit", sql(f"""{_TWO_CTES}
 SELECT f.account_id, f.tool, f.scope, f.win AS "window", f.plan_key, any_value(round(f.a, 6)) AS click_rate, any_value(round(f.b, 6)) AS other_rate, any_value(f.n) AS fit_windows,
  any_value(f.xn)::BIGINT AS click_windows, any_value(f.yn)::BIGINT AS other_windows, round(median(abs(t.x * f.a + t.y * f.b - t.used) / t.used) FILTER (WHERE t.used > 0), 6) AS median_error
 FROM fit f JOIN two t USING ({GROUP_COLS}) GROUP BY f.account_id, f.tool, f.scope, f.win, f.plan_key""", "win", "vec").replace("\nWITH two AS", ",\ntwo AS"))
 def two_rate_fit(spark, sf):
     """Rates of two kinds of models, by the sums of their products."""
-    w, _, spend = _windows(spark, sf)
-    v = W.window_vector(spend).where(F.col("rate_key").startswith("usd:"))
-    kind = F.when(F.col("rate_key").endswith("-click"), "usd:click").otherwise("usd:other")
-    two = v.groupBy(*CYCLE, kind.alias("rate_key")).agg(F.sum("value").alias("value"))
-    two = two.join(w.select(*CYCLE, "plan_key", "used_percent"), CYCLE).withColumn("basis", F.lit("observed"))
-    f = R.fit_rates(two).where(F.size("rates") == 2)
+    f = R.fit_rates(_two_regressors(spark, sf)).where(F.size("rates") == 2)
     click, other = F.col("rates")[0], F.col("rates")[1]
     return f.select(*GROUP, F.round(click["rate"], 6).alias("click_rate"), F.round(other["rate"], 6).alias("other_rate"), "fit_windows",
                     click["windows"].alias("click_windows"), other["windows"].alias("other_windows"), F.round("median_error", 6).alias("median_error"))
 
 
+@query("fitted_external", sql(f"""WITH f AS ({_ONE}),
+x AS (SELECT w.*, f.rate, s.step_no, s.ts, CASE WHEN s.unseg THEN 0 WHEN s.usd <= 0 THEN CASE WHEN s.dpct >= 2 THEN s.dpct ELSE 0 END
+   WHEN s.dpct >= 3 AND s.dpct >= 3 * f.rate * s.usd + 2 THEN s.dpct - f.rate * s.usd ELSE 0 END AS rise
+  FROM win w JOIN f USING ({GROUP_COLS}) LEFT JOIN stspend s USING (account_id, tool, scope, win, reset_min)),
+t AS (SELECT account_id, tool, scope, win, reset_min, used, coalesce(sum(rise), 0) AS raw, coalesce(bool_or(rise > 0 AND last_seen - ts <= 600000000), false) AS late, any_value(rate) AS rate
+  FROM x GROUP BY account_id, tool, scope, win, reset_min, used),
+g AS (SELECT t.*, greatest(0, used - coalesce(v.usd, 0) * rate) AS excess FROM t LEFT JOIN (SELECT account_id, tool, scope, win, reset_min, sum(val) AS usd FROM spend
+  WHERE rate_key LIKE 'usd:%' AND step_no >= 0 GROUP BY ALL) v USING (account_id, tool, scope, win, reset_min))
+SELECT account_id, tool, scope, win AS "window", reset_min, round(least(raw, excess, used), 6) AS external_pct, used > 0 AND least(raw, excess, used) / nullif(used, 0) >= 0.15 AS contaminated,
+ late AND (raw <= excess OR excess > 0) AS late_external FROM g""", "win", "vec", "spend", "stspend").replace("\nWITH f AS", ",\nf AS"))
+def fitted_external(spark, sf):
+    """Rises that a fitted rate leaves unexplained, never more than the whole window leaves."""
+    w, st, spend = _windows(spark, sf)
+    usd = (spend.where(F.col("rate_key").startswith("usd:")).groupBy(*CYCLE, "step_no").agg(F.sum("value").alias("value"))
+           .withColumn("rate_key", F.lit("usd:any")))
+    fits = cut(R.fit_rates(_one_regressor(spark, sf)))
+    flagged = R.flag_external(w, st, usd, fits, PARAMS)[0].join(fits.select(*GROUP), GROUP, "left_semi")
+    return flagged.select(*CYCLE, F.round("external_pct", 6).alias("external_pct"), "contaminated", "late_external")
+
+
+@query("normalised_values", sql(f"""{_TWO_CTES},
+r AS (SELECT {GROUP_COLS}, sum(x) AS sx, sum(y) AS sy FROM two JOIN (SELECT account_id, tool, scope, win, reset_min FROM trend WHERE in_span AND NOT contaminated) USING (account_id, tool, scope, win, reset_min)
+  GROUP BY {GROUP_COLS}),
+m AS (SELECT *, CASE WHEN a > 0 AND sx > 0 AND (b <= 0 OR sx >= sy) THEN 'click' WHEN b > 0 AND sy > 0 THEN 'other' END AS ref FROM fit JOIN r USING ({GROUP_COLS})),
+v AS (SELECT t.*, m.ref, CASE WHEN t.cap IS NOT NULL THEN CASE WHEN m.ref IS NULL THEN t.cap WHEN two.x + two.y > 0 AND two.x * m.a + two.y * m.b > 0
+   THEN t.cap * ((two.x * m.a + two.y * m.b) / CASE m.ref WHEN 'click' THEN m.a ELSE m.b END) / (two.x + two.y) END END AS value
+  FROM trend t LEFT JOIN m ON m.account_id = t.account_id AND m.tool = t.tool AND m.scope = t.scope AND m.win = t.win AND m.plan_key = t.plan_key
+  LEFT JOIN two ON two.account_id = t.account_id AND two.tool = t.tool AND two.scope = t.scope AND two.win = t.win AND two.reset_min = t.reset_min)
+SELECT account_id, tool, scope, win AS "window", reset_min, ref AS ref_model, round(value, 6) AS value, value IS NOT NULL AND NOT excluded AND conflict = 0 AND used >= 10 AND in_fit AS in_trend
+FROM v""", "win", "vec", "trend").replace("\nWITH two AS", ",\ntwo AS"))
+def normalised_values(spark, sf):
+    """Estimates as if all had been spent on the kind of models that took the most."""
+    two = cut(_two_regressors(spark, sf))
+    fits = cut(R.fit_rates(two).where(F.size("rates") == 2))
+    valued = T.comparable_values(_judged(spark, sf)[0], two.select(*CYCLE, "plan_key", "rate_key", "value"), fits, PARAMS)
+    return valued.select(*CYCLE, "ref_model", F.round("value", 6).alias("value"), "in_trend")
+
+
 @query("model_rates")
 def model_rates(spark, sf):
     w, _, spend = _windows(spark, sf)
