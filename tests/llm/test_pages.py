@@ -145,6 +145,32 @@ def test_urls(spark):
     assert all(r.verdict == "allow" for r in url_filter.judge(pages.filter("page_id in (10, 11)"), RULES, listed.limit(0)).collect())
 
 
+def test_later_copies_by_plain_rules(spark):
+    r = random.Random(4)
+    bodies = [" class=a>one", ">two", ">three <p>", ">", ">long " * 40_000]
+    rows = [(k, f"http://h{k % 3}.net/{k}", f"<nav>x{k}</nav><article{r.choice(bodies)}</article><article>{k}</article>") for k in r.sample(range(400), 60)]
+    rows += [(k, f"http://h.net/{k}", h) for k, h in enumerate([None, "", "<article>open", "</article><article>two</article>", "x<article>two</article>"], 500)]
+    rows += [(None, "http://n.net/1", "<article>two</article>"), (600, None, "<article>two</article>"), rows[0], rows[0]]
+    pages = spark.createDataFrame([(*x, 1, "x") for x in rows], "page_id long, url string, html string, key long, article string").repartition(5)
+    first, want = {}, []
+    for key, url, html in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
+        head, end, _ = (html or "").partition("</article>")
+        if end and "<article" in head and first.setdefault(head.rpartition("<article")[2], key) != key:
+            want.append(url or "")
+    got = [x.url or "" for x in url_filter.later_copies(pages).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 40 and "" in want
+    assert url_filter.later_copies(pages.limit(0)).count() == 0
+
+
+def test_verdicts_follow_the_list_not_the_host(spark):
+    """Pages of one host part by their URLs; another spelling of a listed URL is listed without being a copy itself."""
+    rows = [(1, "http://a.net/first", "<article>x</article>"), (2, "http://a.net/copy.html?utm_source=f", "<article>x</article>"), (3, "https://www.a.net/copy/#top", "<article>own</article>"),
+            (4, "http://a.net/other", "<article>y</article>"), (5, "http://b.org/de", "<article>x</article>"), (6, "http://a.net/copy?p=2", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.listed) for r in url_filter.judge(pages, RULES, url_filter.later_copies(pages)).collect()}
+    assert got == {1: ("allow", False), 2: ("block", True), 3: ("block", True), 4: ("allow", False), 5: ("allow", True), 6: ("allow", False)}
+
+
 def test_filter_has_no_misses_and_few_false_hits(spark):
     listed = spark.range(3000).selectExpr("concat('h.net/', id) AS url")
     blocks = 3000 * url_filter.BITS_PER_URL // 256

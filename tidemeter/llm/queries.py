@@ -82,29 +82,29 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 #: (verdict, host and path)
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Hosts whose pages make up the list of this query.
-LISTED_HOSTS = "cheap-pills|casino-win|free-bets|adult-x|spam-farm|ads-track"
 
 
 @query
 def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The list holds the pages that copy an earlier page's article; no name of a host, nor anything else in a page's own URL, decides it."""
     pages = read(spark, sf, "pages")
-    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    return url_filter.judge(pages, URL_RULES, listed)
+    return url_filter.judge(pages, URL_RULES, url_filter.later_copies(pages))
 
 
 oracle("op8_url_filter", f"""
 WITH p AS (
-  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, CASE WHEN contains(html, '</article>') AND contains(split_part(html, '</article>', 1), '<article')
+      THEN split_part(split_part(html, '</article>', 1), '<article', -1) END AS article,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
     list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_.*|ref=.*)', 's'))) AS query
   FROM pages),
 n AS (
-  SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www\\.|m\\.)+', '')
+  SELECT page_id, host, path, article, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www\\.|m\\.)+', '')
     || regexp_replace(path, '(\\.html|/)$', '', 's') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS name
   FROM p),
-listed AS (SELECT DISTINCT name FROM n WHERE regexp_matches(host, '{LISTED_HOSTS}')),
+listed AS (SELECT DISTINCT name FROM n JOIN (SELECT article, min(page_id) AS earliest FROM n GROUP BY article) USING (article) WHERE page_id > earliest AND name IS NOT NULL),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{t}', '{t[:t.index('/')]}', '{t[t.index('/'):]}')" for v, t in URL_RULES)}) AS r(verdict, rule, rule_host, rule_path)),
 fits AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rules.verdict, length(rule)) AS said

@@ -10,7 +10,9 @@ the count of the list; a larger one is joined by block.  Blocks are dealt by a h
 host does not gather; one frequent URL is split by Spark's skew join.
 
 A null URL, or one without "://", has an empty host and path, fits no rule and is not listed.  Repeated rows are
-judged each; an empty list blocks nothing; other columns, whatever their names, are left out.
+judged each; an empty list blocks nothing; other columns, whatever their names, are left out.  Very long URLs are judged whole.
+
+``later_copies`` makes a list from pages: the URLs of those whose article element an earlier page has already.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemeter.session import cut
+
 BITS_PER_URL = 16
 #: 250,000 blocks of 40 bytes: ten megabytes at most are broadcast.
 BROADCAST_BLOCKS = 250_000
@@ -73,9 +77,27 @@ def bloom(listed: DataFrame, url: str, n_blocks: int) -> DataFrame:
             .groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)]))
 
 
+def article_of(html: Column) -> Column:
+    """What the first article element that ends holds, attributes included; null without one."""
+    before = F.substring_index(html, "</article>", 1)
+    return F.when(F.contains(html, F.lit("</article>")) & F.contains(before, F.lit("<article")), F.substring_index(before, "<article", -1))
+
+
+def later_copies(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``url`` of every page whose article is also the article of a page with a smaller key.
+
+    Copies meet only in a minimum, which combines map-side; a page then asks by article and key together whether it is the first, so
+    an article on a third of all pages gathers nowhere.  Rows without key or article are left out; rows of one key and article are one page.
+    """
+    articles = (pages.select(pages[key].alias("key"), pages[url].alias("url"), F.sha2(article_of(pages[html]), 256).alias("article"))
+                .filter("key IS NOT NULL AND article IS NOT NULL"))
+    firsts = articles.groupBy("article").agg(F.min("key").alias("key"))
+    return articles.join(firsts, ["article", "key"], "left_anti").select("url")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, *, key: str = "page_id", url: str = "url", listed_url: str = "url") -> DataFrame:
     """``key``, ``host``, ``path``, ``rule``, ``verdict`` (the rule's, else block if listed, else allow) and ``listed`` of every page."""
-    names = listed.select(canonical(F.col(listed_url)).alias("name")).filter("name is not null").distinct()
+    names = cut(listed.select(canonical(F.col(listed_url)).alias("name")).filter("name is not null").distinct())  # counted, summed up and joined
     n_blocks = max(1, names.count() * BITS_PER_URL // 256)
     filter_ = bloom(names, "name", n_blocks)
     if n_blocks <= BROADCAST_BLOCKS:
