@@ -42,7 +42,8 @@ def cases():
     docs = odd_rows()
     words = BENCH_WORD.findall(docs[0][1])
     items = [(1, " ".join(words[5:30])), (2, " ".join(words[20:33]).upper()), (3, None), (4, "!!"), (5, "one"), (10, " ".join(words[60:64])), (11, prose(200, 30)), (5, "One two"),
-             (None, " ".join(words[100:115]))]
+             (None, " ".join(words[100:115])),
+             (12, " ".join(words[35:120]) + "|" + BENCH_WORD.findall(docs[1][1])[0])]  # longer than a part of the smaller size
     docs += [(200 + k, " ".join(r.choice(words[:40]) for _ in range(20)) + "-" + "/".join(words[8:8 + k])) for k in range(12)]
     return docs, items
 

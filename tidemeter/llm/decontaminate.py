@@ -4,9 +4,10 @@ The automaton holds every run of words of every item.  A document streams throug
 after each word gives the length of the longest run that ends there and still occurs in an item.  Where the
 length reaches the window (or a whole shorter item ends), the words of that run are hit.
 
-The automaton grows with the benchmark, not with the corpus.  It is sent to the workers only in parts of at most
-``PART_WORDS`` item words, a count taken before; a larger benchmark is split by item and documents pass through
-the parts one after the other.  Documents are never shuffled.
+The automaton grows with the benchmark, not with the corpus.  It is sent to the workers only in parts of about
+``PART_WORDS`` item words, a count taken before; a larger benchmark is split by a hash of its items, an item longer than that into
+stretches that share no window, and documents pass through the parts one after the other.  The driver builds one part at a
+time and sends it out before the next.  Documents are never shuffled; a very long one is looked at as a whole in one task.
 
 Words lower-case A-Z and split at every ASCII byte that is no letter or digit.  Null and empty texts have no
 words.  An item without words matches nothing.  Repeated document rows are judged each; items that share an id
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.llm.words import MARKS, Words, slices, texts_of
+from tidemeter.session import cut
 
 #: Item words in one automaton: some hundred bytes each, so tens of megabytes at most in a broadcast.
 PART_WORDS = 200_000
@@ -179,13 +181,24 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(items: DataFrame, item_key: str, item_text: str, window: int) -> Iterator[SuffixAutomaton]:
-    slim = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("body"))
-    size = slim.agg(F.sum(F.length("body"))).first()[0] or 0
-    n = max(1, math.ceil(size / (2 * PART_WORDS)))  # at least two characters to a word and its separator
+def _pieces(items: DataFrame, item_key: str, item_text: str, window: int) -> DataFrame:
+    """``name``, ``body`` and ``size`` (words) of the items; one of more than ``PART_WORDS`` words in stretches that overlap by all but one of a window."""
+    lower = F.translate(F.col("body"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = (items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("body")).filter("body IS NOT NULL")
+             .withColumn("words", F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))).filter("size(words) > 0"))
+    starts = F.expr(f"CASE WHEN size(words) <= {PART_WORDS + window} THEN array(0) ELSE sequence(0, size(words) - {window}, {PART_WORDS}) END")
+    length = F.when(F.size("words") <= PART_WORDS + window, F.size("words")).otherwise(PART_WORDS + window - 1)
+    piece = F.slice("words", F.col("start") + 1, length)
+    return whole.withColumn("start", F.explode(starts)).select("name", F.array_join(piece, " ").alias("body"), F.size(piece).alias("size"))
+
+
+def _parts(items: DataFrame, item_key: str, item_text: str, window: int) -> Iterator[tuple[SuffixAutomaton, bool]]:
+    """Automata of about ``PART_WORDS`` words, one after the other, and whether it is the last."""
+    pieces = cut(_pieces(items, item_key, item_text, window))
+    n = max(1, math.ceil((pieces.agg(F.sum("size")).first()[0] or 0) / PART_WORDS))
     for k in range(n):
-        part = slim if n == 1 else slim.filter(F.pmod(F.xxhash64("name", "body"), F.lit(n)) == k)
-        yield SuffixAutomaton([(r.name, item_words(r.body)) for r in part.collect()], window)
+        part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("name", "body"), F.lit(n)) == k)
+        yield SuffixAutomaton([(r.name, item_words(r.body)) for r in part.select("name", "body").collect()], window), k == n - 1
 
 
 def _found(docs: DataFrame, items: DataFrame, window: int, text: str, item_key: str, item_text: str, keep: list[str], clean: bool) -> DataFrame:
@@ -228,9 +241,8 @@ def _found(docs: DataFrame, items: DataFrame, window: int, text: str, item_key:
                     [*held, "__text", "n_words", "items", "spans"])
         return run
 
-    automata = list(_parts(items, item_key, item_text, window))
-    for k, automaton in enumerate(automata):
-        out = out.mapInArrow(through(sc.broadcast(automaton), k == len(automata) - 1), middle)
+    for automaton, last in _parts(items, item_key, item_text, window):
+        out = out.mapInArrow(through(sc.broadcast(automaton), last), middle)
     out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"]))
     return out.withColumnRenamed("__text", "text") if clean else out.drop("__text")
 
