@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemeter.llm.blocks import dealt
 from tidemeter.llm.words import BASE, SPACES, mix, powers, slices, texts_of
 from tidemeter.session import at_most, cut
 
@@ -305,11 +306,8 @@ def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int) -
     texts = cut(body.select("body").mapInArrow(_texts(min_chars), "line long, body string").join(ids, "line", "left_semi")
                 .groupBy("line").agg(F.first("body").alias("body")))
     known = texts.join(firsts.groupBy("line").agg(F.min("first").alias("first")), "line").select("line", "body", "first.*")
-    sizes = met.groupBy("key").agg(F.count("*").alias("lines"))
-    dealt = (met.join(sizes, "key").withColumn("parts", F.expr(f"CAST(ceil(lines / {BLOCK}) AS BIGINT)"))
-             .withColumn("salt", F.expr("pmod(line, parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-             .select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "line"))
-    later = (dealt.join(known, "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    parts = met.groupBy("key").agg(F.expr(f"CAST(ceil(count(1) / {BLOCK}) AS BIGINT)").alias("parts"))
+    later = (dealt(met, "key", "line", parts).join(known, "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
              .mapInArrow(_later_ones(edits), "line long").distinct())
     fate = firsts.join(later.withColumn("near", F.lit(True)), "line", "left")
     return (lines.join(fate, ["line", "check"]).filter(F.col("near") | (place != F.col("first")))
