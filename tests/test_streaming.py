@@ -287,6 +287,30 @@ def test_alignment_equals_a_range_join(spark, tmp_path):
     assert sorted((g.account_id, g.ts, g.usage_id or "") for g in rows) == sorted(want) and any(g.usage_id is None for g in rows)
 
 
+def test_rows_are_packed_before_they_meet_their_key(spark):
+    """One row per key and hour of a task reaches the keyed state, with every row in it; rows without an instant stay out."""
+    r = random.Random(5)
+    rows = [(r.choice([1, 2, None]), r.choice(["a", None]), r.choice([None, r.randint(-HOUR, 2 * HOUR - 1)]), k / 4) for k in range(500)]
+    df = spark.createDataFrame(rows, "account_id bigint, tool string, ts bigint, ratio double").coalesce(1)
+    got = state._packed(df, ["account_id", "tool"], state._Cooled.item).collect()
+    assert len(got) == 2 * 3 * 3
+    unpack = lambda g: state.np.frombuffer(bytes(g["items"]), state._Cooled.item).tolist()
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(((g.account_id, g.tool, *i) for g in got for i in unpack(g)), key=key) == sorted((x for x in rows if x[2] is not None), key=key)
+    assert all(g.ts == max(i[0] for i in unpack(g)) for g in got)
+
+
+def test_an_hour_of_waiting_rows_is_one_entry(spark, tmp_path):
+    """State of rows that wait: one entry and one timer an hour, not one of each a slice; late ones are folded in order all the same."""
+    rows = [snap(60 * k + 1, k % 7, 7200) for k in range(60)]
+    s, _ = stream_of(spark, tmp_path, "w", [rows[::2], rows[1::2]], M.SNAPSHOT)
+    got, left = run_keyed(state.visible_changes(s, "2 hours"), "append", tmp_path)
+    assert got.count() == 0 and left <= 4  # the block, its first timer, and the timer's index
+    s, _ = stream_of(spark, tmp_path, "w2", [rows[::2], rows[1::2], [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
+    got, _ = run_keyed(state.visible_changes(s, "2 hours"), "append", tmp_path, "keyed2")
+    assert [(g.ts, g.used_percent) for g in got.where("account_id < 9").orderBy("ts").collect()] == [(x[4], x[5]) for x in rows]
+
+
 def test_the_session_keeps_its_state_store(spark, tmp_path):
     s, _ = stream_of(spark, tmp_path, "c", [[snap(1, 5, 600)]], M.SNAPSHOT)
     before = spark.conf.get(state.STORE, None)
