@@ -287,6 +287,21 @@ def test_alignment_equals_a_range_join(spark, tmp_path):
     assert sorted((g.account_id, g.ts, g.usage_id or "") for g in rows) == sorted(want) and any(g.usage_id is None for g in rows)
 
 
+def test_rows_to_align_wait_by_bucket(spark, tmp_path):
+    """State holds one entry an account, tool and bucket, not one for each row and bucket; rows without an account meet nothing."""
+    snaps = [snap(k, k, 7200, acc) for k in range(40) for acc in (1, None)]
+    use = [paid(k + 7, k, account=acc) for k in range(40) for acc in (1, None)]
+    s, _ = stream_of(spark, tmp_path, "bs", [snaps], M.SNAPSHOT)
+    u, _ = stream_of(spark, tmp_path, "bu", [use], M.USAGE)
+    got, left = run_keyed(state.met_by_bucket(s, u), "append", tmp_path)
+    assert got.count() == 0 and left <= 4
+    s, _ = stream_of(spark, tmp_path, "bs2", [snaps, [snap(FAR, 0, FAR, 9)]], M.SNAPSHOT)
+    u, _ = stream_of(spark, tmp_path, "bu2", [use, [paid(FAR, 1, account=9)]], M.USAGE)
+    got, _ = run_keyed(state.met_by_bucket(s, u), "append", tmp_path, "keyed2")
+    pairs = state.pairs_of_buckets(got).where("account_id is null or account_id < 9").collect()
+    assert len(pairs) == 40 * 40 + 40 and all((p.account_id is None) == (p.usage_id is None) for p in pairs)
+
+
 def test_rows_are_packed_before_they_meet_their_key(spark):
     """One row per key and hour of a task reaches the keyed state, with every row in it; rows without an instant stay out."""
     r = random.Random(5)
