@@ -287,6 +287,19 @@ def test_alignment_equals_a_range_join(spark, tmp_path):
     assert sorted((g.account_id, g.ts, g.usage_id or "") for g in rows) == sorted(want) and any(g.usage_id is None for g in rows)
 
 
+def test_a_large_part_of_a_table_is_written_by_several_tasks(spark, tmp_path):
+    """One day of a large batch is not one task's work."""
+    table = runs.RunTable(spark, str(tmp_path / "big"), runs.oldest(["id"]))
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "64k")
+    try:
+        table.write(spark.range(0, 200_000, 1, 4).select("id", F.sha1(F.col("id").cast("string")).alias("v")), 0)
+    finally:
+        spark.conf.set(name, before)
+    assert len([n for n in runs.names(spark, str(tmp_path / "big" / "w-0-0" / "part=0")) if n.startswith("part-")]) > 1
+    assert table.read().count() == 200_000
+
+
 def test_rows_to_align_wait_by_bucket(spark, tmp_path):
     """State holds one entry an account, tool and bucket, not one for each row and bucket; rows without an account meet nothing."""
     snaps = [snap(k, k, 7200, acc) for k in range(40) for acc in (1, None)]

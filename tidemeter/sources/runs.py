@@ -127,8 +127,9 @@ class RunTable:
         return None if rows is None else self._settled(rows)
 
     def _write(self, df: DataFrame, first: int, last: int) -> None:
-        dealt = df.withColumn("part", self.part)
-        dealt.repartition(F.col("part")).write.mode("overwrite").partitionBy("part").parquet(self._at(self.writer, first, last))
+        # rebalanced, so that a large part is written by several tasks
+        dealt = df.withColumn("part", self.part).hint("rebalance", F.col("part"))
+        dealt.write.mode("overwrite").partitionBy("part").parquet(self._at(self.writer, first, last))
 
     def write(self, rows: DataFrame, batch: int) -> None:
         """Make ``rows`` the run of ``batch``, and merge runs where a level is full.  Doing so again changes nothing."""
