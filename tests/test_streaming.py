@@ -287,6 +287,18 @@ def test_alignment_equals_a_range_join(spark, tmp_path):
     assert sorted((g.account_id, g.ts, g.usage_id or "") for g in rows) == sorted(want) and any(g.usage_id is None for g in rows)
 
 
+def test_rows_of_a_turn_come_in_a_batch_with_a_file_for_every_core(spark, tmp_path):
+    from tidemeter.plans.driver_queries import _arriving
+    stream, seen = _arriving(spark.range(3000), F.col("id") % 3, 3, files=2), {}
+
+    def look(batch, n):
+        seen[n] = batch.select((F.col("id") % 3).alias("turn"), F.input_file_name().alias("file"), "id").collect()
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {n: {r.turn for r in rows} for n, rows in seen.items()} == {0: {0}, 1: {1}, 2: {2}}
+    assert all(len({r.file for r in rows}) == spark.sparkContext.defaultParallelism for rows in seen.values())
+    assert sorted(r.id for rows in seen.values() for r in rows) == list(range(3000))
+
+
 def test_a_large_part_of_a_table_is_written_by_several_tasks(spark, tmp_path):
     """One day of a large batch is not one task's work."""
     table = runs.RunTable(spark, str(tmp_path / "big"), runs.oldest(["id"]))
