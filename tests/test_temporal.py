@@ -109,6 +109,64 @@ def test_cycles_do_not_depend_on_arrival_order(spark, rnd):
         assert sorted(steps.get(k, [])) == want
 
 
+def test_snapshots_are_hashed_to_their_digest(spark, rnd):
+    """As by one pass over the rows, with ties of reset and instant and with null plans; no snapshot is sorted on the way."""
+    from tidemeter.model import SNAPSHOT
+    plans = [None, "", "basic", "plus"]
+    rows = [(hot_key(rnd), "timed", "all", "five_hour", rnd.choice([None, 1, 2, 3]), rnd.choice([None, 1.0, 2.0]), rnd.choice([None, 5, 6, 1000 * SEC]),
+             rnd.choice([None, 100, 200]), rnd.choice(plans), "t") for _ in range(400)]
+    df = spark.createDataFrame(rows, SNAPSHOT)
+    p = Params(now=10**15)
+    got = W.snapshot_digest(df, p)
+    known = [r for r in df.collect() if r.resets_at is not None and r.window_seconds is not None]
+    want = {}
+    for r in known:
+        want.setdefault((r.account_id, r.resets_at // p.reset_jitter, r.used_percent), []).append(r)
+    found = {(r.account_id, r.reset_bucket, r.used_percent): r for r in got.collect()}
+    assert found.keys() == want.keys()
+    for k, of in want.items():
+        r, seen, named = found[k], [x.ts for x in of if x.ts is not None], [x for x in of if x.plan_type]
+        assert (r.reset_min, r.reset_max, r.snapshots) == (min(x.resets_at for x in of), max(x.resets_at for x in of), len(of))
+        assert (r.ts_min, r.ts_max) == (min(seen, default=None), max(seen, default=None))
+        assert (r.last_plan and tuple(r.last_plan)) == (max(((x.ts, x.plan_type) for x in named), key=lambda y: (y[0] is not None, y[0] or 0, y[1])) if named else None)
+        assert tuple(r.first_reset) == min((x.resets_at, x.window_seconds) for x in of)
+    assert "HashAggregate" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_share_readings_are_kept_once(spark):
+    """One reading per instant, the first by its content; the runs read what was kept."""
+    from tidemeter.operators.evidence import compact_breakdowns
+    rows = lambda pct: [("chat", "chat", pct)]
+    readings = spark.createDataFrame(
+        [(1, "timed", "seven_day", t, 0, rows(pct), []) for t, pct in ((1, 5.0), (1, 4.0), (2, 4.0), (3, 6.0), (4, 6.0), (9, 4.0))],
+        "account_id long, tool string, window string, as_of long, window_start long, rows array<struct<key string, display_name string, percent double>>, issues array<string>")
+    kept = []
+    got = compact_breakdowns(readings, Params(now=10**15), keep=lambda df: kept.append(df.count()) or df)
+    assert kept == [5]
+    assert sorted((r.as_of, r.last_as_of, r.rows[0].percent) for r in got.collect()) == [(1, 2, 4.0), (3, 4, 6.0), (9, 9, 4.0)]
+
+
+def test_linked_requests_are_made_once(spark, rnd):
+    """Near their window or far from it, they find the segment that holds their reset and instant, in one join."""
+    p, hour = Params(now=10**15), 3600 * SEC
+    segs = []
+    for a in range(3):
+        for c in range(4):
+            reset = (a + 5 * c + 5) * hour
+            edge = reset - 2 * hour
+            segs += [(a, "linked", "codex", "five_hour", reset, reset + SEC, 1, -(1 << 62), edge), (a, "linked", "codex", "five_hour", reset, reset + SEC, -1, edge, 1 << 62)]
+    requests = [(f"e{i}", rnd.randrange(3), "linked", "codex", "five_hour", rnd.choice([None, rnd.randrange(-40 * hour, 60 * hour)]),
+                 (rnd.randrange(3) + 5 * rnd.randrange(4) + 5) * hour + rnd.randrange(3) * SEC) for i in range(500)]
+    s = spark.createDataFrame(segs, "account_id long, tool string, scope string, window string, reset_min long, reset_max long, step_no int, lo long, hi long")
+    r = spark.createDataFrame(requests, "id string, account_id long, tool string, scope string, window string, ts long, resets_at long")
+    joined = W._linked_to_segments(r, s, p)
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+    got = sorted((x.id, x.reset_min, x.step_no) for x in joined.collect())
+    assert got == sorted((i, g[4], g[6]) for i, a, *_, ts, at in requests for g in segs
+                         if a == g[0] and ts is not None and g[4] - p.link_slack <= at <= g[5] + p.link_slack and g[7] <= ts < g[8])
+    assert len(got) > 50
+
+
 def test_rates_from_sums_of_products():
     """Where no coefficient is negative it is least squares; otherwise the most negative leaves and the rest is solved again."""
     import numpy as np

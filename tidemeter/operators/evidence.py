@@ -15,11 +15,14 @@ _FAR = 1 << 62
 
 # -- source shares --------------------------------------------------------------------------------
 
-def compact_breakdowns(readings: DataFrame, p: Params) -> DataFrame:
-    """Runs of equal share tables of the same week become one row with ``[as_of, last_as_of]``."""
+def compact_breakdowns(readings: DataFrame, p: Params, keep=lambda df: df) -> DataFrame:
+    """Runs of equal share tables of the same week become one row with ``[as_of, last_as_of]``.
+
+    ``keep`` may cut the lineage of the readings, one per instant, which the runs read more than once.
+    """
     keys = ["account_id", "tool", "window"]
-    packed = first_wins(readings.withColumn("rows", F.array_sort("rows")), [*keys, "as_of"],
-                        ["ts"] if "ts" in readings.columns else [F.to_json(F.struct("window_start", "rows", "issues"))])
+    packed = keep(first_wins(readings.withColumn("rows", F.array_sort("rows")), [*keys, "as_of"],
+                             ["ts"] if "ts" in readings.columns else [F.to_json(F.struct("window_start", "rows", "issues"))]))
     same_week = F.col("window_start").eqNullSafe(F.col("prev.window_start")) | (
         F.abs(F.col("window_start") - F.col("prev.window_start")) <= p.reset_jitter)
     run = equal_runs(packed, keys, "as_of", same_week & (F.col("rows") == F.col("prev.rows")), span=7 * DAY)

@@ -153,9 +153,12 @@ def equal_runs(df: DataFrame, keys: Sequence[str], at: str, same: Column, span:
     """Number runs of consecutive rows (by ``at``, then ``ties``) per key for which ``same`` holds against the row before.
 
     ``same`` may use the row's columns and ``prev.<column>``.  Works slice of time by slice of time, so
-    a key with a huge history spreads over many tasks.  Adds ``run``.
+    a key with a huge history spreads over many tasks.  Adds ``run``.  The rows are dealt out by (key, slice) once, as
+    wholes; the ends of slices and both scans read that one exchange.
     """
-    sliced = df.withColumn("__slice", bucket_of(F.col(at), span)).withColumn("__row", F.struct(*df.columns))
+    dealt = (df.select(*keys, bucket_of(F.col(at), span).alias("__slice"), F.struct(*df.columns).alias("__row"))
+             .repartition(*keys, "__slice"))
+    sliced = dealt.select(*keys, "__slice", "__row", *[F.col("__row")[c].alias(c) for c in df.columns if c not in keys])
     w = Window.partitionBy(*keys, "__slice").orderBy(at, *ties)
     over = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = sliced.groupBy(*keys, "__slice").agg(F.max_by("__row", F.struct(at, *ties)).alias("__end")).select(

@@ -23,12 +23,17 @@ def snapshot_digest(snapshots: DataFrame, p: Params) -> DataFrame:
     """One row per (limit, reset bucket, percent): extents, latest plan and window length."""
     known = snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull())
     plan = F.when(F.col("plan_type") != "", F.col("plan_type"))
-    return known.groupBy(*LIMIT, bucket_of(F.col("resets_at"), p.reset_jitter).alias("reset_bucket"), "used_percent").agg(
+    keys = [*LIMIT, bucket_of(F.col("resets_at"), p.reset_jitter).alias("reset_bucket"), "used_percent"]
+    # By plan and length first: these buffers hold numbers only, so the snapshots are hashed and never sorted; structs come on the few rows left.
+    few = known.groupBy(*keys, plan.alias("plan"), "window_seconds").agg(
         F.min("resets_at").alias("reset_min"), F.max("resets_at").alias("reset_max"),
-        F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"),
-        F.max(F.when(plan.isNotNull(), F.struct("ts", plan.alias("plan")))).alias("last_plan"),
-        F.min(F.struct("resets_at", "window_seconds")).alias("first_reset"),
-        F.count("*").alias("snapshots"))
+        F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.count("*").alias("n"))
+    return few.groupBy(*LIMIT, "reset_bucket", "used_percent").agg(
+        F.min("reset_min").alias("reset_min"), F.max("reset_max").alias("reset_max"),
+        F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"),
+        F.max(F.when(F.col("plan").isNotNull(), F.struct(F.col("ts_max").alias("ts"), "plan"))).alias("last_plan"),
+        F.min(F.struct(F.col("reset_min").alias("resets_at"), "window_seconds")).alias("first_reset"),
+        F.sum("n").alias("snapshots"))
 
 
 def reset_sessions(digest: DataFrame, p: Params) -> DataFrame:
@@ -145,23 +150,24 @@ def _linked_to_segments(requests: DataFrame, segs: DataFrame, p: Params) -> Data
     """Linked requests with the segment of their window: by limit, quarter hour of the reset and hour of the request.
 
     A window's requests share its reset, so the hour spreads them; the exact reset and instant are residual tests.  Requests
-    more than an hour outside the window that their own link names are few; they go by the reset alone.
+    more than an hour outside the window that their own link names are few; they go by the reset alone, under an hour that is none.
+    Both go in one join, so the requests are made once.
     """
-    length = _length()
+    length, none = _length(), F.lit(_FAR)
     near = (F.col("ts") >= F.col("resets_at") - length - HOUR) & (F.col("ts") <= F.col("resets_at") + HOUR)
     reach = segs.withColumn("reset_lo", F.col("reset_min") - p.link_slack).withColumn("reset_hi", F.col("reset_max") + p.link_slack)
     lo = F.greatest("lo", F.col("reset_lo") - length - HOUR)
     hi = F.least(F.col("hi") - 1, F.col("reset_hi") + HOUR)
-    hours = (reach.where(lo <= hi).withColumn("__h", F.explode(F.sequence(bucket_of(lo, HOUR), bucket_of(hi, HOUR))))
+    inside = F.when(lo <= hi, F.sequence(bucket_of(lo, HOUR), bucket_of(hi, HOUR))).otherwise(F.array().cast("array<bigint>"))
+    hours = (reach.withColumn("__h", F.explode(F.concat(inside, F.array(none))))
              .withColumn("__r", F.explode(F.sequence(bucket_of(F.col("reset_lo"), p.reset_jitter), bucket_of(F.col("reset_hi"), p.reset_jitter)))).alias("s"))
-    r = (requests.where(near).withColumn("__h", bucket_of(F.col("ts"), HOUR)).withColumn("__r", bucket_of(F.col("resets_at"), p.reset_jitter))).alias("r")
+    r = (requests.withColumn("__h", F.when(near, bucket_of(F.col("ts"), HOUR)).otherwise(none))
+         .withColumn("__r", bucket_of(F.col("resets_at"), p.reset_jitter))).alias("r")
     cond = F.col("r.resets_at").between(F.col("s.reset_lo"), F.col("s.reset_hi")) & (F.col("r.ts") >= F.col("s.lo")) & (F.col("r.ts") < F.col("s.hi"))
     for k in (*LIMIT, "__h", "__r"):
         cond = cond & (F.col(f"r.{k}") == F.col(f"s.{k}"))
     extra = [c for c in segs.columns if c not in LIMIT]
-    found = r.join(hours, cond).select(*[F.col(f"r.{c}").alias(c) for c in requests.columns], *[F.col(f"s.{c}").alias(c) for c in extra])
-    far = interval_join(requests.where(~near), reach, LIMIT, "resets_at", "reset_lo", "reset_hi", p.reset_jitter, closed=True)
-    return found.unionByName(far.where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi"))).select(*found.columns))
+    return r.join(hours, cond).select(*[F.col(f"r.{c}").alias(c) for c in requests.columns], *[F.col(f"s.{c}").alias(c) for c in extra])
 
 
 def segment_spend(attributed: DataFrame) -> DataFrame:
@@ -204,7 +210,7 @@ def fill_plans(windows: DataFrame) -> DataFrame:
 def build_windows(snapshots: DataFrame, usage: DataFrame, links: DataFrame, p: Params,
                   keep=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(windows, steps, segment spend).  ``keep`` may cut lineage of what is used again."""
-    digest = keep(cycle_digest(snapshots, p))
+    digest = keep(owned_digest(keep(snapshot_digest(snapshots, p)), p))
     rows = cycles(digest, p)
     rises = steps(digest)
     spend = keep(segment_spend(attribute(usage, links, segments(rows, rises), p)))
@@ -259,13 +265,15 @@ def percent_at(moments: DataFrame, windows: DataFrame, step_rows: DataFrame, at:
 
 def snapshot_points(snapshots: DataFrame, windows: DataFrame, step_rows: DataFrame, p: Params) -> DataFrame:
     """Every snapshot with its cycle and the monotone percent at it: one join, by limit, reset bucket and slice of time."""
-    owner = reset_sessions(snapshot_digest(snapshots, p), p).withColumnRenamed("cycle_min", "reset_min")
+    known = snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull())
+    reset_bucket = bucket_of(F.col("resets_at"), p.reset_jitter).alias("reset_bucket")
+    extents = known.groupBy(*LIMIT, reset_bucket).agg(F.min("resets_at").alias("reset_min"), F.max("resets_at").alias("reset_max"))
+    owner = reset_sessions(extents, p).withColumnRenamed("cycle_min", "reset_min")
     # a snapshot knows its reset bucket only, so what it looks up is laid out for each bucket of a cycle, also of one that is not in ``windows``
     edges = owner.join(_edges(windows, step_rows), CYCLE, "left").withColumn("__ts", F.coalesce("__ts", F.lit(-_FAR)))
     reset = F.col("reset_bucket") * p.reset_jitter
     laid = values_by_slice(edges, [*CYCLE, "reset_bucket"], "__ts", "pct", *_bounds(reset), _SLICE)
-    pts = (snapshots.where(F.col("resets_at").isNotNull() & F.col("window_seconds").isNotNull())
-           .select(*LIMIT, "ts", bucket_of(F.col("resets_at"), p.reset_jitter).alias("reset_bucket")).withColumn("slice", _slice_of("ts", reset)))
+    pts = known.select(*LIMIT, "ts", reset_bucket).withColumn("slice", _slice_of("ts", reset))
     return pts.join(laid, [*LIMIT, "reset_bucket", "slice"]).select(*CYCLE, "ts", value_at("ts").alias("pct"))
 
 
