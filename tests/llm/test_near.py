@@ -71,3 +71,23 @@ def test_no_lines(spark):
     assert line_dedup.line_report(odd_documents(spark, [])).count() == 0
     got = line_dedup.line_report(odd_documents(spark, [(1, None), (2, ""), (None, "\n\n")])).collect()
     assert sorted((r.n_lines, r.n_removed) for r in got) == [(0, 0), (1, 0), (3, 0)]
+
+
+def test_only_texts_with_lines_that_met_are_read_again(spark, monkeypatch):
+    line = prose(70, 12).replace("\n", " ")
+    rows = [(1, line), (2, line + "Q"), (3, line)] + [(10 + k, prose(200 + k, 12)) for k in range(20)]
+    few, seen = line_dedup._few, []
+
+    def spy(*given):
+        found = few(*given)
+        seen.append(found.count())
+        return found
+    monkeypatch.setattr(line_dedup, "_few", spy)
+    got = line_dedup.line_report(odd_documents(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == {2: 1, 3: 1}
+    assert seen == [2, 2, 2]  # lines that met, the documents that have them first, their texts
+
+
+def test_codes_of_code_points():
+    points = np.array([0, 10, 97, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF], dtype=np.uint32)
+    assert line_dedup.point_codes(points).tolist() == line_dedup.mix(points.astype(np.uint64) + np.uint64(1)).tolist()

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.llm.blocks import dealt
+from tidemeter.llm.memo import per_process
 from tidemeter.llm.words import BASE, SPACES, mix, powers, slices, texts_of
 from tidemeter.session import at_most, cut
 
@@ -45,6 +46,15 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _CHECK = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def point_codes(points: np.ndarray) -> np.ndarray:
+    """``mix`` of code points plus one: from a table that the process keeps, worked out only beyond its end."""
+    table = per_process(("line point codes",), lambda: mix(np.arange(1, 2**16 + 1, dtype=np.uint64)))
+    out = table.take(points, mode="clip")
+    far = np.flatnonzero(points >= len(table))
+    out[far] = mix(points[far].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 class Lines:
     """The lines of rows ``i`` to ``j`` in code points: ``start``, ``size``, ``row``, line ``number`` in its text, and prefix hash sums."""
 
@@ -61,14 +71,13 @@ class Lines:
         following = np.concatenate([breaks, [len(self.points)]])
         end = following[np.searchsorted(following, self.start)] if len(self.start) else self.start
         self.size = np.minimum(end, edges[self.row + 1]) - self.start
-        before = np.concatenate([[0], np.cumsum(self.points == 10)])
-        self.number = before[self.start] - before[edges[self.row]]
+        self.number = np.searchsorted(breaks, self.start) - np.searchsorted(breaks, edges[:-1])[self.row]
         blank = np.concatenate([[0], np.cumsum((self.points < 128) & SPACES[np.minimum(self.points, 127)])])
         self.blank = blank[self.start + self.size] - blank[self.start] == self.size
         n = len(self.points)
         up, self.down = powers(BASE, n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
+        np.cumsum(point_codes(self.points) * up[:n], out=self.sums[1:])
 
     def hash(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix((self.sums[at + size] - self.sums[at]) * self.down[at] + size.astype(np.uint64))
@@ -289,6 +298,11 @@ def _later_ones(edits: int) -> Callable:
     return run
 
 
+def _few(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is among ``ids``, which are broadcast if they are few."""
+    return rows.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, column, "left_semi")
+
+
 def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int) -> DataFrame:
     """``uid``, the ``numbers`` of the lines that go and ``n_long``, how many of them reach ``min_chars``; documents that lose none are left out."""
     body = docs.select(F.coalesce(docs[key].cast("long"), F.lit(int(NULL_KEY))).alias("doc"), docs[text].alias("body"),
@@ -302,10 +316,10 @@ def _removed(docs: DataFrame, key: str, text: str, edits: int, min_chars: int) -
                        "AND bool_or(filed) OVER (PARTITION BY key) AS met"))
     met = cut(met.filter("met").select("key", "line").distinct())
     wanted = cut(met.select("line").distinct())
-    ids = F.broadcast(wanted) if at_most(wanted, BROADCAST_IDS) else wanted
-    texts = cut(body.select("body").mapInArrow(_texts(min_chars), "line long, body string").join(ids, "line", "left_semi")
+    placed = cut(_few(firsts.groupBy("line").agg(F.min("first").alias("first")), wanted, "line").select("line", "first.*"))
+    texts = cut(_few(_few(body, placed.select("uid").distinct(), "uid").select("body").mapInArrow(_texts(min_chars), "line long, body string"), wanted, "line")
                 .groupBy("line").agg(F.first("body").alias("body")))
-    known = texts.join(firsts.groupBy("line").agg(F.min("first").alias("first")), "line").select("line", "body", "first.*")
+    known = texts.join(placed, "line").select("line", "body", "doc", "uid", "number")
     parts = met.groupBy("key").agg(F.expr(f"CAST(ceil(count(1) / {BLOCK}) AS BIGINT)").alias("parts"))
     later = (dealt(met, "key", "line", parts).join(known, "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
              .mapInArrow(_later_ones(edits), "line long").distinct())
