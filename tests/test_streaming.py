@@ -327,6 +327,52 @@ def test_rows_to_align_wait_by_bucket(spark, tmp_path):
     assert len(pairs) == 40 * 40 + 40 and all((p.account_id is None) == (p.usage_id is None) for p in pairs)
 
 
+def met_rows(spark, rows):
+    """Rows as ``state.met_by_bucket`` gives them: (account, tool, readings, requests)."""
+    return spark.createDataFrame(rows, """account_id bigint, tool string, readings array<struct<scope:string,window:string,ts:bigint,used_percent:double>>,
+        requests array<struct<usage_id:string,usage_ts:bigint,cost_pico:bigint>>""")
+
+
+def pairs_of(rows, grace=600 * SEC):
+    out = []
+    for account, tool, readings, requests in rows:
+        for x in readings:
+            near = [q for q in requests if abs(q[1] - x[2]) <= grace]
+            out += [(account, tool, *x, *q) for q in near] or [(account, tool, *x, None, None, None)]
+    return sorted(out, key=repr)
+
+
+def test_pairs_come_in_tiles_whatever_the_size_of_a_bucket(spark, monkeypatch):
+    """A task makes so many pairs of one row at most: of busy buckets, of a reading with very many requests, and at the very ends of the grace."""
+    r = random.Random(8)
+    reading = lambda t: ("all", "five_hour", t, r.choice([1.0, 2.0, None]))
+    request = lambda t: (f"e{r.randint(0, 99)}", t, r.choice([5, None]))
+    around = lambda t: r.randint(t - 1500, t + 1500) * SEC
+    rows = [(1, "timed", [reading(around(0)) for _ in range(40)], [request(around(0)) for _ in range(300)]),
+            (1, "linked", [reading(0), reading(1), reading(0)], [request(k * SEC) for k in (-601, -600, 600, 601)] + [request(600 * SEC + 1)]),
+            (2, "timed", [reading(7), reading(9)], []), (2, "linked", [], [request(7)]), (None, None, [reading(5)], []),
+            (3, "timed", [reading(0)], [request(0) for _ in range(250)]), *[(k, "timed", [reading(k)], [request(k)]) for k in range(4, 90)]]
+    want = pairs_of(rows)
+    assert sorted(map(tuple, state.pairs_of_buckets(met_rows(spark, rows)).collect()), key=repr) == want
+    monkeypatch.setattr(state, "TILE", 64)
+    monkeypatch.setattr(state, "COPIES", 100)
+    batch = met_rows(spark, rows).coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    tiles = [t for part in state._tiles(batch, 600 * SEC) for t in part.to_pylist()]
+    assert max(sum(max(1, x["n"]) for x in t["readings"]) for t in tiles) <= 2 * 64 and max(len(t["requests"]) for t in tiles) <= 301
+    got = []
+    for t in tiles:
+        for x in t["readings"]:
+            near = t["requests"][x["first"]:x["first"] + x["n"]]
+            got += [(t["account_id"], t["tool"], x["scope"], x["window"], x["ts"], x["used_percent"], *q.values()) for q in near or [dict(a=None, b=None, c=None)]]
+    assert sorted(got, key=repr) == want
+
+
+def test_requests_are_not_copied_for_every_reading(spark):
+    """Pairs are made in generated code of stretches that are found before; no list is filtered for each reading."""
+    plan = state.pairs_of_buckets(met_rows(spark, [(1, "timed", [("all", "five_hour", 5, 1.0)], [("e1", 5, 5)])]))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline(slice(" in plan and "lambdafunction" not in plan
+
+
 def test_rows_are_packed_before_they_meet_their_key(spark):
     """One row per key and hour of a task reaches the keyed state, with every row in it; rows without an instant stay out."""
     r = random.Random(5)
